@@ -89,8 +89,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A document of a source that should give t of its s words has t / s copies:
     the whole part for sure, the fraction by pivotal rounding in which two
     documents exchange words, so that the words of both stay. Groups of about
-    GROUP documents are folded at each level of a tree, and the one fraction
-    that a group leaves goes up; the last is drawn. The draws depend on the rows
+    GROUP documents are folded at each level of a tree, large ones first so that
+    small ones take up what they leave, and the one fraction that a group leaves
+    goes up; the last is drawn. The draws depend on the rows
     alone. Null and empty texts have size 0 and take nothing; null source is a
     source, the last; equal rows are rounded one by one, with equal keys; no
     rows give no rows.
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = [rows.where(~inside).select("source", *names)]
     open_rows = rows.where(inside).select("source", F.pmod(F.xxhash64(F.lit(SEED), "key"), groups).alias("g"), *names)
     for _ in range(max(1, math.ceil(math.log(max(2, largest), GROUP)) + 1)):
-        folded = open_rows.groupBy("source", "g").agg(F.array_sort(F.collect_list(F.struct("key", "doc_id", *names[1:5], "x"))).alias("items"))
+        folded = open_rows.groupBy("source", "g").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", "doc_id", *names[1:5], "x"))).alias("items"))
         items = F.transform("items", lambda i: F.struct(*[i[n].alias(n) for n in names]))
         level = cut(folded.select("source", "g", F.inline(_fold(items, kind))))
         done.append(level.where(~inside).select("source", *names))
