@@ -15,17 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the checkpoint folder that all executors share."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The shared folder for tables between steps: spark.checkpoint.dir, or a new one where that is unset."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the checkpoint folder that all executors share."""
+    folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def id_mod(doc_id: Column, n: int) -> Column:

@@ -130,11 +130,14 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it; arguments as for mix()."""
     if not docs.columns:
         return docs
+    id_col = how.get("id_col", "doc_id")
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    takes = mix(docs, **how).groupBy(F.col("key").alias("_take_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    both = docs.withColumn("_key", key).join(takes, F.col("_key") == F.col("_take_key"))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    takes = mix(docs, **how).groupBy(F.col("key").alias("_take_key"), known("doc_id").alias("_take_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    both = docs.withColumn("_key", key).withColumn("_id", known(id_col))
+    both = both.join(takes, (F.col("_key") == F.col("_take_key")) & (F.col("_id") == F.col("_take_id")))
     once = both.where("_rows = 1").withColumn("_n", F.col("_copies"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    nth = F.row_number().over(Window.partitionBy("_key", "_id").orderBy("_key"))
     more = both.where("_rows > 1").withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long"))
     rows = once.unionByName(more).where("_n > 0")
     return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

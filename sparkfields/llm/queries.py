@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, sharding, simhash_dedup
-from .common import table
+from . import decontamination, language_id, mixing, sharding, simhash_dedup
+from .common import id_mod, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(id_mod(F.col("doc_id"), 4) != 2))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    spans = F.sha2(F.to_json("language.spans"), 256)
+    return found.select("doc_id", (id_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"), spans.alias("spans_sha256"))
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_simhash_pigeonring, op7_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op6_simhash_pigeonring, op7_sharding, op10_mixing)}
 
 _OP1_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -153,9 +153,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near copies: of each component the row of the least id stays.
 
-    Rows that repeat that id are copies of the kept one, so one of them stays.
+    Rows without id come after the others; of rows alike in all columns one stays.
     """
-    groups = near_groups(docs, id_col, text_col)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_head")).agg(F.first("fp"))
-    kept = docs.join(heads.select("_head"), docs[id_col].eqNullSafe(F.col("_head")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    known = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    ident = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), row_hash.alias("row"))
+    groups = near_groups(docs.select(ident.alias("ident"), F.col(text_col).alias("text")), "ident", "text")
+    heads = groups.select("component_id").distinct()
+    heads = heads.select(F.col("component_id.row").alias("_head_row"), F.coalesce(F.col("component_id.id").cast("string"), F.lit("")).alias("_head_id"))
+    rows = docs.withColumn("_row", row_hash).withColumn("_id", known)
+    kept = rows.join(heads, (F.col("_row") == F.col("_head_row")) & (F.col("_id") == F.col("_head_id")), "left_semi")
+    return kept.dropDuplicates(["_row", "_id"]).drop("_row", "_id")
