@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, sharding, simhash_dedup
+from . import decontamination, language_id, mixing, sharding, simhash_dedup, url_filter
 from .common import id_mod, table
 
 
@@ -27,6 +27,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"), spans.alias("spans_sha256"))
 
 
+#: The rules of this query, and the hosts that its list blocks.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+URL_LIST = [
+    f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = [(*r, 0) for r in URL_RULES] + [(h, "/", "block", 1) for h in URL_LIST]
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.entries(spark, listed))
+    rule = F.when(F.col("rank") == 0, F.col("rule"))
+    return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict", F.coalesce(F.col("rank") == 1, F.lit(False)).alias("listed"))
+
+
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op6_simhash_pigeonring, op7_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language_id, op5_url_filter, op6_simhash_pigeonring, op7_sharding, op10_mixing)}
 
 _OP1_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -62,5 +79,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
   CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
   coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+""",
+    "op5_url_filter": f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}) AS t(rh, rp, v)),
+l AS (SELECT * FROM (VALUES {", ".join(f"('{h}')" for h in URL_LIST)}) AS t(lh)),
+w AS (SELECT p.host, p.path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+      FROM (SELECT DISTINCT host, path FROM p) AS p JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY p.host, p.path)
+SELECT p.page_id, p.host, p.path, w.rule,
+  CASE WHEN w.rule IS NOT NULL THEN w.v WHEN m.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  w.rule IS NULL AND m.host IS NOT NULL AS listed
+FROM p LEFT JOIN w ON p.host = w.host AND p.path = w.path
+LEFT JOIN (SELECT DISTINCT host, path FROM p JOIN l ON (host = lh OR ends_with(host, '.' || lh)) AND starts_with(path, '/')) AS m ON p.host = m.host AND p.path = m.path
 """,
 }
