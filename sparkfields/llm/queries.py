@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, lattice_lm, mixing, sharding, simhash_dedup, url_filter
+from . import decontamination, fingerprints, html_extraction, language_id, lattice_lm, mixing, sharding, simhash_dedup, url_filter
 from .common import id_mod, table
 
 
@@ -58,6 +58,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_lattice_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -72,7 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_id, op5_url_filter, op6_simhash_pigeonring, op7_sharding, op9_lattice_lm, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_id, op5_url_filter, op6_simhash_pigeonring, op7_sharding, op8_html_extraction, op9_lattice_lm, op10_mixing)}
 
 _OP1_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
