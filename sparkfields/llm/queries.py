@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_extraction, language_id, lattice_lm, mixing, sharding, simhash_dedup, url_filter
+from . import decontamination, fingerprints, html_extraction, language_id, lattice_lm, line_dedup, mixing, sharding, simhash_dedup, url_filter
 from .common import id_mod, table
 
 
@@ -31,6 +31,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_mod(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"), spans.alias("spans_sha256"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("lines").alias("n_lines"), F.col("lines_kept").alias("n_kept"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: The rules of this query, and the hosts that its list blocks.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -76,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_id, op5_url_filter, op6_simhash_pigeonring, op7_sharding, op8_html_extraction, op9_lattice_lm, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_language_id, op4_line_dedup, op5_url_filter, op6_simhash_pigeonring, op7_sharding, op8_html_extraction, op9_lattice_lm, op10_mixing)}
 
 _OP1_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
