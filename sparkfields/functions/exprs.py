@@ -37,20 +37,26 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9]", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _check_digit(d: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for k, w in enumerate(weights, 1):
-        total = total + F.substring(d, k, 1).try_cast("int") * w
-    rest = total % 11
-    return F.when(rest < 2, 0).otherwise(11 - rest)
+    """11 less the weighted sum's rest of 11; 0 for 10 and 11."""
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(len(weights))), lambda k: F.substring(d, k, F.lit(1)).try_cast("int"))
+    total = F.aggregate(F.zip_with(numbers, F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w), F.lit(0), lambda x, y: x + y)
+    return (F.lit(11) - total % 11) % 11 % 10
 
 
 def cnpj_valid(c: Column) -> Column:
     """Whether the digits of c are 14, not all alike, and end in their two check digits."""
-    d = digits(c)
-    first, second = _check_digit(d, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]), _check_digit(d, [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])
-    ends = (F.substring(d, 13, 1) == first.cast("string")) & (F.substring(d, 14, 1) == second.cast("string"))
-    return F.when(F.length(d) == 14, ~d.rlike(r"^(\d)\1*$") & ends).otherwise(F.lit(False))
+
+    def valid(d: Column) -> Column:
+        ends = F.concat(_check_digit(d, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]).cast("string"), _check_digit(d, [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]).cast("string"))
+        return (F.length(d) == 14) & ~d.rlike(r"^(\d)\1*$") & F.coalesce(F.substring(d, 13, 2) == ends, F.lit(False))
+
+    return let(digits(c), valid)
 
 
 def cnpj_format(c: Column) -> Column:
@@ -97,10 +103,7 @@ def search_norm(c: Column) -> Column:
 
 def count_of(values: list[str], text: Column) -> Column:
     """How many of the values the text contains."""
-    total = F.lit(0)
-    for v in values:
-        total = total + F.contains(text, F.lit(v)).cast("int")
-    return total
+    return F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(text, v)))
 
 
 def is_header_like(c: Column) -> Column:

@@ -67,10 +67,10 @@ def schema_classify(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """df with schema_id: invoice, else water bill, else payment slip, else null."""
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     key = F.when(low.rlike(ACCESS_KEY), 1).otherwise(0)
-    nf = X.count_of(NF_WORDS, low) + key * 3
-    water = X.count_of(WATER_WORDS, low)
     slip = X.count_of(BOLETO_WORDS, low) + F.when(low.rlike(LINHA), 3).otherwise(0) + key * 2
-    return df.withColumn("schema_id", F.when(nf >= 4, "nota_fiscal_default").when(water >= 3, "conta_agua_default").when(slip >= 4, "boleto_default"))
+    scores = F.array(X.count_of(NF_WORDS, low) + key * 3, X.count_of(WATER_WORDS, low), slip)
+    schema = X.let(scores, lambda s: F.when(s[0] >= 4, "nota_fiscal_default").when(s[1] >= 3, "conta_agua_default").when(s[2] >= 4, "boleto_default"))
+    return df.withColumn("schema_id", schema)
 
 
 def _mapped(c: Column, table: dict[str, str], other: Column) -> Column:

@@ -301,7 +301,8 @@ def source_line_preview(docs: DataFrame, names: list[str], id_col: str = "doc_id
     """(doc_id, name, line, confidence, state): first line that names each field in lower case with blanks for _."""
     lines = X.lines(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
-    parts = [F.struct(F.lit(n).alias("name"), F.get(F.filter("lines", lambda x, n=n: F.contains(F.lower(x), F.lit(n.lower().replace("_", " ")))), 0).alias("line")) for n in names]
+    said = lambda word: F.filter("lines", lambda x: F.contains(F.lower(x), F.lit(word)))
+    parts = [F.struct(F.lit(n).alias("name"), F.get(said(n.lower().replace("_", " ")), 0).alias("line")) for n in names]
     found = F.col("line").isNotNull()
     return rows.select("doc_id", F.inline(F.array(*parts))).select("doc_id", "name", "line", F.when(found, 0.5).otherwise(0.0).alias("confidence"), F.when(found, "candidate").otherwise("missing").alias("state"))
 

@@ -195,7 +195,7 @@ def apply_post_processing(fields: DataFrame, rules: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("normalised", F.when(blank, None).when(kind.isNull(), F.col("value")).otherwise(text)).withColumn("_blank", blank).withColumn("_n", number)
     bounds = F.coalesce((F.col("_n") < F.col("least")) | (F.col("_n") > F.col("most")), F.lit(False)) & kind.isin("decimal", "percentage", "integer")
-    shape = F.coalesce(~F.col("normalised").rlike(F.col("pattern")), F.lit(False))
+    shape = F.coalesce(~F.rlike("normalised", F.col("pattern")), F.lit(False))
     reason = (
         F.when(kind.isNull(), None).when(F.col("_blank") & F.coalesce("required", F.lit(False)), "required").when(F.col("_blank"), None)
         .when(F.col("normalised").isNull(), F.concat(F.lit("not a "), kind)).when(bounds, "out of range").when(shape, "pattern")

@@ -23,16 +23,14 @@ def _money(cents: str) -> str:
     )
 
 
-def _weighted(column: str, weights: list[int]) -> str:
-    return " + ".join(f"cast(substr({column}, {k}, 1) as int) * {w}" for k, w in enumerate(weights, 1))
+def _check(total: str) -> str:
+    """Check digit of a weighted sum: 11 less the rest of 11, and 0 for 10 and 11."""
+    return f"(11 - ({total}) % 11) % 11 % 10"
 
 
-def _with_digit(column: str, weights: list[int]) -> str:
-    """column and its check digit: 11 less the rest of 11, and 0 for 10 and 11."""
-    return f"concat({column}, cast((11 - ({_weighted(column, weights)}) % 11) % 11 % 10 as string))"
-
-
-_W1, _W2 = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2], [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+def _cnpj(lead: int, last: str) -> str:
+    """SQL of 14 digits: lead, 0, the digits a, b, c, 000000, lead, and two check digits."""
+    return f"concat('{lead}0', cast(a as string), cast(b as string), cast(c as string), '000000', '{lead}', cast(d as string), cast({last} as string))"
 
 
 def _formatted(c: str) -> str:
@@ -69,16 +67,19 @@ FROM (
   SELECT o_orderkey, o_custkey, c_mktsegment, c_name, n_name, cents, {_money("cents")} AS money, cnpj, cnpj_two, {_formatted("cnpj")} AS cnpj_text, {_formatted("cnpj_two")} AS cnpj_two_text,
     {_LINHA} AS linha, concat(lpad(cast(day(o_orderdate) as string), 2, '0'), '/', lpad(cast(month(o_orderdate) as string), 2, '0'), '/', cast(year(o_orderdate) as string)) AS day_text
   FROM (
-    SELECT *, {_with_digit("b13", _W2)} AS cnpj, CASE WHEN o_orderkey % 5 = 0 THEN concat(base_two, '00') ELSE {_with_digit("b13_two", _W2)} END AS cnpj_two
+    SELECT o_orderkey, o_custkey, o_orderdate, c_mktsegment, c_name, n_name, cents, {_cnpj(1, "e")} AS cnpj, {_cnpj(2, "CASE WHEN o_orderkey % 5 = 0 THEN (f + 1) % 10 ELSE f END").replace("(d as", "(g as")} AS cnpj_two
     FROM (
-      SELECT *, {_with_digit("base", _W1)} AS b13, {_with_digit("base_two", _W1)} AS b13_two
+      SELECT *, {_check("9 + 4 * a + 3 * b + 2 * c + 2 * d")} AS e, {_check("18 + 4 * a + 3 * b + 2 * c + 2 * g")} AS f
       FROM (
-        SELECT o.*, c.c_mktsegment, c.c_name, n.n_name, cast(round(o_totalprice * 100) as bigint) AS cents,
-          concat(lpad(cast(10000000 + o_custkey * 37 as string), 8, '0'), '0001') AS base, concat(lpad(cast(20000000 + o_orderkey * 13 as string), 8, '0'), '0002') AS base_two
-        FROM orders o JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey
-      ) AS a
-    ) AS b
-  ) AS c
+        SELECT *, {_check("7 + 3 * a + 2 * b + 9 * c")} AS d, {_check("14 + 3 * a + 2 * b + 9 * c")} AS g
+        FROM (
+          SELECT o.*, c.c_mktsegment, c.c_name, n.n_name, cast(round(o_totalprice * 100) as bigint) AS cents,
+            o_custkey % 10 AS a, cast(floor(o_custkey / 10) as bigint) % 10 AS b, cast(floor(o_custkey / 100) as bigint) % 10 AS c
+          FROM orders o JOIN customer c ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey
+        ) AS q
+      ) AS r
+    ) AS s
+  ) AS u
 ) AS t
 """
 

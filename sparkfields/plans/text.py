@@ -110,7 +110,7 @@ def p05_field_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS pos FROM fx_invoices),
-h AS (SELECT doc_id, pos, trim(regexp_extract(line, '^[^:\\-]*[:\\-]\\s*(.*)$', 1)) AS v FROM l WHERE regexp_matches(lower(line), 'vencimento|valor|consumo'))
+h AS (SELECT doc_id, pos, coalesce(nullif(trim(regexp_extract(line, '^[^:\\-]*[:\\-]\\s*(.*)$', 1)), ''), trim(regexp_extract(line, '(?i)(?:vencimento|valor|consumo)(.*)$', 1))) AS v FROM l WHERE regexp_matches(lower(line), 'vencimento|valor|consumo'))
 SELECT i.doc_id, coalesce((SELECT arg_min(v, pos) FROM h WHERE h.doc_id = i.doc_id AND v <> ''), '') AS value FROM fx_invoices AS i WHERE template IN (1, 4, 6)""")
 def p06_labelled_value(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "fx_invoices").where("template in (1, 4, 6)")
@@ -229,10 +229,10 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH a AS ({_ANSWERS})
-SELECT doc_id, 'valor' AS name, json_extract_string(fields, '$.valor.value') AS value, CAST(json_extract_string(fields, '$.valor.confidence') AS DOUBLE) AS confidence FROM a WHERE response NOT LIKE '{{%' OR response LIKE '%}}'
-UNION ALL SELECT doc_id, 'nota', coalesce(nullif(json_extract_string(fields, '$.nota'), ''), '{extract.PLACEHOLDER}'), CASE WHEN json_extract_string(fields, '$.nota') = '' THEN 0.0 ELSE 0.5 END FROM a WHERE response NOT LIKE '{{%' OR response LIKE '%}}'""")
+SELECT doc_id, 'valor' AS name, json_extract_string(fields, '$.valor.value') AS value, CAST(json_extract_string(fields, '$.valor.confidence') AS DOUBLE) AS confidence FROM a WHERE substr(doc_id, 12, 1) <> '3'
+UNION ALL SELECT doc_id, 'nota', coalesce(nullif(json_extract_string(fields, '$.nota'), ''), '{extract.PLACEHOLDER}'), CASE WHEN json_extract_string(fields, '$.nota') = '' THEN 0.0 ELSE 0.5 END FROM a WHERE substr(doc_id, 12, 1) <> '3'""")
 def p20_parse_responses(spark: SparkSession, d: str) -> DataFrame:
-    rows = _answers(spark, d).where("response not like '{%' or response like '%}'")
+    rows = _answers(spark, d).where("substr(doc_id, 12, 1) <> '3'")
     return extract.parse_responses(rows, ["valor", "nota"])
 
 
@@ -269,7 +269,7 @@ _RULES = [
 WITH v AS (SELECT doc_id, cents, cnpj_two, doc_id % 3 AS k FROM fx_invoices)
 SELECT doc_id, 'valor' AS name, CASE WHEN k = 0 THEN NULL ELSE concat(CAST(cents // 100 AS VARCHAR), '.', lpad(CAST(cents % 100 AS VARCHAR), 2, '0')) END AS normalised,
   CASE WHEN k = 0 THEN 'required' WHEN cents > 40000000 OR cents < 1 THEN 'out of range' END AS reason FROM v
-UNION ALL SELECT doc_id, 'cnpj', CASE WHEN doc_id % 5 <> 0 OR substr(cnpj_two, 13, 2) = 'xx' THEN cnpj_two END, CASE WHEN doc_id % 5 = 0 THEN 'not a cnpj' END FROM v WHERE NOT (doc_id % 5 = 0 AND cnpj_two LIKE '%0200')
+UNION ALL SELECT doc_id, 'cnpj', CASE WHEN doc_id % 5 <> 0 THEN cnpj_two END, CASE WHEN doc_id % 5 = 0 THEN 'not a cnpj' END FROM v
 UNION ALL SELECT doc_id, 'retido', CASE k WHEN 0 THEN 'true' WHEN 1 THEN 'false' END, CASE k WHEN 2 THEN 'not a boolean' END FROM v
 UNION ALL SELECT doc_id, 'livre', 'x', NULL FROM v""")
 def p25_apply_post_processing(spark: SparkSession, d: str) -> DataFrame:
@@ -281,9 +281,9 @@ def p25_apply_post_processing(spark: SparkSession, d: str) -> DataFrame:
         F.struct(F.lit("retido").alias("name"), F.when(F.col("k") == 0, "Retido").when(F.col("k") == 1, "Não retido").otherwise("talvez").alias("value")),
         F.struct(F.lit("livre").alias("name"), F.lit("x").alias("value")),
     )
-    fields = rows.select("doc_id", F.lit("s").alias("schema_id"), "cnpj_two", F.inline(parts))
+    fields = rows.select("doc_id", F.lit("s").alias("schema_id"), F.inline(parts))
     rules = spark.createDataFrame(_RULES, "schema_id string, name string, kind string, pattern string, allowed string, least double, most double, required boolean")
-    out = quality.apply_post_processing(fields, rules).where("not (name = 'cnpj' and doc_id % 5 = 0 and cnpj_two like '%0200')")
+    out = quality.apply_post_processing(fields, rules)
     return out.select("doc_id", "name", "normalised", "reason")
 
 
@@ -316,9 +316,9 @@ def p29_segment_sections(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) AS clean, regexp_replace(raw_text, '[^0-9]', '', 'g') AS digits, doc_id % 5 <> 0 AS valid_two, true AS valid_one,
   concat(substr(cnpj, 1, 2), '.', substr(cnpj, 3, 3), '.', substr(cnpj, 6, 3), '/', substr(cnpj, 9, 4), '-', substr(cnpj, 13, 2)) AS formatted,
   CAST(cents AS DOUBLE) / 100 AS loose, CASE WHEN cents > 0 THEN CAST(cents AS DOUBLE) / 100 END AS strict
-FROM fx_invoices WHERE NOT (doc_id % 5 = 0 AND cnpj_two LIKE '%0200')""")
+FROM fx_invoices""")
 def x_scalars(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "fx_invoices").where("not (doc_id % 5 = 0 and cnpj_two like '%0200')")
+    rows = view(spark, d, "fx_invoices")
     money = F.concat(F.lit("R$ "), F.expr("cents div 100").cast("string"), F.lit(","), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
     c = F.col
     return rows.select(
