@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import text
+from . import records, text
 
-MODULES = [text]
+MODULES = [text, records]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
