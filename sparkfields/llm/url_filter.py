@@ -54,16 +54,28 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)])
 
 
-def passing(keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """The rows of keys whose `key` may be a `key` of listed."""
-    n = listed.count()
+def _probed(keys: DataFrame, key: str, listed: DataFrame, n: int, how: str) -> tuple[DataFrame, Column]:
+    """keys joined to their block of the filter of listed, and the test whether all bits are set."""
     blocks = 1 << max(0, (n // KEYS_PER_BLOCK).bit_length())
     table = bloom(listed, blocks)
     table = F.broadcast(table) if blocks <= SENT_BLOCKS else table
-    rows = keys.withColumn("block", _block(F.col("key"), blocks)).join(table, "block")
-    for k, bit in enumerate(_bits(F.col("key"))):
-        rows = rows.where(F.col(f"w{k}").bitwiseAND(bit) != 0)
-    return rows.drop("block", *[f"w{k}" for k in range(WORDS)])
+    rows = keys.withColumn("_block", _block(F.col(key), blocks)).join(table, F.col("_block") == F.col("block"), how)
+    test = F.lit(True)
+    for k, bit in enumerate(_bits(F.col(key))):
+        test = test & (F.col(f"w{k}").bitwiseAND(bit) != 0)
+    return rows, F.coalesce(test, F.lit(False))
+
+
+def passing(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows of keys whose `key` may be a `key` of listed."""
+    rows, test = _probed(keys, "key", listed, listed.count(), "inner")
+    return rows.where(test).select(*keys.columns)
+
+
+def split_by(rows: DataFrame, key: str, listed: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """rows whose key may be one of the n keys of listed, and the others, whose key certainly isn't."""
+    probed, test = _probed(rows, key, listed, n, "left")
+    return probed.where(test).select(*rows.columns), probed.where(~test).select(*rows.columns)
 
 
 def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
