@@ -119,7 +119,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
                     total[lang] = total[lang] + found if lang in total else found
         for lang, found in total.items():
             at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(found[at])], names=["lang", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], names=["lang", "feature", "n"])
 
     found = rows.mapInArrow(run, "lang string, feature bigint, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
