@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_join
 from .common import cut
 from .components import connected
 
@@ -150,17 +151,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return known.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies: of each component the row of the least id stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = shingle_join.NGRAM, similarity: float = shingle_join.SIMILARITY) -> DataFrame:
+    """docs without the near copies: of each group of similar texts the row of the least id stays.
 
-    Rows without id come after the others; of rows alike in all columns one stays.
+    Links are pairs of texts whose word shingles have at least this Jaccard
+    similarity, all of them: SimHash is no filter here, as no radius that keys
+    can serve holds what is 0.8 alike. Rows without id come after the others; of
+    rows alike in all columns one stays.
     """
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     known = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     ident = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), row_hash.alias("row"))
-    groups = near_groups(docs.select(ident.alias("ident"), F.col(text_col).alias("text")), "ident", "text")
-    heads = groups.select("component_id").distinct()
-    heads = heads.select(F.col("component_id.row").alias("_head_row"), F.coalesce(F.col("component_id.id").cast("string"), F.lit("")).alias("_head_id"))
+    groups = shingle_join.groups(docs.select(ident.alias("ident"), F.col(text_col).alias("text")), ngram, similarity)
+    heads = groups.select("group").distinct()
+    heads = heads.select(F.col("group.row").alias("_head_row"), F.coalesce(F.col("group.id").cast("string"), F.lit("")).alias("_head_id"))
     rows = docs.withColumn("_row", row_hash).withColumn("_id", known)
     kept = rows.join(heads, (F.col("_row") == F.col("_head_row")) & (F.col("_id") == F.col("_head_id")), "left_semi")
     return kept.dropDuplicates(["_row", "_id"]).drop("_row", "_id")

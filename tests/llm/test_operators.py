@@ -261,6 +261,25 @@ def test_keep_one_with_nulls_and_repeated_rows(spark):
     assert simhash_dedup.keep_one(rows.limit(0)).count() == 0
 
 
+def test_keep_one_equals_brute_force(spark):
+    rng = random.Random(12)
+    base = [[f"v{rng.randrange(3000)}" for _ in range(n)] for n in (60, 60, 200, 200, 900, 8)]
+    texts = list(EDGE)
+    for b in base:
+        for k in range(14):  # words changed, from none to too many
+            copy = list(b)
+            for at in rng.sample(range(len(b)), len(b) * k // 200 + k % 2):
+                copy[at] = "new"
+            texts.append(" ".join(copy))
+    cuts = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in cuts]
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(sets[i], sets[j])]
+    far = [(i, j) for i, j in links if (brute_fp(texts[i]) ^ brute_fp(texts[j])).bit_count() > 4]
+    want = components_of(len(texts), links)
+    assert far and {r.doc_id for r in simhash_dedup.keep_one(docs(spark, texts)).collect()} == set(want)
+
+
 def test_components(spark):
     rng = random.Random(10)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + k, 201 + k) for k in range(40)] + [(None, 3), (7, 7)]
