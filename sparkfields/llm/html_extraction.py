@@ -27,13 +27,15 @@ from .url_filter import host, path
 
 # Elements by what they do to the text.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "template", "noscript", "menu", "dialog", "head", "object", "canvas", "figure"} | RAW
+LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "svg", "template", "noscript", "menu", "dialog", "head", "object", "canvas"} | RAW
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
-    "address", "article", "blockquote", "body", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6",
+    "address", "article", "blockquote", "body", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6",
     "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption",
 } | LEFT_OUT
 MAIN = {"article", "main"}
+#: No class or id hides these.
+SHOWN = {"html", "body"} | MAIN
 MARKS = {
     "ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disclaimer",
     "footer", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "share", "sharing", "sidebar", "social",
@@ -48,11 +50,16 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 CELLS = 4_000_000
 
 
-def _hidden(attrs: str) -> bool:
+def _marks(value: str) -> bool:
+    """Whether one of the names in a class or id is a mark, or made of marks alone, as cookie-banner."""
+    return any(MARKS.issuperset(parts) for x in value.split() if (parts := [y for y in _SPLIT.split(x) if y]))
+
+
+def _hidden(element: str, attrs: str) -> bool:
     """Whether an element's class, id or role says that it isn't main text."""
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "role" and value in ROLES) or (name in ("class", "id") and MARKS.intersection(_SPLIT.split(value))):
+        if name == "hidden" or (name == "role" and value in ROLES) or (name in ("class", "id") and element not in SHOWN and _marks(value)):
             return True
     return False
 
@@ -112,7 +119,7 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
                     _, hides, main = stack.pop()
                     off -= hides
                     inside -= main
-            hides, main = name in LEFT_OUT or _hidden(m[3]), name in MAIN
+            hides, main = name in LEFT_OUT or _hidden(name, m[3]), name in MAIN
             stack.append((name, hides, main))
             off += hides
             inside += main

@@ -327,6 +327,16 @@ def test_common_lines_are_longest():
         assert len(html_extraction.common_lines(a, b)) == table[-1][-1]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body class='with-sidebar'><p>a</p></body>", ["a"]), ("<body class='sidebar'><main id='banner'><p>a</p></main></body>", ["a"]),
+    ("<article class='post no-comments'><p>a</p></article>", ["a"]), ("<div class='content header-fixed'><h2 class='section-header'>a</h2>b</div>", ["a", "b"]),
+    ("<p>a</p><figure><pre>b</pre><figcaption>c</figcaption></figure>", ["a", "b", "c"]),
+    ("<p>a</p><div class='big ad'>x</div><div class='cookie-banner'>y</div><div id='comments'>z</div>", ["a"]),
+])
+def test_class_names_hide_what_they_name(page, want):
+    assert [t for t, _ in html_extraction.blocks(page)] == want
+
+
 def test_html_extraction(spark):
     page = lambda body: f"<div>Site</div><p>{body}</p><div>All rights</div>"
     rows = [
