@@ -106,32 +106,46 @@ def count_of(values: list[str], text: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(text, v)))
 
 
+def _heading(line: Column) -> Column:
+    """is_header_like for a cleaned line."""
+
+    def test(low: Column) -> Column:
+        hit = low.rlike("|".join(f"(?:{p})" for p in HEADER_PATTERNS))
+        return hit | ((F.size(F.split(low, " ")) <= 6) & (count_of(HEADER_TOKENS, low) >= 2) & ~line.rlike(FORMATTED_CNPJ))
+
+    return (line == "") | let(F.lower(line), test)
+
+
 def is_header_like(c: Column) -> Column:
     """Blank, a heading, or a short line of heading words without a tax number."""
-    line = clean_line(c)
-    low = F.lower(line)
-    hit = low.rlike("|".join(f"(?:{p})" for p in HEADER_PATTERNS))
-    short = (F.size(F.split(low, " ")) <= 6) & (count_of(HEADER_TOKENS, low) >= 2) & ~line.rlike(FORMATTED_CNPJ)
-    return (line == "") | hit | short
+    return let(clean_line(c), _heading)
 
 
-def is_name_line(c: Column) -> Column:
-    """A line that may be the name of a party."""
-    line = clean_line(c)
+def _named(line: Column) -> Column:
+    """is_name_line for a cleaned line."""
     letters = F.length(F.regexp_replace(line, f"[^{LETTER}]", ""))
     numbers = F.length(F.regexp_replace(line, r"[^0-9]", ""))
-    return ~is_header_like(line) & ~line.rlike(r"^[-–—]+$") & ~line.rlike(CNPJ) & (letters >= 6) & (letters > numbers)
+    many = let(letters, lambda n: (n >= 6) & (n > numbers))
+    return many & ~line.rlike(r"^[-–—]+$") & ~line.rlike(CNPJ) & ~_heading(line)
+
+
+def is_name_line(c: Column) -> Column:
+    """A line that may be the name of a party."""
+    return let(clean_line(c), _named)
 
 
 def name_score(c: Column) -> Column:
-    line = clean_line(c)
-    low = F.lower(line)
-    upper = F.length(F.regexp_replace(line, r"[^A-ZÀ-Ý]", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(line, f"[^{LETTER}]", "")))
-    score = (
-        F.when(F.size(F.split(low, " ")) >= 2, 0.20).otherwise(0.0) + F.when(F.length(line) >= 18, 0.15).otherwise(0.0)
-        + F.when(upper >= 0.70, 0.25).otherwise(0.0) + F.when(count_of(COMPANY_TOKENS, low) > 0, 0.35).otherwise(0.0)
-    )
-    return F.when(is_name_line(line), F.least(F.lit(1.0), score)).otherwise(0.0)
+    """How much a line looks like the name of a party, from 0 to 1."""
+
+    def score(line: Column) -> Column:
+        upper = F.length(F.regexp_replace(line, r"[^A-ZÀ-Ý]", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(line, f"[^{LETTER}]", "")))
+        total = (
+            F.when(F.size(F.split(line, " ")) >= 2, 0.20).otherwise(0.0) + F.when(F.length(line) >= 18, 0.15).otherwise(0.0)
+            + F.when(upper >= 0.70, 0.25).otherwise(0.0) + F.when(let(F.lower(line), lambda low: count_of(COMPANY_TOKENS, low) > 0), 0.35).otherwise(0.0)
+        )
+        return F.when(_named(line), F.least(F.lit(1.0), total)).otherwise(0.0)
+
+    return let(clean_line(c), score)
 
 
 def ocr_digit_fix(c: Column) -> Column:

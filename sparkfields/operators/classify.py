@@ -65,12 +65,13 @@ def layout_classify(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
 
 def schema_classify(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """df with schema_id: invoice, else water bill, else payment slip, else null."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows, low = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit("")))), F.col("_low")
     key = F.when(low.rlike(ACCESS_KEY), 1).otherwise(0)
-    slip = X.count_of(BOLETO_WORDS, low) + F.when(low.rlike(LINHA), 3).otherwise(0) + key * 2
-    scores = F.array(X.count_of(NF_WORDS, low) + key * 3, X.count_of(WATER_WORDS, low), slip)
+    count = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    slip = count(BOLETO_WORDS) + F.when(low.rlike(LINHA), 3).otherwise(0) + key * 2
+    scores = F.array(count(NF_WORDS) + key * 3, count(WATER_WORDS), slip)
     schema = X.let(scores, lambda s: F.when(s[0] >= 4, "nota_fiscal_default").when(s[1] >= 3, "conta_agua_default").when(s[2] >= 4, "boleto_default"))
-    return df.withColumn("schema_id", schema)
+    return rows.withColumn("schema_id", schema).drop("_low")
 
 
 def _mapped(c: Column, table: dict[str, str], other: Column) -> Column:

@@ -19,6 +19,17 @@ RETENTION_TERMS = ["reten", "iss", "inss", "pis", "cofins", "csll", "irrf"]
 # Patterns of numbers and amounts in plain texts.
 NUMBER = [r"(?iu)(?:n[úu]mero\s*(?:da\s*)?(?:nfs-?e|nfse|nota\s*fiscal)|n[º°o]?\s*(?:da\s*)?(?:nfs-?e|nfse|nota\s*fiscal))\s*[:#\-]?\s*([A-Za-z0-9./-]+)", r"(?iu)(?:nota\s*fiscal\s*n[º°o]?|nf\s*n[º°o]?)\s*[:#\-]?\s*([A-Za-z0-9./-]+)"]
 TOTAL = [r"(?iu)(?:valor\s*(?:total)?\s*(?:da\s*)?nota|valor\s*(?:da\s*)?nfs-?e)\s*[:\-]?\s*(?:R\$\s*)?([\d\.]+,\d{2}|\d+\.\d{2}|\d+)", r"(?iu)(?:total\s*a\s*pagar|valor\s*líquido)\s*[:\-]?\s*(?:R\$\s*)?([\d\.]+,\d{2}|\d+\.\d{2}|\d+)"]
+# Patterns of headings and values in the blocks of a service invoice.
+NAME_HEADING = r"nome\s*/\s*nome\s*empresarial"
+NUMBER_HEADING = r"n[úu]mero\s+da\s+nfs-?e"
+NUMBER_LINE = r"^[A-Za-z0-9./-]{1,25}$"
+SERVICE_HEADING = r"descri[çc][ãa]o\s+do\s+servi[çc]o"
+SERVICE_STOP = r"(?iu)tributa[çc][ãa]o|valor\s+do\s+servi[çc]o|valor\s+total"
+PRICE_HEADING = r"(?iu)valor\s+total\s+da\s+nfs-?e|valor\s+l[íi]quido\s+da\s+nfs-?e|valor\s+do\s+servi[çc]o"
+TAX_HEADING = "reten|retido|issqn"
+TAX_VALUE = r"(?iu)^(?:n[ãa]o\s+retido|retido)$"
+TAX_STOP = r"(?iu)^tributa[çc][ãa]o|^informa[çc][õo]es\s+complementares"
+TAX_EVIDENCE = r"(?iu)n[ãa]o\s+retido|retido|R\$\s*[\d\.]+,\d{2}|\d+,\d{2}"
 MONEY = r"(?i)R\$\s*([\d\.]+,\d{2}|\d+\.\d{2}|\d+)"
 
 
@@ -39,19 +50,27 @@ def _with_next(lines: Column) -> Column:
 
 def _best_name(lines: Column) -> Column:
     """struct(name, score) of the line that looks most like a name, the first of equals."""
-    ranked = F.array_sort(F.transform(lines, lambda x, i: F.struct((-X.name_score(x)).alias("s"), i.alias("i"), x.alias("x"))))
-    top = F.get(F.filter(ranked, lambda r: r["s"] < 0), 0)
-    return F.struct(F.coalesce(top["x"], F.lit("")).alias("name"), F.coalesce(-top["s"], F.lit(0.0)).alias("score"))
+    ranked = F.filter(F.transform(lines, lambda x, i: F.struct((-X.name_score(x)).alias("s"), i.alias("i"), x.alias("x"))), lambda r: r["s"] < 0)
+    best = X.let(F.array_min(ranked), lambda top: F.struct(F.coalesce(top["x"], F.lit("")).alias("name"), F.coalesce(-top["s"], F.lit(0.0)).alias("score")))
+    return F.coalesce(best, F.struct(F.lit("").alias("name"), F.lit(0.0).alias("score")))
 
 
-def _party(lines: Column, issuer: bool) -> list[tuple[Column, Column]]:
-    """(name, confidence) candidates from the block of a party, best first."""
-    near_cnpj, any_line = _best_name(_tail(lines, X.CNPJ, 6)), _best_name(lines)
-    found = [(near_cnpj["name"], F.greatest(F.lit(0.75), near_cnpj["score"])), (any_line["name"], F.greatest(F.lit(0.62), any_line["score"]))]
+def _names(rows: DataFrame, block: str, issuer: bool) -> DataFrame:
+    """rows with the best names of a party's block in columns of their own, so that each is computed once."""
+    lines = F.col(f"{block}_block")
+    found = {f"_{block}_near": _best_name(_tail(lines, X.CNPJ, 6)), f"_{block}_any": _best_name(lines)}
     if issuer:
-        named = _first(F.filter(_tail(lines, r"nome\s*/\s*nome\s*empresarial", 3), X.is_name_line))
-        found.insert(0, (named, F.greatest(F.lit(0.92), X.name_score(named))))
-    return found
+        named = _first(F.filter(_tail(lines, NAME_HEADING, 3), X.is_name_line))
+        found[f"_{block}_named"] = X.let(named, lambda x: F.struct(x.alias("name"), X.name_score(x).alias("score")))
+    for name, value in found.items():
+        rows = rows.withColumn(name, value)
+    return rows
+
+
+def _party(block: str, issuer: bool) -> list[tuple[Column, Column]]:
+    """(name, confidence) candidates from the block of a party, best first."""
+    least = ({"named": 0.92} if issuer else {}) | {"near": 0.75, "any": 0.62}
+    return [(F.col(f"_{block}_{k}.name"), F.greatest(F.lit(c), F.col(f"_{block}_{k}.score"))) for k, c in least.items()]
 
 
 def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
@@ -63,7 +82,8 @@ def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """
     empty = F.create_map().cast("map<string,string>")
     given = {c: F.coalesce(F.col(c), empty) if c in df.columns else empty for c in ("entities", "document_info", "totals")}
-    rows = slice_blocks(df, text_col).withColumns({f"_{c}": m for c, m in given.items()}).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = _names(_names(slice_blocks(df, text_col), "emitente", True), "tomador", False)
+    rows = rows.withColumns({f"_{c}": m for c, m in given.items()}).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     of = lambda m, *keys: F.coalesce(*[F.nullif(F.try_element_at(f"_{m}", F.lit(k)), F.lit("")) for k in keys], F.lit(""))
     lines, text = F.col("lines"), F.col("_text")
     invoice = F.lower(text).rlike("nfs-e|danfse|nfse")
@@ -74,25 +94,25 @@ def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
         near = _first(F.filter(lines, lambda x: F.lower(x).rlike("|".join(labels)) & x.rlike(X.CNPJ)))
         return F.regexp_extract(F.when(near != "", near).otherwise(text), f"({X.CNPJ})", 1)
 
-    number = _first(F.filter(_tail(own, r"n[úu]mero\s+da\s+nfs-?e", 3), lambda x: x.rlike(r"^[A-Za-z0-9./-]{1,25}$") & ~X.is_header_like(x)))
+    number = _first(F.filter(_tail(own, NUMBER_HEADING, 3), lambda x: x.rlike(NUMBER_LINE) & ~X.is_header_like(x)))
     found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in NUMBER]
     service = F.col("servico_block")
-    after = _tail(service, r"descri[çc][ãa]o\s+do\s+servi[çc]o", 10_000)
-    stop = F.array_min(F.transform(after, lambda x, i: F.when(x.rlike(r"(?iu)tributa[çc][ãa]o|valor\s+do\s+servi[çc]o|valor\s+total"), i)))
+    after = _tail(service, SERVICE_HEADING, 10_000)
+    stop = F.array_min(F.transform(after, lambda x, i: F.when(x.rlike(SERVICE_STOP), i)))
     body = F.filter(F.slice(after, F.lit(1), F.coalesce(stop, F.size(after))), lambda x: ~X.is_header_like(x))
     described = F.aggregate(body, F.lit(""), lambda a, x: F.when(F.length(a) >= 450, a).otherwise(F.trim(F.concat(a, F.lit(" "), x))))
     plain_at = F.filter(_with_next(lines), lambda p: F.contains(F.lower(p["x"]), F.lit("descrição")) & F.contains(F.lower(p["x"]), F.lit("serv")))
     plain = F.transform(plain_at, lambda p: F.when(F.regexp_extract(p["x"], r"^[^:\-]*[:\-]\s*(.+)$", 1) != "", F.regexp_extract(p["x"], r"^[^:\-]*[:\-]\s*(.+)$", 1)).otherwise(p["y"]))
-    priced = F.filter(_with_next(F.concat("municipal_block", own)), lambda p: p["x"].rlike(r"(?iu)valor\s+total\s+da\s+nfs-?e|valor\s+l[íi]quido\s+da\s+nfs-?e|valor\s+do\s+servi[çc]o"))
+    priced = F.filter(_with_next(F.concat("municipal_block", own)), lambda p: p["x"].rlike(PRICE_HEADING))
     prices = F.filter(F.transform(priced, lambda p: F.regexp_extract(F.concat(p["x"], F.lit(" "), p["y"]), MONEY, 1)), lambda v: v != "")
     totals = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in TOTAL]
-    taxes = F.filter(_with_next(F.concat("municipal_block", "federal_block")), lambda p: F.lower(p["x"]).rlike("reten|retido|issqn") & ~p["x"].rlike(r"(?iu)^(?:n[ãa]o\s+retido|retido)$") & ~X.is_header_like(p["x"]))
-    joined = F.transform(taxes, lambda p: F.when(p["y"].rlike(r"(?iu)^tributa[çc][ãa]o|^informa[çc][õo]es\s+complementares"), p["x"]).otherwise(F.concat(p["x"], F.lit(" "), p["y"])))
-    evidence = F.filter(joined, lambda x: x.rlike(r"(?iu)n[ãa]o\s+retido|retido|R\$\s*[\d\.]+,\d{2}|\d+,\d{2}"))
+    taxes = F.filter(_with_next(F.concat("municipal_block", "federal_block")), lambda p: F.lower(p["x"]).rlike(TAX_HEADING) & ~p["x"].rlike(TAX_VALUE) & ~X.is_header_like(p["x"]))
+    joined = F.transform(taxes, lambda p: F.when(p["y"].rlike(TAX_STOP), p["x"]).otherwise(F.concat(p["x"], F.lit(" "), p["y"])))
+    evidence = F.filter(joined, lambda x: x.rlike(TAX_EVIDENCE))
     terms = F.filter(lines, lambda x: F.lower(x).rlike("|".join(RETENTION_TERMS)))
     candidates = {
-        "fornecedor": [*_party(F.col("emitente_block"), True), (of("entities", "issuer", "fornecedor", "prestador"), 0.84), (labelled_value(lines, ISSUER_LABELS), 0.58)],
-        "tomador": [*_party(F.col("tomador_block"), False), (of("entities", "recipient", "tomador", "destinatario"), 0.84), (labelled_value(lines, RECIPIENT_LABELS), 0.58)],
+        "fornecedor": [*_party("emitente", True), (of("entities", "issuer", "fornecedor", "prestador"), 0.84), (labelled_value(lines, ISSUER_LABELS), 0.58)],
+        "tomador": [*_party("tomador", False), (of("entities", "recipient", "tomador", "destinatario"), 0.84), (labelled_value(lines, RECIPIENT_LABELS), 0.58)],
         "cnpj_fornecedor": [(cnpj_of(F.col("emitente_block")), 0.97), (of("entities", "cnpj_fornecedor", "issuer_cnpj"), 0.88), (cnpj_by(ISSUER_LABELS), 0.56)],
         "cnpj_tomador": [(cnpj_of(F.col("tomador_block")), 0.97), (of("entities", "cnpj_tomador", "recipient_cnpj"), 0.88), (cnpj_by(RECIPIENT_LABELS), 0.56)],
         "numero_nf": [(number, 0.94), (of("document_info", "number"), 0.86), (F.coalesce(*found, F.lit("")), 0.60)],
@@ -107,7 +127,8 @@ def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     same = (F.col("cnpj_tomador.value") != "") & (X.digits(F.col("cnpj_tomador.value")) == X.digits(F.col("cnpj_fornecedor.value")))
     rows = rows.withColumn("cnpj_tomador", F.when(same, F.struct(F.lit("").alias("value"), F.col("cnpj_tomador.conf").alias("conf"))).otherwise(F.col("cnpj_tomador")))
     blocks = [c for c in rows.columns if c.endswith("_block") and c not in df.columns]
-    return rows.drop("_text", "_entities", "_document_info", "_totals", *[f"_c_{n}" for n in candidates], *blocks, *(["lines"] if "lines" not in df.columns else []))
+    names = [f"_{b}_{k}" for b in ("emitente", "tomador") for k in ("near", "any", "named")]
+    return rows.drop("_text", "_entities", "_document_info", "_totals", *names, *[f"_c_{n}" for n in candidates], *blocks, *(["lines"] if "lines" not in df.columns else []))
 
 
 def validate_fields(df: DataFrame) -> DataFrame:

@@ -160,12 +160,15 @@ def f04_list_configs(spark: SparkSession, d: str) -> DataFrame:
     return admin.list_configs(_configs(spark, d).withColumn("version", F.col("config_id"))).select("config_id", "schema_id")
 
 
-@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE left(text, 200) END AS p, left(text, CAST(doc_id % 300 AS INT)) AS f FROM documents), c AS (SELECT *, trim(regexp_replace(p, '\\s+', ' ', 'g')) AS pc, trim(regexp_replace(f, '\\s+', ' ', 'g')) AS fc FROM t)
-SELECT doc_id, fc <> '' AND length(f) >= floor(length(p) * 0.6) AND CASE WHEN fc = '' THEN 0 ELSE len(string_split(fc, ' ')) END >= greatest(3, floor(CASE WHEN pc = '' THEN 0 ELSE len(string_split(pc, ' ')) END * 0.6)) AS used_fallback_text FROM c""")
+_TWO = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS primary_text, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN text ELSE concat(text, ' ', text) END AS fallback_text, 'a' AS primary_engine, 'b' AS fallback_engine FROM documents"""
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(primary_text, '') AS p, coalesce(fallback_text, '') AS f FROM ({_TWO}) AS x), c AS (SELECT *, trim(regexp_replace(p, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS pc, trim(regexp_replace(f, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS fc FROM t),
+u AS (SELECT *, fc <> '' AND length(f) >= floor(length(p) * 0.6) AND CASE WHEN fc = '' THEN 0 ELSE len(string_split(fc, ' ')) END >= greatest(3, floor(CASE WHEN pc = '' THEN 0 ELSE len(string_split(pc, ' ')) END * 0.6)) AS used FROM c)
+SELECT doc_id, used AS used_fallback_text, CASE WHEN used THEN 'a+b' ELSE 'a' END AS engine, sha256(CASE WHEN used THEN f ELSE p END) AS text_sha256 FROM u""")
 def c07_merge_ocr_results(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents")
-    both = t.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.left("text", F.lit(200))).alias("primary_text"), F.left("text", (F.col("doc_id") % 300).cast("int")).alias("fallback_text"), F.lit("a").alias("primary_engine"), F.lit("b").alias("fallback_engine"))
-    return quality.merge_ocr_results(both).select("doc_id", "used_fallback_text")
+    both = spark.sql(_TWO.replace("FROM documents", "FROM {t}"), t=table(spark, d, "documents"))
+    return quality.merge_ocr_results(both).select("doc_id", "used_fallback_text", "engine", F.sha2("raw_text", 256).alias("text_sha256"))
 
 
 @query("""WITH v AS (SELECT document_id AS doc_id, name, value, confidence FROM fx_versions WHERE version_number = 1), w AS (SELECT document_id AS doc_id, name, value, confidence, value <> '0' AS ok FROM fx_versions WHERE version_number = 2),
@@ -176,9 +179,9 @@ def c08_merge_fields(spark: SparkSession, d: str) -> DataFrame:
     return quality.merge_fields(v.where("version_number = 1"), v.where("version_number = 2").withColumn("is_valid", F.col("value") != "0"), ["valor"])
 
 
-@query("""SELECT document_id AS doc_id, round(avg(CASE WHEN name = 'quantidade' AND value <> '0' THEN 1.0 ELSE 0.0 END) FILTER (WHERE name = 'quantidade') / 2, 2) AS schema_confidence FROM fx_versions WHERE version_number = 1 GROUP BY document_id""")
+@query("""SELECT concat(document_id, '/', version_number) AS doc_id, round(avg(CASE WHEN name = 'quantidade' AND value <> '0' THEN 1.0 ELSE 0.0 END) FILTER (WHERE name = 'quantidade') / 2, 2) AS schema_confidence FROM fx_versions GROUP BY document_id, version_number""")
 def d09_schema_confidence(spark: SparkSession, d: str) -> DataFrame:
-    v = view(spark, d, "fx_versions").where("version_number = 1").select(F.col("document_id").alias("doc_id"), F.lit("s").alias("schema_id"), "name", F.when((F.col("name") == "quantidade") & (F.col("value") != "0"), F.col("value")).otherwise("").alias("value"))
+    v = view(spark, d, "fx_versions").select(F.concat_ws("/", "document_id", "version_number").alias("doc_id"), F.lit("s").alias("schema_id"), "name", F.when((F.col("name") == "quantidade") & (F.col("value") != "0"), F.col("value")).otherwise("").alias("value"))
     spec = spark.sql("select 's' as schema_id, 'quantidade' as name, true as required union all select 's', 'imposto', true union all select 's', 'obs', false")
     return quality.schema_confidence(v, spec)
 

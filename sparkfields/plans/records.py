@@ -279,10 +279,10 @@ def a03_scan_events(spark: SparkSession, d: str) -> DataFrame:
     return events.scan_events(view(spark, d, "fx_events"), "ocr.completed", 100, 25).select("stream_offset", "event_id")
 
 
-@query("SELECT event_id, stream_offset, 'documents/' || trim(tenant_id) || '/' || document_id || '/original' AS key FROM fx_events WHERE trim(tenant_id) <> ''")
+@query("SELECT event_id, stream_offset, 'documents/' || trim(tenant_id) || '/' || document_id || '/original' AS key, 'local://documents/' || trim(tenant_id) || '/' || document_id || '/original' AS uri FROM fx_events")
 def x19_object_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "fx_events").where("trim(tenant_id) <> ''")
-    return rows.select("event_id", "stream_offset", X.object_key(F.trim("tenant_id"), F.col("document_id")).alias("key"))
+    key = X.object_key(F.trim("tenant_id"), F.col("document_id"))
+    return view(spark, d, "fx_events").select("event_id", "stream_offset", key.alias("key"), X.object_uri(key).alias("uri"))
 
 
 QUERIES, SQL = query.queries, query.sql

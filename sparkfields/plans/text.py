@@ -111,9 +111,9 @@ def p05_field_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS pos FROM fx_invoices),
 h AS (SELECT doc_id, pos, coalesce(nullif(trim(regexp_extract(line, '^[^:\\-]*[:\\-]\\s*(.*)$', 1)), ''), trim(regexp_extract(line, '(?i)(?:vencimento|valor|consumo)(.*)$', 1))) AS v FROM l WHERE regexp_matches(lower(line), 'vencimento|valor|consumo'))
-SELECT i.doc_id, coalesce((SELECT arg_min(v, pos) FROM h WHERE h.doc_id = i.doc_id AND v <> ''), '') AS value FROM fx_invoices AS i WHERE template IN (1, 4, 6)""")
+SELECT i.doc_id, coalesce((SELECT arg_min(v, pos) FROM h WHERE h.doc_id = i.doc_id AND v <> ''), '') AS value FROM fx_invoices AS i""")
 def p06_labelled_value(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "fx_invoices").where("template in (1, 4, 6)")
+    rows = view(spark, d, "fx_invoices")
     return rows.select("doc_id", extract.labelled_value(X.lines(F.col("raw_text")), ["vencimento", "valor", "consumo"]).alias("value"))
 
 
@@ -220,25 +220,26 @@ def p19_render_prompts(spark: SparkSession, d: str) -> DataFrame:
     return extract.render_prompts(docs, _spec(spark)).select("doc_id", "schema_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-_ANSWERS = """SELECT document_id AS doc_id, CASE WHEN length(document_id) % 2 = 0 AND substr(document_id, 12, 1) = '3' THEN substr(fields, 1, 44) WHEN substr(document_id, 12, 1) = '5' THEN concat('```json', chr(10), fields, chr(10), '```') ELSE fields END AS response, fields, confidence FROM fx_results"""
+_FENCED = """CASE WHEN substr(document_id, 12, 1) = '5' THEN concat('```json', chr(10), fields, chr(10), '```') ELSE fields END"""
+_ANSWERS = f"SELECT document_id AS doc_id, {_FENCED} AS response, fields, confidence FROM fx_results"
+_BROKEN = f"SELECT document_id AS doc_id, CASE WHEN substr(document_id, 12, 1) = '3' THEN substr(fields, 1, 44) ELSE {_FENCED} END AS response, fields, confidence FROM fx_results"
 
 
-def _answers(spark: SparkSession, d: str) -> DataFrame:
+def _answers(spark: SparkSession, d: str, sql: str) -> DataFrame:
     rows = view(spark, d, "fx_results")
-    return rows.sparkSession.sql(_ANSWERS.replace("FROM fx_results", "FROM {r}"), r=rows)
+    return rows.sparkSession.sql(sql.replace("FROM fx_results", "FROM {r}"), r=rows)
 
 
 @query(f"""WITH a AS ({_ANSWERS})
-SELECT doc_id, 'valor' AS name, json_extract_string(fields, '$.valor.value') AS value, CAST(json_extract_string(fields, '$.valor.confidence') AS DOUBLE) AS confidence FROM a WHERE substr(doc_id, 12, 1) <> '3'
-UNION ALL SELECT doc_id, 'nota', coalesce(nullif(json_extract_string(fields, '$.nota'), ''), '{extract.PLACEHOLDER}'), CASE WHEN json_extract_string(fields, '$.nota') = '' THEN 0.0 ELSE 0.5 END FROM a WHERE substr(doc_id, 12, 1) <> '3'""")
+SELECT doc_id, 'valor' AS name, json_extract_string(fields, '$.valor.value') AS value, CAST(json_extract_string(fields, '$.valor.confidence') AS DOUBLE) AS confidence FROM a
+UNION ALL SELECT doc_id, 'nota', coalesce(nullif(json_extract_string(fields, '$.nota'), ''), '{extract.PLACEHOLDER}'), CASE WHEN json_extract_string(fields, '$.nota') = '' THEN 0.0 ELSE 0.5 END FROM a""")
 def p20_parse_responses(spark: SparkSession, d: str) -> DataFrame:
-    rows = _answers(spark, d).where("substr(doc_id, 12, 1) <> '3'")
-    return extract.parse_responses(rows, ["valor", "nota"])
+    return extract.parse_responses(_answers(spark, d, _ANSWERS), ["valor", "nota"])
 
 
 @query()
 def p20_parse_broken_responses(spark: SparkSession, d: str) -> DataFrame:
-    return extract.parse_responses(_answers(spark, d), ["valor", "nota"])
+    return extract.parse_responses(_answers(spark, d, _BROKEN), ["valor", "nota"])
 
 
 @query("""SELECT document_id AS doc_id, CASE WHEN substr(document_id, 12, 1) IN ('1', '2') THEN concat('linha um', chr(10), document_id) ELSE concat('a: 1', chr(10), 'cliente: ', json_extract_string(fields, '$.cliente')) END AS text, false AS parse_error FROM fx_results""")
@@ -327,9 +328,27 @@ def x_scalars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(r"""
-SELECT doc_id, left(regexp_replace(regexp_replace(strip_accents(lower(left(text, 100))), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 64) AS key, trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g')) AS norm,
-  translate(text, 'OoIlSsBQ', '00115580') AS fixed FROM documents WHERE regexp_matches(text, '^[A-Za-z]') AND NOT contains(text, 'ß')""")
+@query(f"""
+WITH t AS (SELECT doc_id, text, translate(lower(coalesce(text, '')), '{X.ACCENTS[0]}', '{X.ACCENTS[1]}') AS low FROM documents),
+k AS (SELECT *, regexp_replace(regexp_replace(low, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM t)
+SELECT doc_id, left(CASE WHEN regexp_matches(k, '^[0-9]') THEN concat('campo_', k) ELSE k END, 64) AS key, trim(regexp_replace(low, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS norm,
+  translate(text, 'OoIlSsBQ', '00115580') AS fixed FROM k""")
 def x_text_keys(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("text rlike '^[A-Za-z]' and not contains(text, 'ß')")
-    return rows.select("doc_id", X.snake_key(F.left("text", F.lit(100))).alias("key"), X.search_norm(F.col("text")).alias("norm"), X.ocr_digit_fix(F.col("text")).alias("fixed"))
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.snake_key(t).alias("key"), X.search_norm(t).alias("norm"), X.ocr_digit_fix(t).alias("fixed"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, text, length(regexp_replace(coalesce(text, ''), '[^A-Za-zÀ-ÿ]', '', 'g')) AS letters, length(regexp_replace(coalesce(text, ''), '[^A-Za-zÀ-ÿ0-9]', '', 'g')) AS known FROM documents)
+SELECT doc_id, doc_id % 3 = 1 AS is_date, letters < 10 OR letters / greatest(1, known) < 0.45 AS is_low_quality,
+  CASE doc_id % 4 WHEN 0 THEN 50.0 WHEN 1 THEN 88.0 WHEN 2 THEN 100.0 ELSE 0.0 END AS confidence,
+  CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.88 WHEN 2 THEN 1.0 ELSE 0.0 END AS ratio,
+  trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) = '' AS is_blank FROM t""")
+def x_checks(spark: SparkSession, d: str) -> DataFrame:
+    """X07, X13, X14, X15 over whole texts and values made of their ids."""
+    t, k = F.col("text"), F.col("doc_id")
+    day = F.when(k % 3 == 0, "31/12/199").when(k % 3 == 1, F.format_string(" %02d/99/2024 ", k % 100)).otherwise("2024-01-01")
+    first = F.when(k % 4 == 0, "0.5").when(k % 4 == 1, "n/a").when(k % 4 == 2, "250")
+    second = F.when(k % 4 == 1, F.lit(88.0)).when(k % 4 == 3, F.lit(-3.0))
+    conf = X.avg_confidence(first, second)
+    return table(spark, d, "documents").select("doc_id", X.is_date_text(day).alias("is_date"), X.is_low_quality_text(t).alias("is_low_quality"), conf.alias("confidence"), X.confidence_ratio(conf / 100).alias("ratio"), (X.clean_line(t) == "").alias("is_blank"))
