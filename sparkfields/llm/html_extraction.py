@@ -1,28 +1,28 @@
-"""Main text of web pages: structure first, then differences between neighbouring pages.
-
-A page's blocks are cut at block tags. What sits in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts or comments is left out, and an
-article element, where there is one, is the main text. On pages without one the
-template shows by comparison: pages of a host are ordered by path, each is
-paired with the neighbour whose path it shares most of, their lines are aligned
-by longest common subsequence, and lines in it are deleted.
+"""Main text of web pages: differences between neighbouring pages, guarded by structure.
+
+A page's lines are its blocks, cut at block tags. Pages of a host are ordered by
+path, each is paired with the neighbour whose path it shares most of, their
+lines are aligned by longest common subsequence, and lines in it are deleted:
+they are the template. Lines inside an article element are its author's and
+stay. What a page doesn't share, as it is alone in its host or an advert is its
+own, the structure tells: what is left in menus, headers, footers, sidebars,
+notices, adverts, forms or comments goes, and so does what is outside the
+article, where there is one.
 """
 
 from __future__ import annotations
 
-import bisect
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 from .url_filter import host, path
 
 # Elements by what they do to the text.
@@ -34,6 +34,8 @@ BLOCK = {
     "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption",
 } | LEFT_OUT
 MAIN = {"article", "main"}
+#: Elements without text of the page.
+UNSEEN = {"head", "template", "noscript", "object", "canvas", "svg"} | RAW
 #: No class or id hides these.
 SHOWN = {"html", "body"} | MAIN
 MARKS = {
@@ -46,8 +48,6 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-#: Longest common subsequences of up to so many cells are exact; longer ones are cut at their unique common lines.
-CELLS = 4_000_000
 
 
 def _marks(value: str) -> bool:
@@ -64,30 +64,39 @@ def _hidden(element: str, attrs: str) -> bool:
     return False
 
 
-def blocks(html: str | None) -> list[tuple[str, bool]]:
-    """(text, in an article) of each block that the structure keeps, in page order.
+def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, in an article, in an element that the structure leaves out) of each block, in page order.
 
     Unclosed elements end where an enclosing one ends, or with the page; end
-    tags without a start are ignored.
+    tags without a start are ignored. The head, scripts, styles and comments of
+    the markup have no text.
     """
     source = html or ""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, left out, main
-    off = inside = 0
+    off = inside = unseen = 0
     at, n = 0, len(source)
 
     def close_block() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, inside > 0))
+                out.append((text, inside > 0, off > 0))
             parts.clear()
 
+    def pop() -> str:
+        nonlocal off, inside, unseen
+        closed, hides, main = stack.pop()
+        off -= hides
+        inside -= main
+        unseen -= closed in UNSEEN
+        return closed
+
     while at < n:
         m = _TAG.search(source, at)
         end = m.start() if m else n
-        if end > at and not off:
+        if end > at and not unseen:
             parts.append(source[at:end])
         if not m:
             break
@@ -96,19 +105,18 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
         if not name:
             continue
         if name == "br":
-            if not off:
+            if not unseen:
                 parts.append(" ")
             continue
-        if name in BLOCK:
+        hides = name in LEFT_OUT or (not m[1] and _hidden(name, m[3]))
+        if name in BLOCK or hides:
             close_block()
         if m[1]:
             if any(s[0] == name for s in stack):
-                while stack:
-                    closed, hides, main = stack.pop()
-                    off -= hides
-                    inside -= main
-                    if closed == name:
-                        break
+                if name in BLOCK or any(s[0] == name and s[1] for s in stack):
+                    close_block()
+                while pop() != name:
+                    pass
         elif name not in VOID and not m[3].endswith("/"):
             if name in RAW:
                 stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
@@ -116,83 +124,64 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
                 continue
             if name == "p":  # a paragraph ends the one before
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span", "u", "font") and any(s[0] == "p" for s in stack):
-                    _, hides, main = stack.pop()
-                    off -= hides
-                    inside -= main
-            hides, main = name in LEFT_OUT or _hidden(name, m[3]), name in MAIN
+                    pop()
+            main = name in MAIN
             stack.append((name, hides, main))
             off += hides
             inside += main
+            unseen += name in UNSEEN
     close_block()
     return out
 
 
-def kept(found: list[tuple[str, bool]]) -> tuple[list[str], bool]:
-    """The blocks of the article if there is one; else all, and true: they are open to differencing."""
-    main = [t for t, inside in found if inside]
-    return (main, False) if main else ([t for t, _ in found], True)
+def kept(found: list[tuple[str, bool, bool]], gone: set[int]) -> list[str]:
+    """The texts of the blocks that neither differencing nor the structure takes away."""
+    article = any(inside and not off for _, inside, off in found)
+    return [t for k, (t, inside, off) in enumerate(found) if k not in gone and not off and (inside or not article)]
+
 
+def _ends(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with each beginning of y, a bit of a long number for each place of y."""
+    masks: dict[int, int] = {}
+    for j, v in enumerate(y):
+        masks[v] = masks.get(v, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for v in x:
+        if m := masks.get(v):
+            hit = row & m
+            row = (row + hit | row - hit) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), count=len(y), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b.
 
-    Equal ends are matched first. Where the rest is too long for a table, it is
-    cut at lines that both have once, in their longest increasing order.
+def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places in a and in b of a longest common subsequence, at any length.
+
+    Equal ends are matched first. Of the rest, one is halved and the other cut
+    where the two halves have most in common, so memory grows with the lines and
+    not with their pairs.
     """
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    ends = [*range(lo), *range(len(a) - hi, len(a))]
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if not x or not y:
-        return ends
-    if len(x) * len(y) > CELLS:
-        return sorted(ends + [lo + k for k in _anchored(x, y)])
-    left, right = np.array(x), np.array(y)
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(1, len(x) + 1):
-        diagonal = table[i - 1, :-1] + (right == left[i - 1])
-        table[i, 1:] = np.maximum.accumulate(np.maximum(diagonal, table[i - 1, 1:]))
-    found, i, j = [], len(x), len(y)
-    while i and j:
-        if x[i - 1] == y[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-            found.append(lo + i - 1)
-            i, j = i - 1, j - 1
-        elif table[i - 1, j] >= table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return sorted(ends + found)
-
-
-def _anchored(x: list[int], y: list[int]) -> list[int]:
-    once_x, once_y = Counter(x), Counter(y)
-    where = {v: j for j, v in enumerate(y) if once_y[v] == 1}
-    pairs = [(i, where[v]) for i, v in enumerate(x) if once_x[v] == 1 and v in where]
-    if not pairs:
-        both = set(x) & set(y)
-        return [i for i, v in enumerate(x) if v in both]
-    tails: list[int] = []
-    back: list[int] = []
-    last: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        at = bisect.bisect_left(tails, j)
-        back.append(last[at - 1] if at else -1)
-        tails[at : at + 1], last[at : at + 1] = [j], [k]
-    chain, k = [], last[-1]
-    while k >= 0:
-        chain.append(pairs[k])
-        k = back[k]
-    found, i0, j0 = [], 0, 0
-    for i, j in [*chain[::-1], (len(x), len(y))]:
-        found += [i0 + k for k in common_lines(x[i0:i], y[j0:j])]
-        if i < len(x):
-            found.append(i)
-        i0, j0 = i + 1, j + 1
-    return found
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        while i0 < i1 and j0 < j1 and a[i0] == b[j0]:
+            found.append((i0, j0))
+            i0, j0 = i0 + 1, j0 + 1
+        while i0 < i1 and j0 < j1 and a[i1 - 1] == b[j1 - 1]:
+            i1, j1 = i1 - 1, j1 - 1
+            found.append((i1, j1))
+        x, y = a[i0:i1], b[j0:j1]
+        if not x or not y or not set(x) & set(y):
+            continue
+        if len(x) == 1:
+            found.append((i0, j0 + y.index(x[0])))
+            continue
+        mid = len(x) // 2
+        cut_at = int(np.argmax(_ends(x[:mid], y) + _ends(x[mid:][::-1], y[::-1])[::-1]))
+        todo += [(i0, i0 + mid, j0, j0 + cut_at), (i0 + mid, i1, j0 + cut_at, j1)]
+    return sorted(found)
 
 
 def _shared(a: str, b: str) -> int:
@@ -205,13 +194,13 @@ def _shared(a: str, b: str) -> int:
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
-    """lines (key, host, path, lines) with those of the page before and after in the host, by path.
+    """lines (page, host, path, lines) with those of the page before and after in the host, by path.
 
     The rows are sorted in ranges over all hosts and numbered, so that a host
     with very many pages is spread over many tasks.
     """
     number = F.monotonically_increasing_id()
-    ranked = cut(lines.orderBy("host", "path", "key").withColumn("at", number))
+    ranked = stored(lines.orderBy("host", "path", "page").withColumn("at", number))
     part = F.shiftright("at", 33).cast("int")
     sizes = {r[0]: r[1] for r in ranked.groupBy(part.alias("p")).agg(F.count("*")).collect()}
     base, total = [], 0
@@ -219,66 +208,78 @@ def neighbours(lines: DataFrame) -> DataFrame:
         base.append(total)
         total += sizes.get(p, 0)
     if not base:
-        return ranked.select("key", "host", "path", "lines", *[F.lit(None).cast(t).alias(c) for c, t in (("path_0", "string"), ("lines_0", "array<bigint>"), ("path_1", "string"), ("lines_1", "array<bigint>"))])
+        return ranked.select("page", "path", "lines", *[F.lit(None).cast(t).alias(c) for c, t in (("path_0", "string"), ("lines_0", "array<bigint>"), ("path_1", "string"), ("lines_1", "array<bigint>"))])
     offset = F.element_at(F.lit(base), part + 1).cast("long")
     rows = ranked.withColumn("n", offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     out = rows
     for k, step in enumerate((1, -1)):
         other = rows.select((F.col("n") + step).alias(f"n_{k}"), F.col("host").alias(f"host_{k}"), F.col("path").alias(f"path_{k}"), F.col("lines").alias(f"lines_{k}"))
         out = out.join(other, (F.col("n") == F.col(f"n_{k}")) & (F.col("host") == F.col(f"host_{k}")), "left")
-    return out.select("key", "host", "path", "lines", "path_0", "lines_0", "path_1", "lines_1")
+    return out.select("page", "path", "lines", "path_0", "lines_0", "path_1", "lines_1")
 
 
 def _deletions(pairs: DataFrame) -> DataFrame:
-    """(key, gone): places of the lines that a page shares with its nearest neighbour."""
+    """(page, shared): places of the lines that a page shares with its nearest neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, gone = [], []
-            for key, own, lines, path_0, lines_0, path_1, lines_1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                near = [(-_shared(own, p), k, x) for k, (p, x) in enumerate(((path_0, lines_0), (path_1, lines_1))) if p is not None and x != lines]
-                if near and (found := common_lines(lines, min(near)[2])):
-                    keys.append(key)
+            at, gone = [], []
+            for row, (own, lines, path_0, lines_0, path_1, lines_1) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                near = [(-_shared(own, p), k, x) for k, (p, x) in enumerate(((path_0, lines_0), (path_1, lines_1))) if p is not None]
+                if near and (found := [i for i, _ in common_lines(lines, min(near)[2])]):
+                    at.append(row)
                     gone.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int64()))], names=["key", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(gone, pa.list_(pa.int64()))], names=["page", "shared"])
+
+    kind = pairs.schema["page"].dataType.simpleString()
+    return pairs.select("page", "path", "lines", "path_0", "lines_0", "path_1", "lines_1").mapInArrow(run, f"page {kind}, shared array<bigint>")
+
 
-    return pairs.select("key", "path", "lines", "path_0", "lines_0", "path_1", "lines_1").mapInArrow(run, "key bigint, gone array<bigint>")
+def _identity(*columns: Column) -> Column:
+    """Two hashes of 64 bits, as 10^10 rows would have equal ones under one."""
+    return F.concat_ws("/", F.xxhash64(*columns).cast("string"), F.xxhash64(F.lit("and"), *columns).cast("string"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) for every row of pages; blocks are joined by an empty line.
-
-    Lines inside an article element are its author's and never deleted; without
-    one, lines that the nearest page of the host shares go. A page with the very
-    lines of its neighbour is a copy and isn't compared with it; pages alone in
-    their host lose nothing more. Null html is empty and gives an empty text;
-    null urls and urls without :// share a nameless host; equal rows get equal
-    texts; no rows give no rows.
+    """(page_id, url, text, n_shared) for every row of pages; blocks are joined by an empty line.
+
+    Lines that the nearest page of the host shares go, but for those inside an
+    article element; n_shared counts those that go. Pages of a host with the
+    same lines are copies: they are one page, at the first of their paths, and
+    are compared with the nearest that isn't one of them. Pages alone in their
+    host have no differences; there the structure decides. Null html is empty
+    and gives an empty text; null urls and urls without :// share a nameless
+    host; pages of any length are aligned exactly; equal rows get equal texts;
+    ties go to the page before; extra columns are not read; no rows give no
+    rows.
     """
-    key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col))
+    key = _identity(F.col(id_col), F.col(url_col), F.col(html_col))
     rows = pages.select(key.alias("key"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     digest = xxhash.xxh3_64_intdigest
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [kept(blocks(x)) for x in batch.column(3).to_pylist()]
-            at = [k for k, (texts, open_) in enumerate(found) if open_ and texts]
-            hashes = [[digest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in found[k][0]] for k in at]
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
+            found = [blocks(x) for x in batch.column(3).to_pylist()]
+            hashes = [[digest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, *_ in x] for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
     narrow = rows.select("key", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
-    open_lines = narrow.mapInArrow(lines, "key bigint, host string, path string, lines array<bigint>").dropDuplicates(["key"])
-    gone = _deletions(neighbours(open_lines)).withColumnRenamed("key", "gone_key")
-    both = rows.join(gone, F.col("key") == F.col("gone_key"), "left").select("page_id", "url", "html", "gone")
+    own = narrow.mapInArrow(lines, "key string, host string, path string, lines array<bigint>").where(F.size("lines") > 0)
+    own = stored(own.withColumn("page", _identity(F.col("host"), F.col("lines"))))
+    one = own.groupBy("page").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"))
+    shared = _deletions(neighbours(one)).withColumnRenamed("page", "of")
+    gone = own.join(shared, F.col("page") == F.col("of")).select(F.col("key").alias("gone_key"), "shared").dropDuplicates(["gone_key"])
+    both = rows.join(gone, F.col("key") == F.col("gone_key"), "left").select("page_id", "url", "html", "shared")
     kind = both.schema["page_id"].dataType.simpleString()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, counts = [], []
             for source, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                lost = set(drop or ())
-                out.append("\n\n".join(t for k, t in enumerate(kept(blocks(source))[0]) if k not in lost))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+                found = blocks(source)
+                lost = {k for k in drop or () if not found[k][1]}
+                out.append("\n\n".join(kept(found, lost)))
+                counts.append(len(lost))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_shared"])
 
-    return both.mapInArrow(texts, f"page_id {kind}, url string, text string")
+    return both.mapInArrow(texts, f"page_id {kind}, url string, text string, n_shared bigint")
