@@ -96,10 +96,11 @@ def route_dlq(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dlq_summary(letters: DataFrame, limit: int = 50) -> DataFrame:
-    """(stream, n, last_id, last_error) over the first `limit` letters of each stream."""
+    """(stream, total, n, last_id, last_error): all letters of each stream, and the number, last id and last error of its first `limit`."""
     n = F.row_number().over(Window.partitionBy("stream").orderBy("event_stream_id"))
-    few = letters.withColumn("_n", n).where(F.col("_n") <= limit)
-    return few.groupBy("stream").agg(F.count("*").alias("n"), F.max("event_stream_id").alias("last_id"), F.max(F.struct("event_stream_id", "error"))["error"].alias("last_error"))
+    seen = F.when(F.col("_n") <= limit, F.struct("event_stream_id", "error"))
+    rows = letters.select("stream", "event_stream_id", "error", n.alias("_n")).groupBy("stream").agg(F.count("*").alias("total"), F.count(seen).alias("n"), F.max(seen).alias("l"))
+    return rows.select("stream", "total", "n", F.col("l.event_stream_id").alias("last_id"), F.col("l.error").alias("last_error"))
 
 
 def dlq_requeue(letters: DataFrame, requests: DataFrame) -> DataFrame:
@@ -114,6 +115,20 @@ def dlq_requeue(letters: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select(F.col("q_stream").alias("stream"), F.col("q_id").alias("event_stream_id"), target.alias("target"), outcome.alias("outcome"))
 
 
+def requeue(letters: DataFrame, requests: DataFrame, requested_by: str, note: str, at: Column) -> tuple[DataFrame, DataFrame]:
+    """What executing dlq_requeue appends: (stream, payload) to the target streams, and audit rows to {stream}.requeued.
+
+    Without executing it, dlq_requeue is the plan alone.
+    """
+    plan = dlq_requeue(letters, requests).where("outcome = 'requeued'").select(F.col("stream").alias("q_stream"), F.col("event_stream_id").alias("q_id"), "target")
+    both = plan.join(letters, (F.col("q_stream") == F.col("stream")) & (F.col("q_id") == F.col("event_stream_id")))
+    audit = both.select(
+        F.concat("q_stream", F.lit(".requeued")).alias("stream"), at.alias("occurred_at"), F.col("q_stream").alias("dlq_stream"), F.col("q_id").alias("dlq_entry_id"), F.col("target").alias("target_stream"),
+        F.lit(requested_by).alias("requested_by"), F.lit(note).alias("note"), F.col("event_type").alias("payload_event_type"), F.col("event_id").alias("payload_event_id"),
+    )
+    return both.select(F.col("target").alias("stream"), "payload"), audit
+
+
 def backlog(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("event_type").alias("stream")).agg(F.count("*").alias("n"))
 
@@ -124,13 +139,28 @@ def scan_events(events: DataFrame, stream: str, offset: int, count: int) -> Data
 
 
 def latency_report(samples: DataFrame) -> DataFrame:
-    """Per scenario n, ok, errors, the first five errors, p50 (median) and p95 (nearest rank, half to even)."""
+    """Per scenario n, ok, errors, the first five errors, p50 (median) and p95 (nearest rank, half to even) of all calls, failed ones too.
+
+    Samples have scenario, iteration, latency_ms, error; with a column
+    started_ms there is also ok_per_second, over the time from the first start
+    to the last end. Equal latencies are counted first, so a scenario is ranked
+    by its values and not by its calls.
+    """
+    values = samples.groupBy("scenario", "latency_ms").agg(F.count("*").alias("k"))
     by = Window.partitionBy("scenario")
-    good = samples.where("error is null").withColumn("_r", F.row_number().over(by.orderBy("latency_ms", "iteration")) - 1).withColumn("_n", F.count("*").over(by))
-    p = good.groupBy(F.col("scenario").alias("g")).agg(F.median("latency_ms").alias("p50"), F.max(F.when(F.col("_r") == F.bround(F.lit(0.95) * (F.col("_n") - 1)), F.col("latency_ms"))).alias("p95"))
-    bad = samples.where("error is not null").withColumn("_r", F.row_number().over(by.orderBy("iteration"))).where("_r <= 5")
+    ranked = values.withColumn("upto", F.sum("k").over(by.orderBy("latency_ms"))).withColumn("all", F.sum("k").over(by))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("latency_ms")))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    p = ranked.groupBy(F.col("scenario").alias("g")).agg(((at(low) + at(high)) / 2).alias("p50"), at(F.bround(F.lit(0.95) * (F.col("all") - 1))).alias("p95"))
+    first = Window.partitionBy("scenario").orderBy("iteration")
+    bad = samples.where("error is not null").select("scenario", "error", F.row_number().over(first).alias("_r")).where("_r <= 5")
     five = bad.groupBy(F.col("scenario").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "error"))), lambda x: x["error"]), "|").alias("first_errors"))
-    total = samples.groupBy("scenario").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    ok = F.count_if(F.col("error").isNull())
+    more = []
+    if "started_ms" in samples.columns:
+        seconds = (F.max(F.col("started_ms") + F.col("latency_ms")) - F.min("started_ms")) / 1000
+        more = [F.round(ok / F.greatest(seconds, F.lit(1e-6)), 2).alias("ok_per_second")]
+    total = samples.groupBy("scenario").agg(F.count("*").alias("n"), ok.alias("ok"), F.count_if(F.col("error").isNotNull()).alias("errors"), *more)
     return total.join(p, F.col("scenario") == F.col("g"), "left").join(five, F.col("scenario") == F.col("b"), "left").drop("g", "b")
 
 
@@ -154,7 +184,7 @@ def extraction_status(df: DataFrame, on_demand: bool = False) -> DataFrame:
 def erp_request(docs: DataFrame, settings: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
     """(document_id, idempotency_key, connector, status, retry_count, next_status) of approved documents whose tenant exports; a request made before starts anew."""
     on = settings.where("approved_export_enabled").select(F.col("tenant_id").alias("s_tenant"), "connector")
-    rows = docs.where("status = 'APPROVED'").join(F.broadcast(on), F.col("tenant_id") == F.col("s_tenant"))  # one row a tenant
+    rows = docs.where("status = 'APPROVED'").join(on, F.col("tenant_id") == F.col("s_tenant"))
     key = F.concat_ws(":", "tenant_id", "id", F.lit("erp"), F.lit("v1"))
     rows = rows.select(F.col("id").alias("document_id"), key.alias("idempotency_key"), "connector", F.lit("requested").alias("status"), F.lit("ERP_INTEGRATION_REQUESTED").alias("next_status"))
     if attempts is None:
@@ -177,6 +207,6 @@ def export_approved(docs: DataFrame, results: DataFrame, settings: DataFrame) ->
     from .inbox import canonical_payload
 
     on = settings.where("approved_export_enabled").select(F.col("tenant_id").alias("s_tenant"))
-    rows = docs.where("status = 'APPROVED'").join(F.broadcast(on), F.col("tenant_id") == F.col("s_tenant"), "left_semi")  # one row a tenant
+    rows = docs.where("status = 'APPROVED'").join(on, F.col("tenant_id") == F.col("s_tenant"), "left_semi")
     payload = canonical_payload(rows, results).withColumnRenamed("document_id", "p_id")
     return rows.join(payload, F.col("id") == F.col("p_id")).select("tenant_id", F.col("id").alias("document_id"), "status", "payload")

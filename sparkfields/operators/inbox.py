@@ -143,5 +143,5 @@ def version_confidence(fields: DataFrame, *keys: str) -> DataFrame:
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_n", n).where("_n = 1").drop("_n")
+    row, at = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)
+    return df.groupBy(*keys).agg(F.min_by(row, at).alias("_first")).select("_first.*")

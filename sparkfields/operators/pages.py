@@ -11,11 +11,12 @@ from ..functions import exprs as X
 
 
 def dedupe_lines(pages: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """pages with `unique_text`: of lines alike in lower case and spacing the first stays."""
+    """pages with `unique_text`: of lines alike in lower case and spacing the first stays; the lines are sorted, not searched."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    rows = pages.withColumn("_l", lines).withColumn("_n", F.transform("_l", lambda x: F.lower(X.clean_line(x))))
-    kept = F.filter("_l", lambda x, i: F.array_position("_n", F.get("_n", i)) == i + 1)
-    return rows.withColumn("unique_text", F.array_join(kept, "\n")).drop("_l", "_n")
+    rows = pages.withColumn("_s", F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(X.clean_line(x)).alias("n"), i.alias("i"), x.alias("x")))))
+    first = F.filter("_s", lambda e, i: (i == 0) | (F.get("_s", i - 1)["n"] != e["n"]))
+    kept = F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
+    return rows.withColumn("unique_text", F.array_join(kept, "\n")).drop("_s")
 
 
 def page_blocks(pages: DataFrame, text_col: str = "text") -> DataFrame:

@@ -132,7 +132,11 @@ def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
 
 
 def validate_fields(df: DataFrame) -> DataFrame:
-    """df, with a column (value, conf) or text for each of FIELDS, with a flag for each and required_missing."""
+    """df, with a column (value, conf) or text for each of FIELDS, with a flag for each and required_missing.
+
+    required_present tells it for each required field, and cnpj_tomador_validado
+    repeats cnpj_tomador_valido, which so counts twice in the score.
+    """
     kinds = dict(df.dtypes)
     v = {n: X.strip_space(F.coalesce(F.col(f"{n}.value") if kinds[n].startswith("struct") else F.col(n), F.lit(""))) for n in FIELDS}
     text = lambda n, least: (F.length(v[n]) > least) & ~X.is_header_like(v[n])
@@ -140,10 +144,9 @@ def validate_fields(df: DataFrame) -> DataFrame:
         "fornecedor_ok": text("fornecedor", 2), "tomador_ok": text("tomador", 2), "cnpj_fornecedor_valido": X.cnpj_valid(v["cnpj_fornecedor"]), "cnpj_tomador_valido": X.cnpj_valid(v["cnpj_tomador"]),
         "numero_nf_valido": text("numero_nf", 0), "descricao_ok": text("descricao_servico", 10), "valor_valido": F.coalesce(X.currency_loose(v["valor_nf"]) > 0, F.lit(False)), "retencao_ok": text("retencao", 0),
     }
-    missing = F.lit(False)
-    for n in REQUIRED:
-        missing = missing | (v[n] == "")
-    return df.withColumns(flags).withColumn("required_missing", missing)
+    present = F.create_map(*[x for n in REQUIRED for x in (F.lit(n), v[n] != "")])
+    rows = df.withColumns(flags).withColumn("required_present", present)
+    return rows.withColumn("required_missing", F.exists(F.map_values("required_present"), lambda x: ~x)).withColumn("cnpj_tomador_validado", F.col("cnpj_tomador_valido"))
 
 
 def field_quality(df: DataFrame, ocr_confidence: Column | None = None) -> DataFrame:
@@ -154,7 +157,7 @@ def field_quality(df: DataFrame, ocr_confidence: Column | None = None) -> DataFr
     """
     num = lambda c: F.col(c).cast("int")
     rows = df.withColumns({f"_f_{n}": F.when(X.is_header_like(F.col(f"{n}.value")), 0.0).otherwise(F.col(f"{n}.conf")) for n in FIELDS})
-    share, mean = num("cnpj_tomador_valido"), F.lit(0.0)
+    share, mean = num("cnpj_tomador_validado"), F.lit(0.0)
     for n in FIELDS:
         share, mean = share + num(FLAG[n]), mean + F.col(f"_f_{n}")
     pct = F.coalesce(ocr_confidence, mean / len(FIELDS) * 100) if ocr_confidence is not None else mean / len(FIELDS) * 100
@@ -198,7 +201,7 @@ def apply_post_processing(fields: DataFrame, rules: DataFrame) -> DataFrame:
     are.
     """
     r = rules.select(F.col("schema_id").alias("r_schema"), F.col("name").alias("r_name"), "kind", "pattern", "allowed", "least", "most", "required")
-    rows = fields.join(F.broadcast(r), (F.col("schema_id") == F.col("r_schema")) & (F.col("name") == F.col("r_name")), "left")  # rules are written by hand
+    rows = fields.join(r, (F.col("schema_id") == F.col("r_schema")) & (F.col("name") == F.col("r_name")), "left")
     v = X.strip_space(F.col("value"))
     blank = F.coalesce(v.isin("", "-") | (v == PLACEHOLDER), F.lit(True))
     d, low = X.digits(v), X.without_accents(v)
@@ -262,7 +265,7 @@ def schema_confidence(fields: DataFrame, spec: DataFrame) -> DataFrame:
     """
     some = spec.groupBy("schema_id").agg(F.bool_or("required").alias("some"))
     wanted = spec.join(some, "schema_id").where("required or not some").select(F.col("schema_id").alias("s_schema"), F.col("name").alias("s_name"))
-    docs = fields.select("doc_id", "schema_id").distinct().join(F.broadcast(wanted), F.col("schema_id") == F.col("s_schema"))  # specs are written by hand
+    docs = fields.select("doc_id", "schema_id").distinct().join(wanted, F.col("schema_id") == F.col("s_schema"))
     have = fields.where(F.coalesce((X.strip_space(F.col("value")) != "") & (F.col("value") != PLACEHOLDER), F.lit(False))).select(F.col("doc_id").alias("h_doc"), F.col("name").alias("h_name")).distinct()
     joined = docs.join(have, (F.col("doc_id") == F.col("h_doc")) & (F.col("s_name") == F.col("h_name")), "left")
     return joined.groupBy("doc_id").agg(F.round(F.avg(F.col("h_doc").isNotNull().cast("int")), 2).alias("schema_confidence"))

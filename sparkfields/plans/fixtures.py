@@ -142,13 +142,13 @@ def with_views(sql: str) -> str:
     return f"WITH {', '.join(named)} {body}" if named else body
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table over the tables of sf_dir."""
+def view(spark: SparkSession, sf_dir: str, name: str, **streams: DataFrame) -> DataFrame:
+    """One derived table over the tables of sf_dir, or over streams of them given by name."""
     text = VIEWS[name]
-    prefix = f"fx_{zlib.crc32(sf_dir.encode())}_"
+    prefix = f"fx_{zlib.crc32(sf_dir.encode())}_" + "stream_" * bool(streams)
     for t in TABLES:
         if (changed := re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {prefix}{t}", text)) != text:
-            table(spark, sf_dir, t).createOrReplaceTempView(prefix + t)
+            (streams[t] if t in streams else table(spark, sf_dir, t)).createOrReplaceTempView(prefix + t)
             text = changed
     return spark.sql(text)
 

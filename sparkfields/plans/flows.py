@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import admin, capture, events, pages, quality
+from ..operators import admin, capture, events, extract, pages, quality
 from ..sources import files
 from ..streaming import jobs, runs
+from . import records
 from .fixtures import table, view
 from .registry import Registry
 
@@ -256,17 +257,23 @@ def p21_truncate_loops(spark: SparkSession, d: str) -> DataFrame:
     return pages.truncate_loops(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.length("loop_free").cast("long").alias("n_chars"), F.sha2("loop_free", 256).alias("sha256"))
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
-SELECT user_id AS key, min(ts) AS started, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM n GROUP BY user_id, s""")
+_SESSIONS = """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+"""
+
+
+@query(_SESSIONS + "SELECT user_id AS key, min(ts) AS started, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM n GROUP BY user_id, s")
 def s05a_debounce(spark: SparkSession, d: str) -> DataFrame:
     out = jobs.debounce(table(spark, d, "events"), "user_id", "ts", "event_id", 7200)
     return out.withColumn("items", F.array_join("items", ",")).withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+_GROUPS = """WITH RECURSIVE o AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 w AS (SELECT user_id, ts, event_id, r, ts AS first, CAST(1 AS BIGINT) AS g FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.ts, o.event_id, o.r, CASE WHEN o.ts - w.ts > INTERVAL 86400 SECOND OR o.ts - w.first >= INTERVAL 172800 SECOND THEN o.ts ELSE w.first END,
   CASE WHEN o.ts - w.ts > INTERVAL 86400 SECOND OR o.ts - w.first >= INTERVAL 172800 SECOND THEN w.g + 1 ELSE w.g END FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1)
-SELECT user_id AS key, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM w GROUP BY user_id, g""")
+"""
+
+
+@query(_GROUPS + "SELECT user_id AS key, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM w GROUP BY user_id, g")
 def s05b_debounce_max_wait(spark: SparkSession, d: str) -> DataFrame:
     out = jobs.debounce_max_wait(table(spark, d, "events"), "user_id", "ts", "event_id", 86400, 172800)
     return out.select("key", "n", F.array_join("items", ",").alias("items"))
@@ -277,44 +284,61 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")  # a pattern, as the table may be one file
 
 
-@query()
+@query(_GROUPS + "SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, CAST(event_id AS VARCHAR)) AS items FROM w GROUP BY user_id, g")
 def s05b_debounce_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = runs.run_now(jobs.debounce_stream(_stream(spark, d, "events"), "user_id", "ts", "event_id", 86400, 172800))
+    out = runs.run_now(jobs.debounce_stream(runs.ended(_stream(spark, d, "events"), "ts"), "user_id", "ts", "event_id", 86400, 172800))
     return out.select("key", "n", F.array_join("items", ",").alias("items"))
 
 
-@query()
+@query(_SESSIONS + "SELECT user_id AS key, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items FROM n GROUP BY user_id, s")
 def s07_drain_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions that silence has closed when the input there is has been read."""
-    out = runs.run_now(jobs.debounce(_stream(spark, d, "events"), "user_id", "ts", "event_id", 7200))
+    """All sessions of the input there is: silence closes them, or the end mark."""
+    out = runs.run_now(jobs.debounce(runs.ended(_stream(spark, d, "events"), "ts"), "user_id", "ts", "event_id", 7200))
     return out.select("key", "n", F.array_join("items", ",").alias("items"))
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT event_id, event_type, ts FROM events")
 def s02_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
-    return runs.run_now(jobs.dedupe_stream(_stream(spark, d, "events"), "event_id", "ts", "1 hour")).select("event_id", "event_type")
+    """A stream that brings every event twice."""
+    twice = _stream(spark, d, "events").unionByName(_stream(spark, d, "events"))
+    return runs.run_now(jobs.dedupe_stream(twice, "event_id", "ts", "1 hour")).select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(records.STATE)
+def s03_state_upsert(spark: SparkSession, d: str) -> DataFrame:
+    at = runs.folder(spark)
+    log = view(spark, d, "fx_events", events=_stream(spark, d, "events"))
+    jobs.state_upsert(log, f"{at}/log", f"{at}/state", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/state").select(*records.e08_document_state(spark, d).columns)
 
 
-@query("SELECT layout_schema AS schema_id, count(*) AS n FROM (SELECT CASE template WHEN 2 THEN 'boleto' WHEN 3 THEN 'boleto' WHEN 4 THEN 'fatura' WHEN 5 THEN 'fatura' ELSE 'generic' END AS layout_schema FROM fx_invoices) AS t GROUP BY 1")
+_KIND = "CASE template WHEN 2 THEN 'boleto' WHEN 3 THEN 'boleto' WHEN 4 THEN 'fatura' WHEN 5 THEN 'fatura' ELSE 'generic' END"
+
+
+@query(f"""SELECT doc_id, CAST(doc_id AS VARCHAR) AS input_event_id, 'extraction.completed' AS event_type, {_KIND} AS schema_id, substr(raw_text, 1, 500) AS preview FROM fx_invoices""")
 def s04_classify_extract(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "fx_invoices").withColumn("event_id", F.col("doc_id").cast("string"))
-    return jobs.classify_extract(rows).groupBy("schema_id").agg(F.count("*").alias("n"))
+    return jobs.classify_extract(rows).select("doc_id", "input_event_id", "event_type", "schema_id", "preview")
 
 
-@query("SELECT event_type, count(*) AS n FROM fx_events WHERE event_type NOT IN ('document.received', 'ocr.completed', 'extraction.completed', 'erp.sent', 'erp.failed') OR event_version <> 'v1' OR trim(tenant_id) = '' OR confidence > 1 GROUP BY event_type")
+@query(f"SELECT coalesce(event_type, 'unknown') || '.dlq' AS stream, stream_offset AS event_stream_id, event_type, event_id, 'ValueError' AS error_type, error FROM ({records.VALID}) AS v WHERE error IS NOT NULL")
 def s01_route_dlq(spark: SparkSession, d: str) -> DataFrame:
-    return events.route_dlq(view(spark, d, "fx_events"))[1].groupBy("event_type").agg(F.count("*").alias("n"))
+    """Dead letters of a stream, as its two sinks get them."""
+    at = runs.folder(spark)
+    jobs.route_stream(view(spark, d, "fx_events", events=_stream(spark, d, "events")), f"{at}/good", f"{at}/dead", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/dead").select("stream", "event_stream_id", "event_type", "event_id", "error_type", "error")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY event_type")
+@query("SELECT CAST(user_id AS VARCHAR) AS document_id, CAST(event_id AS VARCHAR) AS input_event_id, 'ocr.failed' AS event_type, CASE event_id % 2 WHEN 0 THEN 'engine' ELSE 'timeout' END AS reason, true AS retryable, concat('local://', user_id) AS file_uri FROM events WHERE event_type = 'error'")
 def s08_s09_failures(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("why", F.when(F.col("event_type") == "error", "engine"))
-    _, bad = jobs.flush_rows(e, F.col("why"))
-    failed = jobs.failure_events(bad.select(F.lit("t").alias("tenant_id"), F.col("user_id").alias("document_id"), "error", "event_id", F.lit("u").alias("file_uri")))
-    return failed.groupBy(F.lit("error").alias("event_type")).agg(F.count("*").alias("n"))
+    why = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "engine").otherwise("timeout"))
+    _, bad = jobs.flush_rows(table(spark, d, "events"), why)
+    user = F.col("user_id").cast("string")
+    rows = bad.select(F.lit("t").alias("tenant_id"), user.alias("document_id"), "error", F.col("event_id").cast("string").alias("event_id"), F.concat(F.lit("local://"), user).alias("file_uri"))
+    return jobs.failure_events(rows).drop("tenant_id")
 
 
-@query()
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, value FROM events")
 def a04_a05_event_files(spark: SparkSession, d: str) -> DataFrame:
     """Events appended to a stream's files and tailed from there."""
     at = runs.folder(spark)
@@ -323,11 +347,74 @@ def a04_a05_event_files(spark: SparkSession, d: str) -> DataFrame:
     return runs.run_now(files.stream_events(spark, f"{at}/events", "event_id string, event_type string, value double"))
 
 
-@query()
+_BLOBS = "SELECT concat('documents/t', CAST(doc_id % 5 AS STRING), '/d', CAST(doc_id AS STRING), '/original') AS key, coalesce(text, '') AS body FROM documents"
+_NAMED = "SELECT concat('in/', CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'B' END, CAST(doc_id AS STRING), '.', CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'PNG' WHEN 2 THEN 'txt' WHEN 3 THEN 'tiff' WHEN 4 THEN 'docx' ELSE 'webp' END) AS key, coalesce(text, '') AS body FROM documents"
+
+
+def _put(spark: SparkSession, d: str, sql: str) -> str:
+    """A new folder with a file for each row of sql over documents."""
+    rows = spark.sql(sql.replace("FROM documents", "FROM {t}"), t=table(spark, d, "documents"))
+    at = runs.folder(spark)
+    files.put_blobs(rows.select("key", F.col("body").cast("binary").alias("content")), at)
+    return at
+
+
+@query(f"SELECT key, split_part(key, '/', 2) AS tenant_id, split_part(key, '/', 3) AS document_id, strlen(body) AS size_bytes, sha256(body) AS sha256 FROM ({_BLOBS}) AS b")
+def a01_scan_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts stored under their keys, and found there."""
+    return files.scan_blobs(spark, _put(spark, d, _BLOBS)).select("key", "tenant_id", "document_id", "size_bytes", "sha256")
+
+
+@query(f"SELECT split_part(key, '/', 2) AS name, strlen(body) AS size_bytes FROM ({_NAMED}) AS b WHERE NOT contains(key, '.txt') AND NOT contains(key, '.docx')")
+def a12_scan_supported(spark: SparkSession, d: str) -> DataFrame:
+    return files.scan_supported(spark, _put(spark, d, _NAMED)).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size_bytes")
+
+
+@query(f"""SELECT key, strlen(body) AS size_bytes, sha256(body) AS sha256 FROM ({_BLOBS}) AS b
+UNION ALL SELECT split_part(key, '/', 2), strlen(body), NULL FROM ({_NAMED}) AS c WHERE NOT contains(key, '.txt') AND NOT contains(key, '.docx')""")
 def a01_a12_scan_files(spark: SparkSession, d: str) -> DataFrame:
-    """The given Parquet files as blobs: their number and size by ending."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{d}/nation.parquet")
-    return rows.select(F.regexp_extract("path", r"\.([^./]+)$", 1).alias("ending"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """What the two scans give for files of all documents."""
+    named = a12_scan_supported(spark, d).select(F.col("name").alias("key"), "size_bytes", F.lit(None).cast("string").alias("sha256"))
+    return a01_scan_blobs(spark, d).select("key", "size_bytes", "sha256").unionByName(named)
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN coalesce(source, '') ELSE coalesce(text, '') END AS raw_text, CASE WHEN doc_id % 5 > 1 THEN 'tesseract' END AS engine_used FROM documents""")
+def a02_scan_raw_text(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised texts in JSON files: missing (0), broken (1), with a fallback text (2), whole."""
+    docs = table(spark, d, "documents")
+    body = F.to_json(F.struct(F.when(F.col("doc_id") % 5 == 2, "").otherwise(F.col("text")).alias("raw_text"), F.col("source").alias("raw_text_fallback"), F.lit("tesseract").alias("engine_used")))
+    body = F.when(F.col("doc_id") % 5 == 1, F.lit('{"raw_text": "cut of')).otherwise(body)
+    at = runs.folder(spark)
+    files.put_blobs(docs.where("doc_id % 5 > 0").select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("key"), body.cast("binary").alias("content")), at)
+    found = files.scan_raw_text(spark, at, docs.select(F.col("doc_id").cast("string").alias("id")))
+    return found.select(F.col("document_id").cast("long").alias("doc_id"), "raw_text", "engine_used")
+
+
+@query("""SELECT tenant_id, id AS document_id, status, concat('c-', id) AS correlation_id, json_extract_string(r.fields, '$.cliente') AS cliente, '2024-01-02T03:04:05Z' AS exported_at, 'correlation_id,document_id,exported_at,payload,status' AS keys
+FROM fx_documents JOIN nation ON tenant_id = n_name LEFT JOIN fx_results AS r ON r.document_id = id WHERE status = 'APPROVED' AND n_nationkey % 2 = 0""")
+def a06_export_files(spark: SparkSession, d: str) -> DataFrame:
+    """Approved documents as the files of each tenant hold them."""
+    rows = events.export_approved(view(spark, d, "fx_documents"), view(spark, d, "fx_results"), records.settings(spark, d))
+    at = runs.folder(spark)
+    files.write_approved(rows.withColumn("correlation_id", F.concat(F.lit("c-"), "document_id")), at, F.lit("2024-01-02T03:04:05Z"))
+    read = spark.read.text(at)
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    return read.select("tenant_id", get("document_id").alias("document_id"), get("status").alias("status"), get("correlation_id").alias("correlation_id"), F.get_json_object(get("payload"), "$.fields.cliente").alias("cliente"), get("exported_at").alias("exported_at"), F.array_join(F.json_object_keys("value"), ",").alias("keys"))
+
+
+@query("SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def j02_extract_with(spark: SparkSession, d: str) -> DataFrame:
+    """A user's own extractor over Arrow batches of whole texts."""
+    import hashlib
+
+    def own(frames):
+        for frame in frames:
+            texts = frame["text"].fillna("")
+            frame = frame[["doc_id"]].copy()
+            frame["n_chars"], frame["sha256"] = texts.str.len(), texts.map(lambda t: hashlib.sha256(t.encode()).hexdigest())
+            yield frame
+
+    return extract.extract_with(table(spark, d, "documents").select("doc_id", "text"), own, "doc_id bigint, n_chars bigint, sha256 string")
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -67,11 +67,11 @@ def b10_b11_metadata(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "fx_documents").select("id", inbox.channel_metadata(F.col("metadata")).alias("channel_name"), inbox.merge_metadata(F.col("metadata"), right).alias("merged"))
 
 
-_VALID = """SELECT *, CASE WHEN event_type NOT IN ('document.received', 'ocr.completed', 'extraction.completed', 'erp.sent', 'erp.failed') THEN 'unknown event type' WHEN event_version <> 'v1' THEN 'event_version' WHEN trim(tenant_id) = '' THEN 'tenant_id'
+VALID = """SELECT *, CASE WHEN event_type NOT IN ('document.received', 'ocr.completed', 'extraction.completed', 'erp.sent', 'erp.failed') THEN 'unknown event type' WHEN event_version <> 'v1' THEN 'event_version' WHEN trim(tenant_id) = '' THEN 'tenant_id'
   WHEN confidence > 1 OR confidence < 0 THEN 'confidence' END AS error FROM fx_events"""
 
 
-@query(f"SELECT stream_offset, error IS NULL AS is_valid, error FROM ({_VALID}) AS v")
+@query(f"SELECT stream_offset, error IS NULL AS is_valid, error FROM ({VALID}) AS v")
 def b12_validate_events(spark: SparkSession, d: str) -> DataFrame:
     return events.validate_events(view(spark, d, "fx_events")).select("stream_offset", "is_valid", "error")
 
@@ -125,7 +125,7 @@ def c09_version_history(spark: SparkSession, d: str) -> DataFrame:
     return versions.version_history(view(spark, d, "fx_versions"))
 
 
-_DLQ = f"SELECT concat(event_type, '.dlq') AS stream, stream_offset AS event_stream_id, event_type, event_id, error FROM ({_VALID}) AS v WHERE error IS NOT NULL"
+_DLQ = f"SELECT concat(event_type, '.dlq') AS stream, stream_offset AS event_stream_id, event_type, event_id, error FROM ({VALID}) AS v WHERE error IS NOT NULL"
 
 
 @query(f"""WITH l AS ({_DLQ}), q AS (SELECT stream, event_stream_id, CASE event_stream_id % 4 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'erp.sent' END AS target FROM l UNION ALL SELECT 'erp.sent.dlq', -1, NULL)
@@ -138,19 +138,32 @@ def c11_dlq_requeue(spark: SparkSession, d: str) -> DataFrame:
     return events.dlq_requeue(letters, asks.unionByName(spark.sql("select 'erp.sent.dlq' as stream, -1L as event_stream_id, cast(null as string) as target")))
 
 
+@query(f"""WITH l AS ({_DLQ}) SELECT concat(stream, '.requeued') AS stream, event_stream_id AS dlq_entry_id, CASE WHEN event_stream_id % 2 = 0 THEN 'erp.sent' ELSE replace(stream, '.dlq', '') END AS target_stream,
+  'ops' AS requested_by, event_type AS payload_event_type, event_id AS payload_event_id, event_id AS requeued_event_id FROM l WHERE stream <> 'bogus.event.dlq'""")
+def c11_requeue_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The audit rows of executed requests, each with the id of what was published again."""
+    _, letters = events.route_dlq(view(spark, d, "fx_events"))
+    asks = letters.select("stream", "event_stream_id", F.when(F.col("event_stream_id") % 2 == 0, "erp.sent").alias("target"))
+    again, audit = events.requeue(letters, asks, "ops", "", F.lit("2024-01-02T03:04:05Z"))
+    sent = again.select("stream", F.get_json_object("payload", "$.event_id").alias("requeued_event_id")).distinct()
+    out = audit.join(sent, (audit["target_stream"] == sent["stream"]) & (F.col("payload_event_id") == F.col("requeued_event_id"))).drop(sent["stream"])
+    return out.select("stream", "dlq_entry_id", "target_stream", "requested_by", "payload_event_type", "payload_event_id", "requeued_event_id")
+
+
+
 @query("SELECT document_id, 1 AS version_number FROM fx_results WHERE document_id NOT IN (SELECT document_id FROM fx_versions)")
 def c12_backfill_versions(spark: SparkSession, d: str) -> DataFrame:
     return versions.backfill_versions(view(spark, d, "fx_results"), view(spark, d, "fx_versions")).select("document_id", "version_number")
 
 
-def _settings(spark: SparkSession, d: str) -> DataFrame:
+def settings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_name").alias("tenant_id"), (F.col("n_nationkey") % 2 == 0).alias("approved_export_enabled"), F.concat(F.lit("erp-"), F.col("n_regionkey").cast("string")).alias("connector"))
 
 
 @query("""SELECT id AS document_id, concat(tenant_id, ':', id, ':erp:v1') AS idempotency_key, concat('erp-', n_regionkey) AS connector, 'requested' AS status, 'ERP_INTEGRATION_REQUESTED' AS next_status, CAST(0 AS BIGINT) AS retry_count
 FROM fx_documents JOIN nation ON tenant_id = n_name WHERE status = 'APPROVED' AND n_nationkey % 2 = 0""")
 def c14_erp_request(spark: SparkSession, d: str) -> DataFrame:
-    return events.erp_request(view(spark, d, "fx_documents"), _settings(spark, d))
+    return events.erp_request(view(spark, d, "fx_documents"), settings(spark, d))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'APPROVED') AS approved, count(*) FILTER (WHERE status = 'REJECTED') AS failed, count(*) FILTER (WHERE status NOT IN ('APPROVED', 'REJECTED')) AS pending FROM fx_documents")
@@ -163,23 +176,24 @@ def d02_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return inbox.status_counts(view(spark, d, "fx_documents"))
 
 
-@query(f"WITH l AS ({_DLQ}), n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY event_stream_id) AS k FROM l) SELECT stream, count(*) AS n, max(event_stream_id) AS last_id, arg_max(error, event_stream_id) AS last_error FROM n WHERE k <= 50 GROUP BY stream")
+@query(f"WITH l AS ({_DLQ}), n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY event_stream_id) AS k FROM l) SELECT stream, count(*) AS total, count(*) FILTER (WHERE k <= 50) AS n, max(event_stream_id) FILTER (WHERE k <= 50) AS last_id, arg_max(error, event_stream_id) FILTER (WHERE k <= 50) AS last_error FROM n GROUP BY stream")
 def d05_dlq_summary(spark: SparkSession, d: str) -> DataFrame:
     return events.dlq_summary(events.route_dlq(view(spark, d, "fx_events"))[1])
 
 
-_SAMPLES = "SELECT event_type AS scenario, event_id AS iteration, value AS latency_ms, CASE WHEN event_id % 19 = 0 THEN concat('e', cast(event_id as string)) END AS error FROM events"
+_SAMPLES = "SELECT event_type AS scenario, event_id AS iteration, value AS latency_ms, epoch_ms(ts) AS started_ms, CASE WHEN event_id % 19 = 0 THEN concat('e', cast(event_id as string)) END AS error FROM events"
 
 
-@query(f"""WITH s AS ({_SAMPLES}), g AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY latency_ms, iteration) - 1 AS r, count(*) OVER (PARTITION BY scenario) AS n FROM s WHERE error IS NULL),
+@query(f"""WITH s AS ({_SAMPLES}), g AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY latency_ms, iteration) - 1 AS r, count(*) OVER (PARTITION BY scenario) AS n FROM s),
 b AS (SELECT scenario, error, iteration, row_number() OVER (PARTITION BY scenario ORDER BY iteration) AS r FROM s WHERE error IS NOT NULL)
-SELECT t.scenario, t.n, t.ok, t.errors, p.p50, p.p95, f.first_errors FROM (SELECT scenario, count(*) AS n, count(*) FILTER (WHERE error IS NULL) AS ok, count(error) AS errors FROM s GROUP BY scenario) AS t
+SELECT t.scenario, t.n, t.ok, t.errors, t.ok_per_second, p.p50, p.p95, f.first_errors FROM (SELECT scenario, count(*) AS n, count(*) FILTER (WHERE error IS NULL) AS ok, count(error) AS errors,
+  round(count(*) FILTER (WHERE error IS NULL) / greatest((max(started_ms + latency_ms) - min(started_ms)) / 1000, 1e-6), 2) AS ok_per_second FROM s GROUP BY scenario) AS t
 LEFT JOIN (SELECT scenario, median(latency_ms) AS p50, max(latency_ms) FILTER (WHERE r = round_even(0.95 * (n - 1), 0)) AS p95 FROM g GROUP BY scenario) AS p ON t.scenario = p.scenario
 LEFT JOIN (SELECT scenario, string_agg(error, '|' ORDER BY iteration) AS first_errors FROM b WHERE r <= 5 GROUP BY scenario) AS f ON t.scenario = f.scenario""")
 def d06_latency_report(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     error = F.when(F.col("event_id") % 19 == 0, F.concat(F.lit("e"), F.col("event_id").cast("string")))
-    return events.latency_report(e.select(F.col("event_type").alias("scenario"), F.col("event_id").alias("iteration"), F.col("value").alias("latency_ms"), error.alias("error")))
+    return events.latency_report(e.select(F.col("event_type").alias("scenario"), F.col("event_id").alias("iteration"), F.col("value").alias("latency_ms"), F.unix_millis(F.col("ts").cast("timestamp")).alias("started_ms"), error.alias("error")))
 
 
 @query("SELECT event_type AS stream, count(*) AS n FROM fx_events GROUP BY event_type")
@@ -237,11 +251,14 @@ def e07_version_diff(spark: SparkSession, d: str) -> DataFrame:
     return versions.version_diff(view(spark, d, "fx_versions"))
 
 
-@query(f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY stream_offset) AS k FROM ({_VALID}) AS x WHERE error IS NULL), b AS (SELECT document_id, min(occurred_at) AS born FROM v WHERE k = 1 AND event_type = 'document.received' GROUP BY document_id),
+STATE = f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY stream_offset) AS k FROM ({VALID}) AS x WHERE error IS NULL), b AS (SELECT document_id, min(occurred_at) AS born FROM v WHERE k = 1 AND event_type = 'document.received' GROUP BY document_id),
 w AS (SELECT v.* FROM v JOIN b ON v.document_id = b.document_id WHERE k = 1 AND occurred_at >= born)
 SELECT document_id, coalesce(arg_max(CASE event_type WHEN 'ocr.completed' THEN 'OCR_COMPLETED' WHEN 'extraction.completed' THEN CASE WHEN requires_human_validation THEN 'VALIDATION_PENDING' ELSE 'EXTRACTION_COMPLETED' END WHEN 'erp.sent' THEN 'ERP_SENT' WHEN 'erp.failed' THEN 'ERP_FAILED' END, occurred_at) FILTER (WHERE event_type <> 'document.received'), 'RECEIVED') AS status,
   count(*) AS n_events, min(occurred_at) FILTER (WHERE event_type = 'document.received') AS received_at, max(occurred_at) FILTER (WHERE event_type = 'ocr.completed') AS ocr_at, max(occurred_at) FILTER (WHERE event_type = 'extraction.completed') AS extracted_at,
-  arg_max(requires_human_validation, occurred_at) FILTER (WHERE event_type = 'extraction.completed') AS needs_review, arg_max(event_type, occurred_at) FILTER (WHERE event_type LIKE 'erp.%') AS erp_status FROM w GROUP BY document_id""")
+  arg_max(requires_human_validation, occurred_at) FILTER (WHERE event_type = 'extraction.completed') AS needs_review, arg_max(event_type, occurred_at) FILTER (WHERE event_type LIKE 'erp.%') AS erp_status FROM w GROUP BY document_id"""
+
+
+@query(STATE)
 def e08_document_state(spark: SparkSession, d: str) -> DataFrame:
     return events.document_state(view(spark, d, "fx_events"))
 
@@ -270,7 +287,7 @@ def s06_erp_attempts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT tenant_id, id AS document_id, status, json_extract_string(r.fields, '$.cliente') AS cliente FROM fx_documents JOIN nation ON tenant_id = n_name LEFT JOIN fx_results AS r ON r.document_id = id WHERE status = 'APPROVED' AND n_nationkey % 2 = 0")
 def a06_export_approved(spark: SparkSession, d: str) -> DataFrame:
-    rows = events.export_approved(view(spark, d, "fx_documents"), view(spark, d, "fx_results"), _settings(spark, d))
+    rows = events.export_approved(view(spark, d, "fx_documents"), view(spark, d, "fx_results"), settings(spark, d))
     return rows.select("tenant_id", "document_id", "status", F.get_json_object("payload", "$.fields.cliente").alias("cliente"))
 
 

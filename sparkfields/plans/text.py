@@ -159,7 +159,7 @@ def p12_flatten_structured(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p13_validate_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.validate_fields(quality.critical_fields(view(spark, d, "fx_invoices")))
-    return rows.select("doc_id", *quality.FLAG.values(), "required_missing")
+    return rows.select("doc_id", *quality.FLAG.values(), "cnpj_tomador_validado", "required_missing", F.to_json("required_present").alias("required_present"))
 
 
 @query()

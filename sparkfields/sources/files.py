@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,37 @@ def valid_key(key: Column) -> Column:
     return F.coalesce((F.trim(key) != "") & ~key.startswith("/") & ~key.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))
 
 
+def put_blobs(blobs: DataFrame, root: str) -> DataFrame:
+    """Writes each row's content (binary) to root/key, and gives back (key, size_bytes, sha256) of all, read from there.
+
+    A task writes the files of its rows through the file system that root names,
+    whole and under their own names; a task that runs again writes the same.
+    Rows whose key isn't valid are refused with an error.
+    """
+    if blobs.where(~valid_key(F.col("key"))).limit(1).count():
+        raise ValueError("a key is blank, absolute or has ..")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for key, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = f"{base}/{key}"
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(at) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    blobs.select("key", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    rows = blobs.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return rows.select(F.expr(f"substr(path, locate('{root.rpartition('/')[2]}/', path) + {len(root.rpartition('/')[2]) + 1})").alias("key"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_approved(rows: DataFrame, root: str, exported_at: Column) -> None:
+    """Rows of export_approved as JSON lines under root, a folder for each tenant, keys in order: correlation_id, document_id, exported_at, payload, status."""
+    columns = sorted(c for c in rows.columns if c != "tenant_id")
+    rows.withColumn("exported_at", exported_at).select("tenant_id", *sorted([*columns, "exported_at"])).write.mode("append").partitionBy("tenant_id").json(root)
+
+
 def scan_blobs(spark: SparkSession, root: str) -> DataFrame:
     """(key, tenant_id, document_id, content, size_bytes, sha256) of documents/{tenant}/{document}/original under root."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import classify, events, extract
@@ -27,52 +28,55 @@ def debounce_max_wait(df: DataFrame, key: str, ts: str, item: str, seconds: floa
     """As debounce, but a group also ends before the item that comes max_wait seconds after its first.
 
     Groups of the silence alone are cut first, so that what is folded in one row
-    is a session and not all of a key.
+    is a session and not all of a key. The fold keeps the place at which each
+    group starts; the items are sliced afterwards.
     """
     if max_wait <= seconds:
         raise ValueError("max_wait must be longer than the delay")
     one = debounce(df.withColumn("_pair", F.struct(F.col(ts).cast("timestamp").cast("double").alias("t"), F.col(item).alias("i"))), key, ts, "_pair", int(seconds))
-    kind = one.schema["items"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast(f"array<{kind}>").alias("groups"))
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("n"))
 
     def step(acc, x):
         fresh = acc["first"].isNull() | (x["t"] - acc["first"] >= max_wait)
-        last = F.element_at(acc["groups"], -1)
-        grown = F.concat(F.slice(acc["groups"], F.lit(1), F.greatest(F.size(acc["groups"]) - 1, F.lit(0))), F.array(F.concat(last, F.array(x))))
-        return F.struct(F.when(fresh, x["t"]).otherwise(acc["first"]).alias("first"), F.when(fresh, F.concat(acc["groups"], F.array(F.array(x)))).otherwise(grown).alias("groups"))
+        return F.struct(F.when(fresh, x["t"]).otherwise(acc["first"]).alias("first"), F.when(fresh, F.concat(acc["at"], F.array(acc["n"]))).otherwise(acc["at"]).alias("at"), (acc["n"] + 1).alias("n"))
 
-    groups = one.select("key", F.explode(F.aggregate("items", start, step, lambda a: a["groups"])).alias("g"))
+    cuts = one.select("key", "items", F.aggregate("items", start, step, lambda a: F.concat(a["at"], F.array(a["n"]))).alias("at"))
+    parts = cuts.select("key", "items", "at", F.explode(F.sequence(F.lit(0), F.size("at") - 2)).alias("k"))
+    groups = parts.select("key", F.slice("items", F.get("at", F.col("k")) + 1, F.get("at", F.col("k") + 1) - F.get("at", F.col("k"))).alias("g"))
     return groups.select("key", F.timestamp_seconds(F.get("g", 0)["t"]).alias("started"), F.size("g").cast("long").alias("n"), F.transform("g", lambda x: x["i"]).alias("items"))
 
 
 def debounce_stream(df: DataFrame, key: str, ts: str, item: str, seconds: float, max_wait: float) -> DataFrame:
-    """debounce_max_wait over a stream: state of one open group a key, closed by silence, age, or the watermark passing its end."""
+    """debounce_max_wait over a stream, whatever the order in which items within the watermark come.
+
+    The state holds the items of a key that aren't final: a group is emitted
+    when the watermark has passed the time up to which an item could still join
+    it. Items older than the watermark are dropped by Spark. Groups that are open
+    at the end are emitted when the input has an end mark (runs.ended).
+    """
     if max_wait <= seconds:
         raise ValueError("max_wait must be longer than the delay")
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(item).cast("string").alias("item")).withWatermark("ts", f"{int(seconds)} seconds")
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, items = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        out = []
-
-        def close() -> None:
-            if items:
-                out.append((k[0], pd.Timestamp(round(times[0] * 1e6), unit="us"), len(items), list(items)))
-                times.clear()
-                items.clear()
-
-        if state.hasTimedOut:
-            close()
-        new = [(t.timestamp(), i) for frame in frames for t, i in zip(frame["ts"], frame["item"], strict=True)]
-        for t, i in sorted(new):
-            if items and (t - times[-1] > seconds or t - times[0] >= max_wait):
-                close()
-            times.append(t)
-            items.append(i)
-        if items:
-            state.update((times, items))
-            until = min(times[-1] + seconds, times[0] + max_wait)
-            state.setTimeoutTimestamp(max(int(until * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            held += [(t.timestamp(), i) for frame in frames for t, i in zip(frame["ts"], frame["item"], strict=True)]
+        held.sort()
+        groups: list[list[tuple[float, str]]] = []
+        for t, i in held:
+            if not groups or t - groups[-1][-1][0] > seconds or t - groups[-1][0][0] >= max_wait:
+                groups.append([])
+            groups[-1].append((t, i))
+        now, out = state.getCurrentWatermarkMs() / 1000, []
+        final = lambda g: min(g[-1][0] + seconds, g[0][0] + max_wait)
+        while groups and now > final(groups[0]):
+            g = groups.pop(0)
+            out.append((k[0], pd.Timestamp(round(g[0][0] * 1e6), unit="us"), len(g), [i for _, i in g]))
+        if groups:
+            left = [x for g in groups for x in g]
+            state.update(([t for t, _ in left], [i for _, i in left]))
+            state.setTimeoutTimestamp(max(int(final(groups[0]) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         if out:
@@ -98,12 +102,21 @@ def route_stream(df: DataFrame, good: str, dead: str, checkpoint: str, **trigger
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def state_upsert(df: DataFrame, log: str, table: str, checkpoint: str, **trigger):
-    """Events of a stream to a log, and the state folded from the whole log; a batch that is run again changes nothing."""
+def state_upsert(df: DataFrame, log: str, table: str, checkpoint: str, buckets: int = 64, **trigger):
+    """Events of a stream to a log, and the state folded from it; a batch that is run again changes nothing.
+
+    Log and state are dealt by a hash of document_id; a batch folds and rewrites
+    the buckets that its documents are in, from the log of those buckets alone.
+    """
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        whole = batch.sparkSession.read.parquet(log).drop("batch")
-        events.document_state(whole).write.mode("overwrite").parquet(f"{table}/version={number}")
+        spark = batch.sparkSession
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
+        whole = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(log).where(F.col("batch") <= number)
+        touched = [r[0] for r in whole.where(F.col("batch") == number).select("bucket").distinct().collect()]  # at most `buckets`
+        state = events.document_state(whole.where(F.col("bucket").isin(touched)).drop("batch", "bucket"))
+        state = state.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+        state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
