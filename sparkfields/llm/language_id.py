@@ -20,7 +20,7 @@ NGRAM = 3
 SWITCH = 6.0
 SCRIPT_SHARE = 0.01
 #: Code points that one numpy buffer holds.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 
 # First and last code point of each script.
 SCRIPTS = {

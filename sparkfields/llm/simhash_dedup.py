@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_join
-from .common import cut
+from .common import cut, stored
 from .components import connected
+from .url_filter import KEYS_PER_BLOCK, SENT_BLOCKS, split_by
 
 SEED = 42
 NGRAM = 4
@@ -159,12 +160,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ng
     can serve holds what is 0.8 alike. Rows without id come after the others; of
     rows alike in all columns one stays.
     """
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    known = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    ident = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), row_hash.alias("row"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    ident = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(*columns).alias("row"))
     groups = shingle_join.groups(docs.select(ident.alias("ident"), F.col(text_col).alias("text")), ngram, similarity)
-    heads = groups.select("group").distinct()
-    heads = heads.select(F.col("group.row").alias("_head_row"), F.coalesce(F.col("group.id").cast("string"), F.lit("")).alias("_head_id"))
-    rows = docs.withColumn("_row", row_hash).withColumn("_id", known)
-    kept = rows.join(heads, (F.col("_row") == F.col("_head_row")) & (F.col("_id") == F.col("_head_id")), "left_semi")
-    return kept.dropDuplicates(["_row", "_id"]).drop("_row", "_id")
+    # most rows are alone in their group and need no join: only those that go or come more than once are looked up
+    found = groups.groupBy("ident").agg(F.first("group").alias("group"), F.count("*").alias("n"))
+    name = lambda x: F.concat_ws("/", x["no"].cast("string"), x["id"].cast("string"), x["row"].cast("string"))
+    looked_up = stored(found.where("n > 1 or ident != group").select(name(F.col("ident")).alias("of"), (F.col("ident") == F.col("group")).alias("head")))
+    rows = docs.select(F.struct(*columns).alias("row"), name(ident).alias("name"))
+    sure = None
+    if (n := looked_up.count()) <= KEYS_PER_BLOCK * SENT_BLOCKS:
+        rows, sure = split_by(rows, "name", looked_up.select(F.col("of").alias("key")), n)
+    kept = rows.join(looked_up, F.col("name") == F.col("of"), "left").where(F.coalesce("head", F.lit(True)))
+    kept = kept.dropDuplicates(["name"]).select("row")
+    return (kept if sure is None else kept.unionByName(sure.select("row"))).select("row.*")
