@@ -12,20 +12,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts of a sketch, cells of a part in a fingerprint, growth after a failure.
 HASHES, CELLS, GROW = 3, 8, 4
 #: One place in so many ends a paragraph inside a line.
 MEAN = 32
-#: Pairs of texts that are sketched together; cells of doc_id in the histogram; documents of one bucket.
-BATCH, HISTOGRAM, BUCKET = 512, 1 << 15, 2000
+#: Pairs of texts that are sketched together; ranges of ids, at most; documents of one range, if they are fewer.
+BATCH, RANGES, BUCKET = 512, 1 << 13, 2000
 #: Characters of the pairs that are sketched together.
 BUFFER = 4 << 20
 
@@ -169,20 +171,50 @@ def _compared(rows: list[tuple]) -> Iterator[tuple]:
         yield r[0], len(r[1]), hashlib.sha256(edits[k].encode("utf-8", "surrogatepass")).hexdigest(), prints[k], edited_prints[k], near_edited[k], near_next[k]
 
 
-def _ordered(docs: DataFrame, oid: Column) -> DataFrame:
-    """(cell, bucket, head, before): ranges of ids as buckets of about BUCKET rows, by a histogram of HISTOGRAM cells at most.
-
-    head is the least id of the bucket, before the bucket before it (for the
-    first one, the last).
-    """
-    counts = docs.select(oid.alias("oid"), F.col("_cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.min("oid").alias("least"))
-    at = F.sum("n").over(Window.partitionBy().orderBy("cell")) - F.col("n")
-    cells = counts.select("cell", "least", F.floor(at / BUCKET).alias("bucket"))
-    heads = cells.groupBy("bucket").agg(F.min("least").alias("head"))
-    every = Window.partitionBy().orderBy("bucket")
-    last = F.max("bucket").over(Window.partitionBy())
-    heads = heads.select(F.col("bucket").alias("b"), "head", F.coalesce(F.lag("bucket").over(every), last).alias("before"))
-    return cells.join(heads, F.col("bucket") == F.col("b")).select("cell", "bucket", "head", "before")
+def _edges(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """Where buckets of about BUCKET rows begin in the order of (is an id, id, hash), RANGES at most: quantiles of the ids, and of the hashes where an id has several of them."""
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("oid").isNull())).first()
+    many = lambda k: max(1, min(RANGES, -(-k // BUCKET)))
+    split = lambda first, parts: [(*first, -(1 << 63) + (k << 64) // parts) for k in range(parts)]
+    edges = split((0, 0), many(nulls)) if nulls else []
+    if n > nulls:
+        parts = many(n - nulls)
+        at = rows.agg(F.percentile_approx("oid", [k / parts for k in range(parts)], F.lit(max(10_000, 10 * parts)))).first()[0]
+        for oid, k in Counter(at).items():
+            edges += split((1, oid), k)
+    return sorted(edges)
+
+
+def _bucket(edges: list[tuple[int, int, int]]):
+    """A column function: the bucket of (id, hash); the texts don't go through Python."""
+    bounds = np.array(edges, dtype=[("known", "i8"), ("oid", "i8"), ("h", "i8")])
+
+    def find(oid: pd.Series, h: pd.Series) -> pd.Series:
+        own = np.zeros(len(h), dtype=bounds.dtype)
+        own["known"], own["oid"], own["h"] = oid.notna(), oid.fillna(0).astype("int64"), h
+        order = np.argsort(np.concatenate([bounds, own]), kind="stable")
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.cumsum(order < len(bounds)) - 1
+        return pd.Series(np.maximum(at[len(bounds) :], 0))
+
+    return F.pandas_udf(find, "bigint")
+
+
+def _spread(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _text, b, late): rows sorted in buckets, and after each bucket, late, the first row of the next one (after the last, of the first)."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("oid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = rows.withColumn("h", F.xxhash64("_text"))
+    narrow = rows.select("oid", "h")
+    edges = _edges(narrow)
+    bucket = _bucket(edges)
+    heads = narrow.select("oid", "h", bucket("oid", "h").alias("b")).groupBy("b").agg(F.min(F.struct(F.col("oid").isNotNull().alias("known"), "oid", "h")).alias("m")).orderBy("b").collect()  # RANGES at most
+    order = [r.b for r in heads]
+    first = docs.sparkSession.createDataFrame([(r.m.oid, r.m.h, order[k - 1]) for k, r in enumerate(heads)], "head_oid bigint, head_h bigint, before bigint")
+    placed = rows.withColumn("b", bucket("oid", "h")).join(F.broadcast(first), F.col("oid").eqNullSafe(F.col("head_oid")) & (F.col("h") == F.col("head_h")), "left")
+    place = lambda b, late: F.struct(F.col(b).alias("b"), F.lit(late).alias("late"))
+    targets = F.when(F.col("before").isNull(), F.array(place("b", 0))).otherwise(F.array(place("b", 0), place("before", 1)))
+    spread = placed.select("_id", "oid", "h", "_text", F.inline(targets))
+    return spread.repartition("b").sortWithinPartitions("b", "late", F.col("oid").asc_nulls_first(), "h").select("_id", "_text", "b", "late")
 
 
 def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,21 +224,12 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     replaced by the first as many of the next document, or all it has. Next is
     by ascending integer id, after the last the first; null ids come first and
     rows with equal ids are ordered by a hash of their text. Null text is empty;
-    two empty texts have likeness 1; a single row is its own next; no rows give
-    no rows. Each range of ids also gets the first document of the next range.
+    two empty texts have likeness 1; texts of any length are sketched whole; a
+    single row is its own next; other columns are not read; no rows give no
+    rows. Each range of ids also gets the first document of the next range.
     """
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    low, high = (0, 0) if low is None else (low, high)
-    oid = F.coalesce(F.col("_id").cast("decimal(20,0)"), F.lit(low - 1).cast("decimal(20,0)"))
-    span = high - low + 2
-    cell = F.floor((oid - F.lit(low - 1).cast("decimal(20,0)")) * F.lit(HISTOGRAM) / F.lit(span).cast("decimal(20,0)")).cast("int")
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_cell", cell).withColumn("_oid", oid)
-    placed = rows.join(F.broadcast(_ordered(rows, F.col("_oid"))), F.col("_cell") == F.col("cell"))
-    targets = F.when(F.col("_oid") == F.col("head"), F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("late")), F.struct(F.col("before").alias("b"), F.lit(1).alias("late"))))
-    targets = targets.otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("late"))))
-    spread = placed.select("_id", "_oid", "_text", F.inline(targets)).repartition("b").sortWithinPartitions("b", "late", "_oid", F.xxhash64("_text"))
-    id_type = rows.schema["_id"].dataType.simpleString()
+    spread = _spread(docs, id_col, text_col)
+    id_type = spread.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -237,5 +260,4 @@ def compare_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if waiting:
             yield out(kind)
 
-    narrow = spread.select("_id", "_text", "b", "late")
-    return narrow.mapInArrow(run, f"doc_id {id_type}, {_TYPE}")
+    return spread.mapInArrow(run, f"doc_id {id_type}, {_TYPE}")

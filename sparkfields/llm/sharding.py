@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 CELL_BITS = 13
 VNODES = 32
 SHARDS = 8
+#: Rows alike that a task writes out at once.
+PART = 1000
 
 
 def ring(shards: int = SHARDS, vnodes: int = VNODES) -> list[tuple[int, list[int]]]:
@@ -36,9 +38,9 @@ def first_shard(cell: int, shards: int = SHARDS, vnodes: int = VNODES) -> int:
     return arcs[bisect.bisect_right([a for a, _ in arcs], cell) - 1][1][0]
 
 
-def position(doc_id: Column) -> Column:
-    """A key's place on the ring, a signed long; null counts as the empty text."""
-    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")))
+def position(doc_id: Column, other: Column | None = None) -> Column:
+    """A key's place on the ring, a signed long; a null id counts as `other`, or as the empty text."""
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), *([other] if other is not None else []), F.lit("")))
 
 
 def cell(pos: Column) -> Column:
@@ -92,16 +94,23 @@ def place(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     share, rows / shards up or down to a whole number, sends what comes further
     to the next shard. So the counts differ by one at most, and a shard more or
     less moves the keys of its arcs and what overflows. Slots run from 0 without
-    gaps. Null text counts as empty; null ids share a place on the ring; equal
-    rows get different slots; no rows give no rows.
+    gaps. Null text counts as empty, texts of any length by their bytes; the key
+    is the id, for null ids the size and checksum of the text; rows alike in
+    these are counted first and get different slots; other columns are not read;
+    no rows give no rows.
     """
     body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), position(F.col(id_col)).alias("pos"))
-    rows = rows.withColumn("cell", cell(F.col("pos")))
-    counts = docs.select(cell(position(F.col(id_col))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("pos", "doc_id", "size", "text_crc32")) - 1
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    pos = position(F.col("doc_id"), F.concat(F.lit("\0"), F.col("size").cast("string"), F.lit("/"), F.col("text_crc32").cast("string")))
+    kinds = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("pos", pos)
+    kinds = kinds.withColumn("cell", cell(F.col("pos")))
+    counts = kinds.groupBy("cell").agg(F.sum("n").alias("n"))
+    rank = F.sum("n").over(Window.partitionBy("cell").orderBy("pos", "doc_id", "size", "text_crc32")) - F.col("n")
     # at most shards parts for each of 2 ** CELL_BITS cells, however many rows there are
-    placed = rows.withColumn("rank", rank).join(F.broadcast(_ranges(counts, shards, vnodes)), "cell")
+    placed = kinds.withColumn("rank", rank).join(F.broadcast(_ranges(counts, shards, vnodes)), "cell")
+    many = placed.where("n > 1").withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PART).cast("long")))).repartition(F.col("pos"), F.col("from"))
+    many = many.withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PART, F.col("n")) - 1))).drop("from")
+    placed = placed.where("n = 1").withColumn("k", F.lit(0).cast("long")).unionByName(many).withColumn("rank", F.col("rank") + F.col("k"))
     part = F.element_at(F.filter("ranges", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), 1)
     placed = placed.withColumn("part", part)
     return placed.select("doc_id", "size", "text_crc32", F.col("part.shard").alias("shard"), (F.col("part.slot") + F.col("rank") - F.col("part.lo")).alias("slot"))
