@@ -36,21 +36,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("lines").alias("n_lines"), F.col("lines_kept").alias("n_kept"), F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The rules of this query, and the hosts that its list blocks.
+#: The rules of this query, and the hosts whose pages its list holds.
 URL_RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 ]
-URL_LIST = [
+URL_HOSTS = [
     f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")
 ]
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = [(*r, 0) for r in URL_RULES] + [(h, "/", "block", 1) for h in URL_LIST]
-    judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.entries(spark, listed))
-    rule = F.when(F.col("rank") == 0, F.col("rule"))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), "verdict", F.coalesce(F.col("rank") == 1, F.lit(False)).alias("listed"))
+    pages = table(spark, sf_dir, "pages")
+    # the list: the canonical url of every page of those hosts, so it grows with the pages
+    own = F.exists(F.lit(URL_HOSTS), lambda h: (F.col("h") == h) | F.endswith("h", F.concat(F.lit("."), h)))
+    urls = pages.select(url_filter.canonical_host(F.col("url")).alias("h"), url_filter.canonical(F.col("url")).alias("key")).where(own)
+    return url_filter.judge(pages, url_filter.entries(spark, URL_RULES), urls.select("key"))
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +108,13 @@ WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN sub
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}) AS t(rh, rp, v)),
-l AS (SELECT * FROM (VALUES {", ".join(f"('{h}')" for h in URL_LIST)}) AS t(lh)),
+l AS (SELECT * FROM (VALUES {", ".join(f"('{h}')" for h in URL_HOSTS)}) AS t(lh)),
 w AS (SELECT p.host, p.path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
       FROM (SELECT DISTINCT host, path FROM p) AS p JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY p.host, p.path)
 SELECT p.page_id, p.host, p.path, w.rule,
   CASE WHEN w.rule IS NOT NULL THEN w.v WHEN m.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   w.rule IS NULL AND m.host IS NOT NULL AS listed
 FROM p LEFT JOIN w ON p.host = w.host AND p.path = w.path
-LEFT JOIN (SELECT DISTINCT host, path FROM p JOIN l ON (host = lh OR ends_with(host, '.' || lh)) AND starts_with(path, '/')) AS m ON p.host = m.host AND p.path = m.path
+LEFT JOIN (SELECT DISTINCT host FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '[.]?(:(80|443)?)?$', '') AS c FROM p) JOIN l ON c = lh OR ends_with(c, '.' || lh)) AS m ON p.host = m.host
 """,
 }

@@ -28,9 +28,32 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(text, at + 3, F.length(text))).otherwise(F.lit(""))
 
 
-def entries(spark: SparkSession, listed: list[tuple[str, str, str, int]]) -> DataFrame:
-    """(host, path, verdict, rank) of a short list written in code; lower ranks go before."""
-    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict"), F.lit(r).alias("rank")) for h, p, v, r in listed]
+def _plain(text: Column) -> Column:
+    """text with percent signs decoded where they stand for letters, digits and -._~, and other codes in capitals."""
+
+    def part(x: Column, i: Column) -> Column:
+        char = F.call_function("char", F.conv(F.substring(x, 1, 2), 16, 10).cast("bigint"))
+        code = F.when(char.rlike(r"^[A-Za-z0-9._~-]$"), char).otherwise(F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2))))
+        return F.when(i == 0, x).when(x.rlike(r"^[0-9A-Fa-f]{2}"), F.concat(code, F.substring(x, F.lit(3), F.length(x)))).otherwise(F.concat(F.lit("%"), x))
+
+    return F.when(F.contains(text, F.lit("%")), F.array_join(F.transform(F.split(text, "%"), part), "")).otherwise(text)
+
+
+def canonical_host(url: Column) -> Column:
+    """The host without user, port 80 or 443, and dot at the end."""
+    return F.regexp_replace(F.regexp_replace(host(url), r"^.*@", ""), r"[.]?(:(80|443)?)?$", "")
+
+
+def canonical(url: Column) -> Column:
+    """One form for urls that differ in scheme, capitals of the host, user, default port, needless percent codes or fragment; a missing path is /."""
+    where = F.regexp_replace(_plain(path(url)), r"^$", "/")
+    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]+)", 1)
+    return F.concat(canonical_host(url), where, _plain(query))
+
+
+def entries(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(host, path, verdict) of a few rules written in code."""
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -78,31 +101,38 @@ def split_by(rows: DataFrame, key: str, listed: DataFrame, n: int) -> tuple[Data
     return probed.where(test).select(*rows.columns), probed.where(~test).select(*rows.columns)
 
 
-def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """(page_id, host, path, rule, verdict, rank) for every row of pages.
+def judge(pages: DataFrame, rules: DataFrame, urls: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """(page_id, host, path, rule, verdict, listed) for every row of pages.
 
-    An entry of listed (host, path, verdict, rank) fits its host and all
-    subdomains if the url's path starts with its own. Lower ranks go first,
-    within one rank the longest host and path, then block before allow. Without
-    an entry rule and rank are null and verdict is the default. Null urls and
-    urls without :// have empty host and path, which only an entry with an empty
-    host fits; entries with nulls fit nothing; equal urls are judged once; extra
-    columns are not read.
+    A rule (host, path, verdict) fits its host and all subdomains if the url's
+    path starts with its own; the longest host and path goes first, then block
+    before allow. A url without a rule is blocked if its canonical form is a
+    `key` of urls; listed tells it. Without either the verdict is the default.
+    Null urls and urls without :// have empty host and path, which only a rule
+    with an empty host fits, and are not listed; rules and keys with nulls fit
+    nothing; urls of any length are compared whole; equal urls are judged once,
+    equal rows each have a row; other columns are not read; no rows give no rows.
     """
-    rules = listed.where("host is not null and path is not null").select(
-        F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", "rank", _key(F.col("host"), F.col("path")).alias("key")
-    )
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())  # as many as paths differ in length
-    rows = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    urls = rows.select("host", "path").distinct()
+    named = rules.where("host is not null and path is not null").select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict", _key(F.col("host"), F.col("path")).alias("key"))
+    lengths = sorted(r[0] for r in named.select(F.length("rule_path")).distinct().collect())  # as many as paths of rules differ in length
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    seen = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    heads = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")])
-    keys = urls.select("host", "path", F.explode(ends).alias("h")).select("host", "path", "h", F.explode(F.filter(heads, lambda x: x.isNotNull())).alias("p"))
+    heads = F.transform(F.filter(F.lit(lengths or [0]), lambda n: F.length("path") >= n), lambda n: F.substring("path", F.lit(1), n))
+    keys = seen.select("host", "path", F.explode(ends).alias("h")).select("host", "path", "h", F.explode(heads).alias("p"))
     keys = keys.select("host", "path", _key(F.col("h"), F.col("p")).alias("key"))
-    hits = passing(keys, rules.select("key").distinct()).join(rules, "key")
+    hits = passing(keys, named.select("key").distinct()).join(named, "key")
     rule = F.concat("rule_host", "rule_path")
-    order = F.struct("rank", (-F.length(rule)).alias("length"), (F.col("verdict") != "block").alias("allows"), rule.alias("rule"), "verdict")
+    order = F.struct((-F.length(rule)).alias("length"), (F.col("verdict") != "block").alias("allows"), rule.alias("rule"), "verdict")
     best = hits.groupBy("host", "path").agg(F.min(order).alias("best")).select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best")
     out = rows.join(best, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.rank").alias("rank"))
+    if urls is None:
+        out = out.withColumn("hit", F.lit(False))
+    else:
+        known = urls.select(F.col("key").alias("key")).where("key is not null").distinct()
+        asked = rows.where(F.contains("url", F.lit("://"))).select("url", canonical(F.col("url")).alias("key")).distinct()
+        found = passing(asked, known).join(known, "key", "left_semi").select(F.col("url").alias("of_url"), F.lit(True).alias("hit"))
+        out = out.join(found, F.col("url") == F.col("of_url"), "left")
+    listed = F.col("best").isNull() & F.coalesce("hit", F.lit(False))
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(listed, "block").otherwise(F.coalesce("best.verdict", F.lit(default))).alias("verdict"), listed.alias("listed"))
