@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder for tables between steps: spark.checkpoint.dir, or a new one where that is unset."""
+    """The shared folder for tables between steps: spark.checkpoint.dir; where that is unset and Spark runs in this process alone, a new one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -41,3 +45,10 @@ def stored(df: DataFrame) -> DataFrame:
 def id_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones, so that fewer are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 WINDOW = 10
 #: Texts of about so many bytes share a buffer; benchmark bytes of one search pass.
 BUFFER = 8 << 20
@@ -151,7 +153,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         def run(batches: Iterator[pa.RecordBatch], owners: dict = dict(owners)) -> Iterator[pa.RecordBatch]:
             classes = [[w for w in owners if len(w) >= SHORT], [w for w in owners if len(w) < SHORT]]
             searches = [Search(c) for c in classes if c]
-            for batch in batches:
+            for batch in pieces(batches):
                 names = batch.schema.names
                 at = names.index(text_col)
                 texts = batch.column(at).cast(pa.string()).to_pylist()

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 UNKNOWN = "und"
 #: Expected rows of the training sample, hashed feature buckets, letters of a feature.
 SAMPLE = 20_000
@@ -110,7 +112,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 for part in _parts([t for g, t in zip(langs, texts, strict=True) if g == lang]):
@@ -228,7 +230,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", into: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of one float a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.names.index(text_col)).cast(pa.string()).to_pylist()
             found = pa.array(label(texts, shared.value), hit)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
