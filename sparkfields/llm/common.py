@@ -42,6 +42,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_mod(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

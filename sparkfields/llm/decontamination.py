@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import free, pieces
 
 WINDOW = 10
 #: Texts of about so many bytes share a buffer; benchmark bytes of one search pass.
@@ -132,8 +132,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     An item's windows are its runs of `size` consecutive words, or all its words
     if it has fewer. Null and empty texts have no words and no hits. Items
     without words have no window; windows of an item without id hit words but
-    name no item; repeated rows give repeated results. A column `into` of docs
-    is replaced. The benchmark comes to the driver in blocks of BLOCK bytes and
+    name no item; repeated rows give repeated results; texts of any length are
+    searched whole; an item that two ids share names both; no rows give no rows.
+    A column `into` of docs is replaced, others stay. The benchmark comes to the driver in blocks of BLOCK bytes and
     each block is one pass over docs; there is one unless the benchmark is larger.
     """
     docs = docs.drop(into)
@@ -150,7 +151,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
             for w in set(windows(text, size)):
                 owners[w] += [item] if item is not None else []
 
-        def run(batches: Iterator[pa.RecordBatch], owners: dict = dict(owners)) -> Iterator[pa.RecordBatch]:
+        shared = docs.sparkSession.sparkContext.broadcast(dict(owners))  # of BLOCK bytes of benchmark texts
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            owners = shared.value
             classes = [[w for w in owners if len(w) >= SHORT], [w for w in owners if len(w) < SHORT]]
             searches = [Search(c) for c in classes if c]
             for batch in pieces(batches):
@@ -171,5 +175,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that no benchmark window occurs in, with their columns."""
-    return mark(docs, benchmark, text_col, into="_hits").where(F.size("_hits.spans") == 0).drop("_hits")
+    """The rows of docs that no benchmark window occurs in, with all their columns; nulls, ties, repeated rows and empty tables as for mark()."""
+    into = free(docs, "hits")
+    return mark(docs, benchmark, text_col, into=into).where(F.size(F.col(into).getField("spans")) == 0).drop(into)

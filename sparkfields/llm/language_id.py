@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import free, pieces
 
 UNKNOWN = "und"
 #: Expected rows of the training sample, hashed feature buckets, letters of a feature.
@@ -220,8 +220,9 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", into: str = "
 
     A word is a run of letters; lang has most letters, score is its share of
     them. Null texts and texts without letters are `und` with score 0; so is
-    every text if the model has no language. Equal rows get equal results; a
-    column `into` of docs is replaced.
+    every text if the model has no language. Equal rows get equal results; texts
+    of any length are labelled whole; ties go to the first language by name; no
+    rows give no rows; a column `into` of docs is replaced, others stay.
     """
     docs = docs.drop(into)
     kind = "struct<lang:string,score:double,spans:array<struct<lang:string,first:bigint,end:bigint>>>"
@@ -236,3 +237,15 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", into: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, model: dict, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs with one main language, which has at least the share `least` of their letters, with all their columns.
+
+    Null texts and texts without letters go; repeated rows stay repeated; no
+    rows give no rows.
+    """
+    into = free(docs, "language")
+    found = identify(docs, model, text_col, into)
+    language = F.col(into)
+    return found.where((language.getField("lang") != UNKNOWN) & (language.getField("score") >= least)).drop(into)
