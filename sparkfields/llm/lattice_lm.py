@@ -1,9 +1,10 @@
 """Language-model scores of texts as the sum over all their segmentations into subwords.
 
-The pieces are those of an existing vocabulary file. Their probabilities start
-from its scores and are fitted to the corpus (expected counts over the lattice
-of each distinct word, weighted by its count). A word's probability is the
-forward recursion over its lattice, in logarithms.
+The pieces are those of an existing vocabulary file, and its scores weigh the
+segmentations: as a law of the pieces they count like PRIOR pieces seen before,
+to which the corpus adds its expected counts over the lattice of each distinct
+word, weighted by the word's count. A word's probability is the forward
+recursion over its lattice, in logarithms.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import cut
 HOT, HOT_BYTES = 1_000_000, 64
 #: Distinct words that a task counts before it hands them on; characters of words worked on at once.
 FLUSH, CHARS = 200_000, 400_000
-#: Longest piece, and what is added to each piece's count.
-LONGEST, EXTRA = 16, 0.1
+#: Pieces that the file's scores count as, and rounds of expected counts over all training words.
+PRIOR, ROUNDS = 10_000, 2
 SPACE, END = "▁", ""
 _U = np.uint64
 
@@ -44,9 +45,17 @@ def vocabulary(path: str) -> pd.DataFrame:
 
 
 def start(vocab: pd.DataFrame) -> np.ndarray:
-    """Log probabilities from the scores of the file, which fall by one from piece to piece; bytes count as the last."""
-    rank = np.where(vocab["byte"] >= 0, len(vocab), -vocab["score"])
-    p = 1 / (1 + np.maximum(rank, 0))
+    """Log probabilities from the scores of the file, and that of the end of a text.
+
+    Scores of a unigram file are logarithms already. Those of a BPE file are
+    whole numbers, its merges' ranks, which fall by one from piece to piece: the
+    probability is then inverse to the rank (Zipf). Bytes count as the last.
+    """
+    scores = vocab["score"].to_numpy(dtype=float)
+    ranks = bool(len(scores)) and (scores == np.round(scores)).all() and len(np.unique(scores)) > len(scores) / 2
+    lowest = np.where(vocab["byte"] >= 0, np.inf, scores).min(initial=0.0) - 1
+    scores = np.where(vocab["byte"] >= 0, lowest, scores)
+    p = 1 / (1 + np.maximum(-scores, 0)) if ranks else np.exp(scores)
     return np.log(np.append(p, 1e-6) / (p.sum() + 1e-6))
 
 
@@ -63,12 +72,13 @@ class Lattice:
         self.logp = np.append(logp[:-1], -np.inf)  # an unknown piece is the last
         self.end = float(logp[-1])
         self.none = len(vocab)
+        self.longest = max([1, *vocab["piece"][vocab["byte"] < 0].str.len()])
         self.bytes = np.full(256, self.none)
         hashes, ids = [], []
         for k, (piece, byte) in enumerate(zip(vocab["piece"], vocab["byte"], strict=True)):
             if byte >= 0:
                 self.bytes[byte] = k
-            elif len(piece) <= LONGEST:
+            else:
                 h = _U(0)
                 for c in _hash(np.array([ord(c) for c in piece])):
                     with np.errstate(over="ignore"):
@@ -101,7 +111,7 @@ class Lattice:
         """Piece of each length at each place; pieces that spell the bytes of each distinct character; which one a place has; their log probability."""
         n = codes.shape[1]
         one, found, h = _hash(codes), [], None
-        for size in range(1, min(LONGEST, n) + 1):
+        for size in range(1, min(self.longest, n) + 1):
             h = one if size == 1 else h[:, :-1] * _U(0xD1342543DE82EF95) + one[:, size - 1 :]
             found.append(self._find(h))
         chars, where = np.unique(codes, return_inverse=True)
@@ -120,9 +130,9 @@ class Lattice:
         alpha[:, 0] = 0
         single = np.logaddexp(self.logp[found[0]], cost[where])
         for j in range(1, n + 1):
-            terms = np.empty((count, min(j, LONGEST)))
+            terms = np.empty((count, min(j, self.longest)))
             terms[:, 0] = alpha[:, j - 1] + single[:, j - 1]
-            for size in range(2, min(j, LONGEST) + 1):
+            for size in range(2, min(j, self.longest) + 1):
                 terms[:, size - 1] = alpha[:, j - size] + self.logp[found[size - 1][:, j - size]]
             top = terms.max(axis=1)
             alpha[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
@@ -145,9 +155,9 @@ class Lattice:
             beta[:, n] = 0
             single = np.logaddexp(self.logp[found[0]], cost[where])
             for i in range(n - 1, -1, -1):
-                terms = np.empty((count, min(n - i, LONGEST)))
+                terms = np.empty((count, min(n - i, self.longest)))
                 terms[:, 0] = single[:, i] + beta[:, i + 1]
-                for size in range(2, min(n - i, LONGEST) + 1):
+                for size in range(2, min(n - i, self.longest) + 1):
                     terms[:, size - 1] = self.logp[found[size - 1][:, i]] + beta[:, i + size]
                 top = terms.max(axis=1)
                 beta[:, i] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
@@ -208,14 +218,14 @@ def word_counts(docs: DataFrame, trains: str, text_col: str = "text") -> DataFra
     return rows.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, vocab: pd.DataFrame, hot: float, rounds: tuple[bool, ...] = (True, True, False)) -> np.ndarray:
-    """Log probabilities of the pieces and the end: one round of expected counts for each of `rounds`, over frequent words (true) or all."""
+def fit(counts: DataFrame, vocab: pd.DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
+    """Log probabilities of the pieces and the end: the file's, as `prior` pieces seen, and expected counts of all training words, `rounds` times."""
     logp = start(vocab)
+    before = np.exp(logp) * prior
     sc = counts.sparkSession.sparkContext
     ends = counts.where(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
-    for few in rounds:
-        rows = counts.where((F.col("word") != END) & (F.col("c") > 0))
-        rows = rows.where(F.col("c") >= hot).repartition(8) if few else rows
+    rows = counts.where((F.col("word") != END) & (F.col("c") > 0)).select("word", "c")
+    for _ in range(rounds):
         model = sc.broadcast((vocab, logp))
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
@@ -225,8 +235,8 @@ def fit(counts: DataFrame, vocab: pd.DataFrame, hot: float, rounds: tuple[bool,
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-        found = rows.select("word", "c").mapInArrow(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-        total = np.full(len(vocab) + 1, EXTRA)
+        found = rows.mapInArrow(run, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        total = before.copy()
         total[found["piece"].to_numpy(dtype=np.int64)] += found["n"].to_numpy()
         total[-1] += ends
         logp = np.log(total / total.sum())
@@ -245,16 +255,18 @@ def _scored(counts: DataFrame, model) -> DataFrame:
     return counts.select("word", "c").mapInArrow(run, "word string, c bigint, lp double")
 
 
-def score(docs: DataFrame, trains: str, vocab: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = HOT) -> DataFrame:
+def score(docs: DataFrame, trains: str, vocab: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = HOT, rounds: int = ROUNDS, prior: float = PRIOR) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
     base_score is the add-half unigram model of whole words, score the marginal
     probability over all segmentations, both log10 and learned from the rows
     where `trains` is true. A word's count and score go to a task if it has one
     in `hot_share` of the training tokens; other words meet theirs in a join.
-    Null and empty texts have their end alone; rows alike in id and text get
-    equal rows; without training rows counts are 0 and the pieces have their
-    start probabilities; no rows give no rows.
+    Null and empty texts have their end alone; words and texts of any length are
+    scored whole; rows alike in id and text get equal rows; without training
+    rows counts are 0 and the pieces have the file's probabilities; other
+    columns are read by `trains` alone; no rows give no rows. `hot_share` and
+    HOT_BYTES change where a word is looked up, not its score.
     """
     spark = docs.sparkSession
     counts = cut(word_counts(docs, trains, text_col))
@@ -262,7 +274,7 @@ def score(docs: DataFrame, trains: str, vocab: pd.DataFrame, id_col: str = "doc_
     total, ends = total or 0, ends or 0
     hot = max(2.0, total / hot_share)
     frequent = (F.col("c") >= hot) & (F.octet_length("word") <= HOT_BYTES) & (F.col("word") != END)
-    logp = fit(counts, vocab, hot)
+    logp = fit(counts, vocab, rounds, prior)
     model = spark.sparkContext.broadcast((vocab, logp))
     known = _scored(counts.where(frequent).repartition(8), model).toPandas()
     table = spark.sparkContext.broadcast({w.encode(): (math.log10(c + 0.5), lp) for w, c, lp in known.itertuples(index=False)})
