@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import pieces, stored
 from .url_filter import host, path
 
 # Elements by what they do to the text.
@@ -134,10 +134,10 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def kept(found: list[tuple[str, bool, bool]], gone: set[int]) -> list[str]:
-    """The texts of the blocks that neither differencing nor the structure takes away."""
+def kept(found: list[tuple[str, bool, bool]]) -> list[int]:
+    """Places of the blocks that the structure keeps."""
     article = any(inside and not off for _, inside, off in found)
-    return [t for k, (t, inside, off) in enumerate(found) if k not in gone and not off and (inside or not article)]
+    return [k for k, (_, inside, off) in enumerate(found) if not off and (inside or not article)]
 
 
 def _ends(x: list[int], y: list[int]) -> np.ndarray:
@@ -210,7 +210,7 @@ def neighbours(lines: DataFrame) -> DataFrame:
     if not base:
         return ranked.select("page", "path", "lines", *[F.lit(None).cast(t).alias(c) for c, t in (("path_0", "string"), ("lines_0", "array<bigint>"), ("path_1", "string"), ("lines_1", "array<bigint>"))])
     offset = F.element_at(F.lit(base), part + 1).cast("long")
-    rows = ranked.withColumn("n", offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = ranked.select("page", F.xxhash64("host").alias("host"), "path", "lines", (offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
     out = rows
     for k, step in enumerate((1, -1)):
         other = rows.select((F.col("n") + step).alias(f"n_{k}"), F.col("host").alias(f"host_{k}"), F.col("path").alias(f"path_{k}"), F.col("lines").alias(f"lines_{k}"))
@@ -237,7 +237,7 @@ def _deletions(pairs: DataFrame) -> DataFrame:
 
 def _identity(*columns: Column) -> Column:
     """Two hashes of 64 bits, as 10^10 rows would have equal ones under one."""
-    return F.concat_ws("/", F.xxhash64(*columns).cast("string"), F.xxhash64(F.lit("and"), *columns).cast("string"))
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("and"), *columns).alias("b"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -258,28 +258,30 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     digest = xxhash.xxh3_64_intdigest
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [blocks(x) for x in batch.column(3).to_pylist()]
             hashes = [[digest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, *_ in x] for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64()))], names=["key", "host", "path", "lines"])
 
     narrow = rows.select("key", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "html")
-    own = narrow.mapInArrow(lines, "key string, host string, path string, lines array<bigint>").where(F.size("lines") > 0)
+    own = narrow.mapInArrow(lines, "key struct<a:bigint,b:bigint>, host string, path string, lines array<bigint>").where(F.size("lines") > 0)
     own = stored(own.withColumn("page", _identity(F.col("host"), F.col("lines"))))
     one = own.groupBy("page").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"))
     shared = _deletions(neighbours(one)).withColumnRenamed("page", "of")
     gone = own.join(shared, F.col("page") == F.col("of")).select(F.col("key").alias("gone_key"), "shared").dropDuplicates(["gone_key"])
-    both = rows.join(gone, F.col("key") == F.col("gone_key"), "left").select("page_id", "url", "html", "shared")
-    kind = both.schema["page_id"].dataType.simpleString()
+    kind = rows.schema["page_id"].dataType.simpleString()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, counts = [], []
-            for source, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = blocks(source)
-                lost = {k for k in drop or () if not found[k][1]}
-                out.append("\n\n".join(kept(found, lost)))
-                counts.append(len(lost))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_shared"])
-
-    return both.mapInArrow(texts, f"page_id {kind}, url string, text string, n_shared bigint")
+        for batch in pieces(batches):
+            found = [blocks(x) for x in batch.column(3).to_pylist()]
+            at = [kept(x) for x in found]
+            own = [[x[k][0] for k in places] for x, places in zip(found, at, strict=True)]
+            inside = [[k for k, b in enumerate(x) if b[1]] for x in found]
+            ints = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.string())), pa.array(at, ints), pa.array(inside, ints)], names=["key", "page_id", "url", "texts", "at", "inside"])
+
+    parsed = rows.mapInArrow(texts, f"key struct<a:bigint,b:bigint>, page_id {kind}, url string, texts array<string>, at array<bigint>, inside array<bigint>")
+    both = parsed.join(gone, F.col("key") == F.col("gone_key"), "left")
+    lost = F.coalesce(F.array_except("shared", "inside"), F.array().cast("array<bigint>"))
+    left = F.filter("texts", lambda t, k: ~F.array_contains(F.col("lost"), F.get("at", k)))
+    return both.withColumn("lost", lost).select("page_id", "url", F.array_join(left, "\n\n").alias("text"), F.size("lost").cast("long").alias("n_shared"))
