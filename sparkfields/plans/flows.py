@@ -206,7 +206,10 @@ def d15_layout_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.layout_text(pages.words_of(table(spark, d, "documents")))
 
 
-@query()
+@query(_WORDS + """, b AS (SELECT doc_id, CAST(line // 40 AS INT) AS page, CAST(line * 100000 + k AS INT) AS seq, line, ((k * 7 + line * 3) % 100) / 100.0 AS conf, k * 45 % 900 AS x0 FROM w0 WHERE text <> ''),
+t AS (SELECT * FROM b WHERE conf >= 0.55), h AS (SELECT doc_id, page, seq, line, x0 + 15 * (seq % 5) AS x0 FROM b),
+o AS (SELECT h.doc_id, h.seq, max(40 - abs(h.x0 - t.x0)) AS w FROM h JOIN t ON h.doc_id = t.doc_id AND h.line = t.line AND abs(h.x0 - t.x0) < 40 GROUP BY h.doc_id, h.seq)
+SELECT doc_id, page, seq, 'typed' AS engine FROM t UNION ALL SELECT h.doc_id, h.page, h.seq, 'handwritten' FROM h LEFT JOIN o ON h.doc_id = o.doc_id AND h.seq = o.seq WHERE coalesce(o.w / (80.0 - o.w), 0) < 0.25""")
 def c10_non_overlapping_words(spark: SparkSession, d: str) -> DataFrame:
     w = pages.words_of(table(spark, d, "documents"))
     hand = w.withColumn("x0", F.col("x0") + 15 * (F.col("seq") % 5)).withColumn("x1", F.col("x0") + 40)
@@ -232,7 +235,8 @@ def d17_pdf_block_summary(spark: SparkSession, d: str) -> DataFrame:
     return pages.pdf_block_summary(o)
 
 
-@query()
+@query(_WORDS + """, e AS (SELECT doc_id, (doc_id + seq) % 3 = 0 AS typed, conf FROM w), b AS (SELECT doc_id, coalesce(avg(conf) FILTER (WHERE typed), 0) AS t, coalesce(avg(conf) FILTER (WHERE NOT typed), 0) AS e, count(*) FILTER (WHERE typed) AS tn, count(*) FILTER (WHERE NOT typed) AS en FROM e GROUP BY doc_id)
+SELECT doc_id, CASE WHEN t >= 0.55 AND tn >= 8 AND t - e >= 0.15 THEN 'typed' WHEN e >= 0.45 AND en >= 5 AND e - t >= 0.10 THEN 'handwritten' WHEN tn = 0 AND en > 0 THEN 'handwritten' WHEN en = 0 AND tn > 0 THEN 'typed' ELSE 'hybrid' END AS label FROM b""")
 def p28_image_type_label(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import classify
 

@@ -65,11 +65,14 @@ def p01_documents(spark: SparkSession, d: str) -> DataFrame:
     return classify.layout_classify(table(spark, d, "documents"), "text").select("doc_id", "layout", "confidence")
 
 
-@query(f"""
+_SCHEMA = f"""
 WITH s AS (SELECT doc_id, {_count(classify.NF_WORDS, "low")} + CASE WHEN regexp_matches(low, '\\b\\d{{44}}\\b') THEN 3 ELSE 0 END AS nf, {_count(classify.WATER_WORDS, "low")} AS water,
   {_count(classify.BOLETO_WORDS, "low")} + CASE WHEN regexp_matches(low, '{classify.LINHA}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(low, '\\b\\d{{44}}\\b') THEN 2 ELSE 0 END AS slip
   FROM (SELECT doc_id, lower(raw_text) AS low FROM fx_invoices) AS t)
-SELECT doc_id, CASE WHEN nf >= 4 THEN 'nota_fiscal_default' WHEN water >= 3 THEN 'conta_agua_default' WHEN slip >= 4 THEN 'boleto_default' END AS schema_id FROM s""")
+SELECT doc_id, CASE WHEN nf >= 4 THEN 'nota_fiscal_default' WHEN water >= 3 THEN 'conta_agua_default' WHEN slip >= 4 THEN 'boleto_default' END AS schema_id FROM s"""
+
+
+@query(_SCHEMA)
 def p02_schema_classify(spark: SparkSession, d: str) -> DataFrame:
     return classify.schema_classify(view(spark, d, "fx_invoices")).select("doc_id", "schema_id")
 
@@ -157,7 +160,16 @@ def p09_noisy_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(fixed, "\n").alias("fixed"), F.get(F.sort_array(amounts, asc=False), 0)["v"].alias("amount"))
 
 
-@query()
+# Template, line, name and what stands before the value, for each labelled line of fx_invoices.
+_LABELLED = [
+    (1, 0, "nota_fiscal_de_venda", "Nota Fiscal de venda - "), (1, 1, "fornecedor", "Fornecedor: "), (1, 2, "tomador", "Tomador: "), (1, 3, "cnpj", "CNPJ: "), (1, 4, "numero", "Numero: "),
+    (1, 5, "descricao", "Descricao: "), (1, 6, "valor_total", "Valor total: "), (2, 3, "cedente", "Cedente: "), (3, 3, "beneficiario", "Beneficiario: "), (3, 5, "total", "Total: "),
+    (4, 0, "energia_eletrica", "Energia eletrica - "), (4, 1, "unidade_consumidora", "Unidade consumidora: "), (4, 3, "vencimento", "Vencimento: "), (4, 4, "total_a_pagar", "Total a pagar: "),
+    (5, 0, "condominio", "Condominio - "), (6, 1, "matricula", "Matricula: "), (6, 3, "consumo", "Consumo: "), (6, 4, "valor", "Valor - "),
+]
+
+
+@query(_L + f""" SELECT doc_id, CAST(place AS BIGINT) AS place, name, replace(l[place + 1], before, '') AS value FROM i JOIN (VALUES {", ".join(map(str, _LABELLED))}) AS v(t, place, name, before) ON template = t""")
 def p10_label_value_fields(spark: SparkSession, d: str) -> DataFrame:
     return extract.label_value_fields(view(spark, d, "fx_invoices"))
 
@@ -251,7 +263,15 @@ def _spec(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "schema_id string, seq int, name string, type string, rule string, required boolean")
 
 
-@query()
+_FIELDS = {"boleto_default": ("- valor* (decimal) — maior que zero\n- vencimento* (date)", ("valor", "vencimento")), "nota_fiscal_default": ("- numero_nf* (string)\n- obs (string)", ("numero_nf", "obs"))}
+_FORMAT = {k: ",\n".join(f'  "{n}": {{"value": "", "confidence": 0.0}}' for n in names) for k, (_, names) in _FIELDS.items()}
+_PROMPT = " ".join(
+    f"WHEN '{k}' THEN 'Extraia os campos do documento e responda somente com JSON.\n\nCampos:\n{lines}\n\nTexto:\n' || raw_text || '\n\nFormato:\n{{\n{_FORMAT[k]}\n}}'" for k, (lines, _) in _FIELDS.items()
+)
+
+
+@query(f"""WITH p AS (SELECT c.doc_id, c.schema_id, CASE c.schema_id {_PROMPT} END AS prompt FROM ({_SCHEMA}) AS c JOIN fx_invoices AS i ON i.doc_id = c.doc_id WHERE c.schema_id IN ('boleto_default', 'nota_fiscal_default'))
+SELECT doc_id, schema_id, length(prompt) AS n_chars, sha256(prompt) AS prompt_sha256 FROM p""")
 def p19_render_prompts(spark: SparkSession, d: str) -> DataFrame:
     docs = classify.schema_classify(view(spark, d, "fx_invoices"))
     return extract.render_prompts(docs, _spec(spark)).select("doc_id", "schema_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
