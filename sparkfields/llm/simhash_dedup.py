@@ -105,7 +105,8 @@ def links(fps: DataFrame, radius: int = RADIUS, m: int = SEGMENTS, chain: int |
     `chain` segments make the join key; by default as many as the count of
     fingerprints needs for keys that few of them share. A pair's differing bits
     are set in one of the two, so only the side that has a flipped bit at 0
-    (at the lowest flipped bit) asks for it.
+    (at the lowest flipped bit) asks for it. The chain changes the cost, not the
+    pairs.
     """
     if chain is None:
         chain = 2 if fps.count() < 1 << 27 else 3

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: A block has WORDS longs; a listed key sets one bit in each. Keys a block, as it is sized.
 WORDS, KEYS_PER_BLOCK = 4, 16
-#: Filters of up to so many blocks (40 bytes each) are sent to all executors; larger ones are joined by block.
+#: Filters of up to so many blocks (40 bytes each) are sent to all executors; larger ones are joined by block, with the same result.
 SENT_BLOCKS = 1 << 17
 
 

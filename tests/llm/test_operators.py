@@ -100,6 +100,20 @@ def test_fingerprints(spark, monkeypatch):
         assert prints.setdefault(a, r.fingerprint) == r.fingerprint
 
 
+def test_fingerprints_of_skewed_ids_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET", 4)
+    rng = random.Random(4)
+    text = lambda: sentence(rng, 20)
+    rows = [(None, text()) for _ in range(15)] + [(7, text()) for _ in range(15)] + [(10**15 * k, text()) for k in range(-2, 4)] + [(8, sentence(rng, 80_000))]
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64) * (h >> 63)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    want = set()
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1], strict=True):
+        q = len(a) // 4
+        want.add((i, len(a), hashlib.sha256((a[: len(a) - q] + b[:q]).encode()).hexdigest()))
+    assert {(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.compare_next(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == want
+
+
 def test_fingerprints_of_null_and_repeated_ids(spark):
     rows = spark.createDataFrame([(None, "a"), (5, "b"), (5, "b"), (9, None)], "doc_id bigint, text string")
     assert fingerprints.compare_next(rows).count() == 4
@@ -202,16 +216,27 @@ def test_line_dedup_of_long_lines_and_repeated_rows(spark):
 
 
 def test_url_filter(spark):
-    listed = url_filter.entries(spark, [("com", "/", "allow", 0), ("a.com", "/en/", "block", 0), ("bad.org", "/", "block", 1), ("bad.org", "/ok", "allow", 1)])
-    urls = ["http://A.com/en/x?q", "https://x.a.com/fr", "nothing", None, "ftp://bad.org/ok/1#f", "http://w.bad.org", "http://w.bad.org/", "http://notbad.org/", "://com/", "http://a.com/en/x?q"]
+    rules = url_filter.entries(spark, [("com", "/", "allow"), ("a.com", "/en/", "block"), ("bad.org", "/", "block"), ("bad.org", "/ok", "allow")])
+    urls = ["http://A.com/en/x?q", "https://x.a.com/fr", "nothing", None, "ftp://bad.org/ok/1#f", "http://w.bad.org", "http://w.bad.org/", "http://notbad.org/", "://com/", "http://a.com/en/x?q", "http://l.net/" + "x" * 100_000]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, listed).collect()}
+    listed = spark.createDataFrame([("w.bad.org/",), ("l.net/" + "x" * 100_000,), (None,), ("x.a.com/fr",)], "key string")
+    out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, rules, listed).collect()}
     assert out[0] == ("a.com", "/en/x", "a.com/en/", "block") and out[1] == ("x.a.com", "/fr", "com/", "allow")
     assert out[2] == ("", "", None, "allow") == out[3]
-    assert out[4][2:] == ("bad.org/ok", "allow") and out[5][2:] == (None, "allow") and out[6][2:] == ("bad.org/", "block") and out[7][2:] == (None, "allow")
-    assert out[8] == ("com", "/", "com/", "allow") and out[9] == out[0]
-    assert url_filter.judge(pages.limit(0), listed).count() == 0
-    assert {r.verdict for r in url_filter.judge(pages, listed.limit(0)).collect()} == {"allow"}
+    assert out[4][2:] == ("bad.org/ok", "allow") and out[5][2:] == (None, "block") and out[6][2:] == ("bad.org/", "block") and out[7][2:] == (None, "allow")
+    assert out[8] == ("com", "/", "com/", "allow") and out[9] == out[0] and out[10][2:] == (None, "block")
+    assert url_filter.judge(pages.limit(0), rules, listed).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, rules.limit(0), listed.limit(0)).collect()} == {"allow"}
+
+
+def test_canonical_urls(spark):
+    same = {
+        "h.com/": ["http://h.com", "https://H.COM:443/#top", "http://u:p@h.com:80", "ftp://h.com./"],
+        "h.com/a-b/%2F?q=%C3%A9": ["http://h.com/%61%2Db/%2f?q=%c3%a9", "http://h.com/a-b/%2F?q=%C3%A9#x"],
+        "h.com:8080/%zz%": ["http://h.com:8080/%zz%"],
+    }
+    rows = spark.createDataFrame([(u, k) for k, v in same.items() for u in v], "url string, want string")
+    assert [(r.got, r.url) for r in rows.select("url", url_filter.canonical(F.col("url")).alias("got"), "want").where("got is distinct from want").collect()] == []
 
 
 def test_bloom_has_no_false_negatives(spark):
@@ -313,6 +338,43 @@ def test_sharding(spark):
     assert sorted(map(str, sharding.place(docs(spark, texts).repartition(3)).collect())) == sorted(map(str, out))
 
 
+def ring_by_hand(keys, shards, vnodes=32, bits=13):
+    """Shard of each key (sortable, with its place first): clockwise to the next node with room, a round for each next shard."""
+    nodes = {}
+    for s in range(shards):
+        for v in range(vnodes):
+            nodes.setdefault(xxhash.xxh64_intdigest(f"shard {s} node {v}", 0) >> (64 - bits), s)
+    waiting = sorted(keys, key=lambda k: (k[0] >> (64 - bits), k[0] - (1 << 64) * (k[0] >> 63), *k[1:]))
+    free = [len(keys) // shards + (s < len(keys) % shards) for s in range(shards)]
+    out = {}
+    for r in range(shards):
+        late = []
+        for k in waiting:
+            here = k[0] >> (64 - bits)
+            turn = [nodes[c] for c in sorted(nodes) if c >= here] + [nodes[c] for c in sorted(nodes) if c < here]
+            target = list(dict.fromkeys(turn))[r]
+            if free[target]:
+                free[target] -= 1
+                out.setdefault(k, []).append(target)
+            else:
+                late.append(k)
+        waiting = late
+    return out
+
+
+def test_sharding_equals_brute_force_and_moves_little(spark):
+    texts = [f"text {k % 50}" for k in range(900)]
+    place = lambda i: xxhash.xxh64_intdigest(str(i), 42)
+    keys = [(place(i), i, len(t) + 1, zlib.crc32(t.encode())) for i, t in enumerate(texts)]
+    homes = {}
+    for shards in (8, 9):
+        want = ring_by_hand(keys, shards)
+        got = {r.doc_id: r.shard for r in sharding.place(docs(spark, texts), shards=shards).collect()}
+        assert got == {k[1]: v[0] for k, v in want.items()}
+        homes[shards] = got
+    assert sum(homes[8][k] != homes[9][k] for k in homes[8]) / len(texts) < 0.35
+
+
 def test_sharding_of_few_repeated_and_no_rows(spark):
     assert sharding.place(docs(spark, [])).count() == 0
     same = spark.createDataFrame([(None, "a")] * 20 + [(1, "b")] * 20, "doc_id bigint, text string")
@@ -380,7 +442,8 @@ def test_html_extraction_equals_brute_force(spark):
     ("<p>a</p><div class='big ad'>x</div><div class='cookie-banner'>y</div><div id='comments'>z</div>", ["a"]),
 ])
 def test_class_names_hide_what_they_name(page, want):
-    assert html_extraction.kept(html_extraction.blocks(page), set()) == want
+    found = html_extraction.blocks(page)
+    assert [found[k][0] for k in html_extraction.kept(found)] == want
 
 
 def test_html_extraction(spark):
@@ -426,6 +489,46 @@ def test_lattice_sums_all_segmentations(vocab):
     assert lattice.expected(["then"], np.array([1.0]))[k] == pytest.approx(slope, rel=1e-3, abs=1e-6)
 
 
+def test_scores_equal_brute_force(spark):
+    """Every segmentation of every word, its expected counts, and the sums of texts; pieces of over 16 letters too."""
+    import pandas as pd
+
+    pieces = [("▁", -1, -1.0), ("a", -1, -2.0), ("b", -1, -2.5), ("▁a", -1, -3.0), ("ab", -1, -2.2), ("▁ab", -1, -4.0), ("ba", -1, -3.3), ("cdefghijklmnopqrstu", -1, -6.0)]
+    pieces += [(f"<0x{k:02X}>", k, 0.0) for k in range(256)]
+    vocab = pd.DataFrame(pieces, columns=["piece", "byte", "score"])
+    rng = random.Random(17)
+    texts = [None, "", "cdefghijklmnopqrstu ab", "é ab"] + [" ".join("".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 8))) for _ in range(12)]
+
+    def ways(word, logp):
+        """(log probability, ids) of each segmentation of a marked word."""
+        if not word:
+            yield 0.0, ()
+            return
+        raw = [8 + b for b in word[0].encode()]
+        for ids, rest in [(raw, word[1:])] + [([k], word[len(p) :]) for k, (p, b, _) in enumerate(pieces) if b < 0 and word.startswith(p)]:
+            for lp, more in ways(rest, logp):
+                yield sum(logp[i] for i in ids) + lp, (*ids, *more)
+
+    teach = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
+    counts = Counter(w for t in teach for w in (t or "").split())
+    known = [math.exp(s) if b < 0 else math.exp(-7.0) for _, b, s in pieces] + [1e-6]
+    law = [x / sum(known) for x in known]
+    total = [x * 100 for x in law]
+    for w, c in counts.items():
+        found = list(ways("▁" + w, [math.log(x) for x in law]))
+        whole = sum(math.exp(lp) for lp, _ in found)
+        for lp, ids in found:
+            for i in ids:
+                total[i] += c * math.exp(lp) / whole
+    total[-1] += len(teach)
+    logp = [math.log10(x / sum(total)) for x in total]
+    want = {}
+    for k, t in enumerate(texts):
+        want[k] = logp[-1] + sum(math.log10(sum(10**lp for lp, _ in ways("▁" + w, logp))) for w in (t or "").split())
+    out = lattice_lm.score(docs(spark, texts), lattice_lm.teaches(), vocab, rounds=1, prior=100).collect()
+    assert {r.doc_id: pytest.approx(r.score, abs=1e-6) for r in out} == want
+
+
 def test_scores(spark, vocab):
     rng = random.Random(12)
     texts = EDGE + [sentence(rng, 30) for _ in range(20)]
