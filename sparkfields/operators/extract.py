@@ -250,7 +250,8 @@ def render_prompts(docs: DataFrame, fields: DataFrame, text_col: str = "raw_text
     spec = fields.groupBy(F.col("schema_id").alias("of_schema")).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line"), item.alias("item")))).alias("spec"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[texto truncado]"))).otherwise(text)
-    joined = docs.join(spec, F.col("schema_id") == F.col("of_schema"))
+    # null-safe, as a null test pushed below would evaluate the schema's rules a second time
+    joined = docs.join(spec.where("of_schema is not null"), F.col("schema_id").eqNullSafe(F.col("of_schema")))
     prompt = F.concat(
         F.lit("Extraia os campos do documento e responda somente com JSON.\n\nCampos:\n"), F.array_join(F.transform("spec", lambda x: x["line"]), "\n"), F.lit("\n\nTexto:\n"), cut,
         F.lit("\n\nFormato:\n{\n"), F.array_join(F.transform("spec", lambda x: x["item"]), ",\n"), F.lit("\n}"),
