@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,15 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def sized(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones, of about `size` bytes of a text column (one row at least)."""
+    for batch in batches:
+        held = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, upto = 0, np.cumsum(held)
+        while at < len(held):
+            before = upto[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
