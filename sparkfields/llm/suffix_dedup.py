@@ -28,8 +28,8 @@ from .common import folder, free, sized
 LENGTH, ANCHOR = 50, 16
 #: Bytes of text that a task looks at together; bytes of sorted rows of a range; sampled suffixes of a range.
 CHUNK, RANGE, SAMPLE = 4 << 20, 24 << 20, 100
-#: Least number of ranges.
-LEAST = 64
+#: Least number of ranges; bytes that are hashed at once.
+LEAST, BLOCK = 64, 1 << 20
 #: Windows that are sorted together.
 WINDOWS = 200_000
 #: The place of null ids.
@@ -37,15 +37,8 @@ LAST = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def suffixes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, anchor): runs of positions whose strings of `length` bytes have the same anchor and lie in one document.
-
-    `ends` are where the documents of text end. Of equal hashes the rightmost
-    counts. What is chosen depends on the bytes of a string alone.
-    """
-    none = np.zeros(0, np.int64)
-    if len(text) < length:
-        return none, none, none
+def _anchors(text: np.ndarray, length: int) -> np.ndarray:
+    """The anchor of each string of `length` bytes; of equal hashes the rightmost counts."""
     words = np.ndarray((len(text) - 7,), "<u8", text.tobytes(), strides=(1,))
     n = len(text) - ANCHOR + 1
     h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +55,20 @@ def suffixes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
         have *= 2
     if have < width:
         h = np.minimum(h[: have - width], h[width - have :])
-    anchor = (_LOW - (h & _LOW)).astype(np.int64)
+    return (_LOW - (h & _LOW)).astype(np.int64)
+
+
+def suffixes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, anchor): runs of positions whose strings of `length` bytes have the same anchor and lie in one document.
+
+    `ends` are where the documents of text end. What is chosen depends on the
+    bytes of a string alone.
+    """
+    none = np.zeros(0, np.int64)
+    if len(text) < length:
+        return none, none, none
+    found = [_anchors(text[k : k + BLOCK + length - 1], length) + k for k in range(0, len(text) - length + 1, BLOCK)]
+    anchor = np.concatenate(found)
     doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(anchor)]
     at = np.flatnonzero(np.arange(len(anchor)) + length <= ends[doc])
     if not len(at):
@@ -187,7 +193,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np
                 parts.append((row, at, text[at : at + CHUNK + length - 1]))
         while parts:
             held = np.cumsum([len(p[2]) for p in parts])
-            n = max(1, int(np.searchsorted(held, 2 * CHUNK, "right")))
+            n = max(1, int(np.searchsorted(held, CHUNK + length, "right")))
             yield np.frombuffer(b"".join(p[2] for p in parts[:n]), np.uint8), held[:n], [p[0] for p in parts[:n]], [p[1] for p in parts[:n]], batch
             parts = parts[n:]
 
