@@ -7,12 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfields.llm import decontamination, fingerprints, html_extraction, language_id, lattice_lm, line_dedup, mixing, sharding, shingle_join, simhash_dedup, url_filter
+from sparkfields.llm import decontamination, fill_in_middle, fingerprints, html_extraction, importance_resampling, language_id, lattice_lm, line_dedup, mixing, sharding, shingle_join, simhash_dedup, suffix_dedup, url_filter
 
 NAMES = (
     "_id _key _n _row _k _gone _gone_k block w0 w1 _block _language _hits row name of group head n rows whole more key h g c u v x r sim par size k pos gone own cell rank "
     "oid b late before hits language hit best listed page shared at word lp is_doc base known trains ident map w least root lo hi i j fp component_id copies part p sure "
-    "copy taken target source_size slot shard text_crc32 k2 want _want _is"
+    "copy id found range gaps n_features weight score n_words rank taken target source_size slot shard text_crc32 k2 want _want _is"
 ).split()
 WORDS = [f"w{k}" for k in range(40)]
 
@@ -44,6 +44,7 @@ KEEP = {
     "keep_one": lambda s, t: simhash_dedup.keep_one(t), "repeat": lambda s, t: mixing.repeat(t), "dedup_lines": lambda s, t: line_dedup.dedup_lines(t),
     "clean": lambda s, t: decontamination.clean(t, benchmark(s)), "keep_known": lambda s, t: language_id.keep_known(t, model(t), 0.5),
     "mark": lambda s, t: decontamination.mark(t, benchmark(s), into="found"), "identify": lambda s, t: language_id.identify(t, model(t), into="found"),
+    "transform": lambda s, t: fill_in_middle.transform(t), "remove_repeats": lambda s, t: suffix_dedup.remove_repeats(t),
 }
 
 
@@ -63,6 +64,7 @@ READ = {
     "near_groups": lambda s, t: simhash_dedup.near_groups(t), "compare_next": lambda s, t: fingerprints.compare_next(t), "place": lambda s, t: sharding.place(t), "mix": lambda s, t: mixing.mix(t),
     "judge": lambda s, t: url_filter.judge(t, url_filter.entries(s, [("com", "/", "block")]), t.select("key").withColumn("key", F.lit("h.com/1")), id_col="doc_id"),
     "extract": lambda s, t: html_extraction.extract(t, id_col="doc_id"), "score": lambda s, t: lattice_lm.score(t, lattice_lm.teaches(), vocabulary()),
+    "resample": lambda s, t: importance_resampling.resample(t, benchmark(s)),
     "groups": lambda s, t: shingle_join.groups(t.select(F.col("doc_id").alias("ident"), "text")),
 }
 
