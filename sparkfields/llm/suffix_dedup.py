@@ -62,19 +62,19 @@ def suffixes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     """(first, last, anchor): runs of positions whose strings of `length` bytes have the same anchor and lie in one document.
 
     `ends` are where the documents of text end. What is chosen depends on the
-    bytes of a string alone.
+    bytes of a string alone; a run ends at a block's end too.
     """
-    none = np.zeros(0, np.int64)
-    if len(text) < length:
-        return none, none, none
-    found = [_anchors(text[k : k + BLOCK + length - 1], length) + k for k in range(0, len(text) - length + 1, BLOCK)]
-    anchor = np.concatenate(found)
-    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(anchor)]
-    at = np.flatnonzero(np.arange(len(anchor)) + length <= ends[doc])
-    if not len(at):
-        return none, none, none
-    begins = np.flatnonzero(np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (doc[at][1:] != doc[at][:-1])]))
-    return at[begins], at[np.append(begins[1:], len(at)) - 1], anchor[at][begins]
+    found = [(np.zeros(0, np.int64),) * 3]
+    for k in range(0, len(text) - length + 1, BLOCK):
+        anchor = _anchors(text[k : k + BLOCK + length - 1], length) + k
+        at = np.arange(k, k + len(anchor))
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + length <= ends[doc]
+        at, doc, anchor = at[inside], doc[inside], anchor[inside]
+        begins = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))[: len(at)]
+        found.append((at[begins], at[np.append(begins[1:], len(at))[: len(begins)] - 1], anchor[begins]))
+    first, last, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+    return first, last, anchor
 
 
 def multikey(words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

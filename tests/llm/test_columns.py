@@ -12,7 +12,7 @@ from sparkfields.llm import decontamination, fill_in_middle, fingerprints, html_
 NAMES = (
     "_id _key _n _row _k _gone _gone_k block w0 w1 _block _language _hits row name of group head n rows whole more key h g c u v x r sim par size k pos gone own cell rank "
     "oid b late before hits language hit best listed page shared at word lp is_doc base known trains ident map w least root lo hi i j fp component_id copies part p sure "
-    "copy id found range gaps n_features weight score n_words taken target source_size slot shard text_crc32 k2 want _want _is"
+    "copy id range gaps n_features weight score n_words taken target source_size slot shard text_crc32 k2 want _want _is"
 ).split()
 WORDS = [f"w{k}" for k in range(40)]
 
