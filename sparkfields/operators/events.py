@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from .inbox import first_per_key
@@ -12,6 +15,8 @@ from .inbox import first_per_key
 TYPES = ["document.received", "ocr.completed", "ocr.failed", "layout.classified", "extraction.completed", "erp.integration.requested", "erp.sent", "erp.failed"]
 STREAMS = [*TYPES[:1], "ocr.completed", "ocr.failed", "layout.classified", "extraction.completed", "erp.sent", "erp.failed"]
 SUFFIX = ".dlq"
+#: Times in payloads keep their microseconds.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def validate_events(df: DataFrame) -> DataFrame:
@@ -60,46 +65,115 @@ def new_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", F.when(F.col("known").isNotNull() | (n > 1), "duplicate").otherwise("created")).drop("k_t", "k_f", "known")
 
 
+#: A row of the fold: what is folded of a document so far, or an event `e` that comes before the document's first document.received.
+FOLD = (
+    "document_id string, birth struct<occurred_at:timestamp,event_id:string>, n bigint, status struct<occurred_at:timestamp,event_id:string,v:string>, ocr struct<occurred_at:timestamp,event_id:string>, "
+    "extracted struct<occurred_at:timestamp,event_id:string,v:boolean>, erp struct<occurred_at:timestamp,event_id:string,v:string>, e struct<occurred_at:timestamp,event_id:string,event_type:string,review:boolean>"
+)
+
+
+def fold_rows(events: DataFrame) -> DataFrame:
+    """Valid events of distinct ids as rows for fold()."""
+    at = F.struct(F.col("occurred_at").cast("timestamp").alias("occurred_at"), F.col("event_id").cast("string").alias("event_id"))
+    e = at.withField("event_type", F.col("event_type")).withField("review", F.col("requires_human_validation"))
+    rows = events.select(F.col("document_id").cast("string").alias("document_id"), F.when(F.col("event_type") == "document.received", at).alias("birth"), e.alias("e"))
+    none = {c: F.lit(None) for c in ("n", "status", "ocr", "extracted", "erp")}
+    kinds = dict(re.findall(r"(\w+) (struct<[^>]*>|bigint|string)", FOLD))
+    return rows.select(*[none[c].cast(t).alias(c) if c in none else F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def fold(rows: DataFrame) -> DataFrame:
+    """One folded row for each document, and the events that wait for its first document.received (or an earlier one) as they are.
+
+    Its results can be folded again with other rows, in any order and grouping. A
+    document's rows are summed where they lie, and joined with one row for each
+    document, so that one with very many events is no group of one task.
+    """
+    births = rows.where("birth is not null").groupBy(F.col("document_id").alias("of")).agg(F.min("birth").alias("born"))
+    rows = rows.join(births, F.col("document_id") == F.col("of"), "left")
+    at = F.struct(F.col("e.occurred_at").alias("occurred_at"), F.col("e.event_id").alias("event_id"))
+    ready = F.coalesce(at >= F.col("born"), F.lit(False))
+    kind = F.col("e.event_type")
+    status = (
+        F.when(kind == "ocr.completed", "OCR_COMPLETED").when(kind == "ocr.failed", "OCR_FAILED").when(kind == "extraction.completed", F.when(F.col("e.review"), "VALIDATION_PENDING").otherwise("EXTRACTION_COMPLETED"))
+        .when(kind == "erp.sent", "ERP_SENT").when(kind == "erp.failed", "ERP_FAILED")
+    )
+    own = rows.where(F.col("e").isNotNull() & ready).select(
+        "document_id", "birth", F.lit(1).cast("long").alias("n"), F.when(status.isNotNull(), at.withField("v", status)).alias("status"), F.when(kind == "ocr.completed", at).alias("ocr"),
+        F.when(kind == "extraction.completed", at.withField("v", F.col("e.review"))).alias("extracted"), F.when(kind.isin("erp.sent", "erp.failed"), at.withField("v", kind)).alias("erp"),
+    )
+    names = ["document_id", "birth", "n", "status", "ocr", "extracted", "erp"]
+    both = own.unionByName(rows.where("e is null").select(*names))
+    last = [F.max(c).alias(c) for c in ("status", "ocr", "extracted", "erp")]
+    folded = both.groupBy("document_id").agg(F.min("birth").alias("birth"), F.sum("n").alias("n"), *last).withColumn("e", F.lit(None).cast(rows.schema["e"].dataType))
+    waiting = rows.where(F.col("e").isNotNull() & ~ready).select(*names, "e")
+    return folded.unionByName(waiting)
+
+
+def folded_state(rows: DataFrame) -> DataFrame:
+    """The documents of fold()'s rows: (document_id, status, n_events, received_at, ocr_at, extracted_at, needs_review, erp_status)."""
+    return rows.where("e is null").select(
+        "document_id", F.coalesce("status.v", F.lit("RECEIVED")).alias("status"), F.col("n").alias("n_events"), F.col("birth.occurred_at").alias("received_at"), F.col("ocr.occurred_at").alias("ocr_at"),
+        F.col("extracted.occurred_at").alias("extracted_at"), F.col("extracted.v").alias("needs_review"), F.col("erp.v").alias("erp_status"),
+    )
+
+
+def _valid_once(events: DataFrame) -> DataFrame:
+    return dedupe_events(validate_events(events).where("is_valid")).drop("error", "is_valid")
+
+
 def document_state(events: DataFrame) -> DataFrame:
     """(document_id, status, n_events, received_at, ocr_at, extracted_at, needs_review, erp_status): valid events folded.
 
     Repeated ids count once; events come in order of time and id; those before
-    the first document.received find no document and are left out.
+    the first document.received find no document: orphan_events() has them.
     """
-    first = dedupe_events(validate_events(events).where("is_valid"))
-    born = F.min(F.when(F.col("event_type") == "document.received", F.struct("occurred_at", "event_id"))).over(Window.partitionBy("document_id"))
-    rows = first.withColumn("_born", born).where(F.struct("occurred_at", "event_id") >= F.col("_born"))
-    at = F.struct("occurred_at", "event_id")
-    status = (
-        F.when(F.col("event_type") == "ocr.completed", "OCR_COMPLETED").when(F.col("event_type") == "ocr.failed", "OCR_FAILED")
-        .when(F.col("event_type") == "extraction.completed", F.when(F.col("requires_human_validation"), "VALIDATION_PENDING").otherwise("EXTRACTION_COMPLETED"))
-        .when(F.col("event_type") == "erp.sent", "ERP_SENT").when(F.col("event_type") == "erp.failed", "ERP_FAILED")
-    )
-    last = lambda kind, c: F.max(F.when(F.col("event_type").isin(kind), F.struct(at.alias("at"), F.col(c).alias("v"))))["v"]
-    rows = rows.withColumn("_status", status)
-    folded = rows.groupBy("document_id").agg(
-        F.coalesce(F.max(F.when(F.col("_status").isNotNull(), F.struct(at.alias("at"), F.col("_status").alias("v"))))["v"], F.lit("RECEIVED")).alias("status"), F.count("*").alias("n_events"),
-        F.min(F.when(F.col("event_type") == "document.received", F.col("occurred_at"))).alias("received_at"), last(["ocr.completed"], "occurred_at").alias("ocr_at"),
-        last(["extraction.completed"], "occurred_at").alias("extracted_at"), last(["extraction.completed"], "requires_human_validation").alias("needs_review"), last(["erp.sent", "erp.failed"], "event_type").alias("erp_status"),
+    at = events.schema["occurred_at"].dataType.simpleString()
+    state = folded_state(fold(fold_rows(_valid_once(events))))
+    return state.withColumns({c: F.col(c).cast(at) for c in ("received_at", "ocr_at", "extracted_at")})
+
+
+def orphan_events(events: DataFrame, source: str = "bus", at: Column | None = None) -> DataFrame:
+    """Dead letters of valid events that find no document: theirs is never received, or only later."""
+    rows = _valid_once(events)
+    waiting = fold(fold_rows(rows)).where("e is not null").select(F.col("e.event_id").alias("orphan"))
+    lost = rows.join(waiting, F.col("event_id") == F.col("orphan"), "left_semi")
+    return dead_letters(lost, events.columns, F.lit("LookupError"), F.concat(F.lit("document not found: "), F.col("document_id")), source, at)
+
+
+def dead_letters(rows: DataFrame, event: list[str], error_type: Column, error: Column, source: str, at: Column | None = None) -> DataFrame:
+    """(occurred_at, source, stream, event_stream_id, event_type, event_id, error_type, error, payload) for each row; payload has the whole event, its columns `event`, as JSON without nulls."""
+    stream = F.concat(F.coalesce("event_type", F.lit("unknown")), F.lit(SUFFIX))
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in event]), JSON_TIMES)
+    return rows.select(
+        (F.current_timestamp() if at is None else at).alias("occurred_at"), F.lit(source).alias("source"), stream.alias("stream"), F.col("stream_offset").alias("event_stream_id"), "event_type", "event_id",
+        error_type.alias("error_type"), error.alias("error"), whole.alias("payload"),
     )
-    return folded
 
 
-def route_dlq(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid events, and dead letters (stream, event_stream_id, event_type, event_id, error_type, error, payload) of the others."""
+def route_dlq(events: DataFrame, source: str = "bus", at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid events, and the dead letters of the others."""
     checked = validate_events(events)
-    bad = checked.where("not is_valid").select(
-        F.concat(F.coalesce("event_type", F.lit("unknown")), F.lit(SUFFIX)).alias("stream"), F.col("stream_offset").alias("event_stream_id"), "event_type", "event_id", F.lit("ValueError").alias("error_type"), "error",
-        F.to_json(F.struct("event_id", "tenant_id", "document_id", "source")).alias("payload"),
-    )
-    return checked.where("is_valid").drop("error", "is_valid"), bad
+    letters = dead_letters(checked.where("not is_valid"), [c for c in events.columns if c not in ("error", "is_valid")], F.lit("ValueError"), F.col("error"), source, at)
+    return checked.where("is_valid").drop("error", "is_valid"), letters
+
+
+def restored_events(payloads: DataFrame, schema: T.StructType) -> DataFrame:
+    """The events that payloads of dead letters hold, as they were before they went wrong."""
+    return payloads.select(F.from_json("payload", schema, JSON_TIMES).alias("e")).select("e.*")
 
 
 def dlq_summary(letters: DataFrame, limit: int = 50) -> DataFrame:
-    """(stream, total, n, last_id, last_error): all letters of each stream, and the number, last id and last error of its first `limit`."""
+    """(stream, total, n, last_id, last_error): all letters of each stream, and the number, last id and last error of its first `limit`.
+
+    The rank is filtered next to the window, so each task keeps `limit` letters
+    of a stream before they are dealt.
+    """
+    total = letters.groupBy("stream").agg(F.count("*").alias("total"))
     n = F.row_number().over(Window.partitionBy("stream").orderBy("event_stream_id"))
-    seen = F.when(F.col("_n") <= limit, F.struct("event_stream_id", "error"))
-    rows = letters.select("stream", "event_stream_id", "error", n.alias("_n")).groupBy("stream").agg(F.count("*").alias("total"), F.count(seen).alias("n"), F.max(seen).alias("l"))
+    head = letters.select("stream", "event_stream_id", "error", n.alias("_n")).where(F.col("_n") <= limit)
+    head = head.groupBy(F.col("stream").alias("of")).agg(F.count("*").alias("n"), F.max(F.struct("event_stream_id", "error")).alias("l"))
+    rows = total.join(head, F.col("stream") == F.col("of"))
     return rows.select("stream", "total", "n", F.col("l.event_stream_id").alias("last_id"), F.col("l.error").alias("last_error"))
 
 

@@ -130,7 +130,40 @@ SELECT event_id * 2 + copy AS stream_offset, concat('evt-', cast(event_id as str
 FROM (SELECT *, 0 AS copy FROM events UNION ALL SELECT *, 1 AS copy FROM events WHERE event_id % 7 = 0) AS e
 """
 
-VIEWS = {"fx_invoices": INVOICES, "fx_documents": DOCUMENTS, "fx_results": RESULTS, "fx_decisions": DECISIONS, "fx_versions": VERSIONS, "fx_events": EVENTS}
+_UUID = "concat('00000000-0000-4000-8000-', lpad(cast({} as string), 12, '0'))"
+_DATA = {
+    "document.received": """'{"channel":"email","file":{"uri":"local://a","content_type":"application/pdf","filename":"f.pdf","size_bytes":', cast(seq % 9000 as string), ',"sha256":"', repeat('a', 64), '"},"received_at":"2024-01-02T03:04:05","metadata":{"k":[1]}}'""",
+    "ocr.completed": """'{"raw_text_uri":"local://t","document_type":"digital_pdf","engine_used":"one","confidence":0.', cast(seq % 100 as string), ',"processing_time_seconds":1.5,"artifacts":{"a":"b"},"metadata":{}}'""",
+    "ocr.failed": """'{"reason":"timeout","retryable":true,"engine_used":null}'""",
+    "layout.classified": """'{"layout":"boleto_bb","confidence":0.', cast(seq % 100 as string), ',"document_type":"unknown","requires_human_validation":false}'""",
+    "extraction.completed": """'{"schema_id":"boleto","schema_version":"v1","fields":{"valor":"', cast(seq as string), '"},"confidence":0.5,"requires_human_validation":true,"metadata":{}}'""",
+    "erp.integration.requested": """'{"connector":"erp-1","payload":{"valor":', cast(seq as string), '},"idempotency_key":"k"}'""",
+    "erp.sent": """'{"connector":"erp-1","external_id":null,"idempotency_key":"k","response_metadata":{}}'""",
+    "erp.failed": """'{"connector":"erp-1","reason":"refused","retryable":false,"idempotency_key":"k"}'""",
+}
+#: What is changed in a whole event, by turns: (old, new) texts; the last ones are whole events.
+_FAULTS = [
+    ('"v1","occ', '"v2","occ'), ('"tenant_id":"t1",', ""), ('"tenant_id":"t1"', '"tenant_id":""'), ("05Z", "05"), ('{"event_id"', '{"more":1,"event_id"'), ('"data":{', '"data":{"more":1,'), ('"file":{', '"file":{"more":1,'), ('"confidence":0.', '"confidence":7.'),
+    ('"confidence":0.', '"confidence":"0.'), ('aaaa"', 'aaa"'), ('"size_bytes":', '"size_bytes":-1'), ('"metadata":{', '"metadata":[1],"x":{'), ('"document_id":"0', '"document_id":"g'), ('"retryable":', '"retryable":"no","retryable2":'), ('"requires_human_validation":', '"requires_human_validation":3,"other":'),
+    ('"source":"bus"', '"source":null'), ('"channel":"email"', '"channel":"fax"'), ('{"a":"b"}', '{"a":1}'), ('"connector":"erp-1",', ""), ("2024-01-02T03:04:05Z", "2024-13-02T03:04:05Z"), ('"data":{', '"data":[],"data2":{'), ('"event_type":"', '"event_type":"x'), ('"reason":"', '"reason":5,"why":"'),
+    ('"received_at":"2024', '"received_at":"today'), ('"schema_id":"boleto"', '"schema_id":null'), ('"idempotency_key":"k"', '"idempotency_key":""'), ('"processing_time_seconds":1.5', '"processing_time_seconds":-1'), ('"processing_time_seconds":1.5', '"processing_time_seconds":"1.5"'),
+]
+
+
+def _payloads() -> str:
+    names = list(_DATA)
+    kind = "CASE seq % 8 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END"
+    data = "CASE seq % 8 " + " ".join(f"WHEN {k} THEN concat({_DATA[n]})" for k, n in enumerate(names)) + " END"
+    whole = f"""concat('{{"event_id":"', {_UUID.format("seq")}, '","event_type":"', {kind}, '","event_version":"v1","occurred_at":"2024-01-02T03:04:05Z","tenant_id":"t1","document_id":"', {_UUID.format("user_id")}, '","correlation_id":"', {_UUID.format("seq")}, '","source":"bus","data":', {data}, '}}')"""
+    faults = " ".join(f"WHEN {k + 1} THEN replace(whole, '{a}', '{b}')" for k, (a, b) in enumerate(_FAULTS))
+    n = len(_FAULTS) + 1
+    return f"""SELECT seq, CASE fault {faults} WHEN {n} THEN substr(whole, 2) WHEN {n + 1} THEN concat('[', whole, ']') WHEN {n + 2} THEN NULL ELSE whole END AS payload
+FROM (SELECT seq, cast(floor(seq / 8) as bigint) % {n + 3} AS fault, {whole} AS whole FROM (SELECT event_id AS seq, user_id FROM events) AS e) AS w"""
+
+
+PAYLOADS = _payloads()
+
+VIEWS = {"fx_payloads": PAYLOADS, "fx_invoices": INVOICES, "fx_documents": DOCUMENTS, "fx_results": RESULTS, "fx_decisions": DECISIONS, "fx_versions": VERSIONS, "fx_events": EVENTS}
 
 
 def with_views(sql: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import admin, capture, events, extract, pages, quality
 from ..sources import files
+from ..sources import log as log_files
 from ..streaming import jobs, runs
 from . import records
 from .fixtures import table, view
@@ -308,12 +309,28 @@ def s02_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
     return runs.run_now(jobs.dedupe_stream(twice, "event_id", "ts", "1 hour")).select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+def _arrivals(spark: SparkSession, d: str, at: str, batches: int) -> DataFrame:
+    """fx_events as a stream of as many files, in order of their offsets, one file a batch."""
+    rows = view(spark, d, "fx_events")
+    rows.repartitionByRange(batches, "stream_offset").write.parquet(f"{at}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+@query("SELECT DISTINCT event_id, event_type, occurred_at, document_id FROM fx_events")
+def s02_dedupe_log(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that come again in a later batch, whenever that is."""
+    at = runs.folder(spark)
+    jobs.dedupe_log(_arrivals(spark, d, at, 3), f"{at}/out", f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("event_id", "event_type", "occurred_at", "document_id")
+
+
 @query(records.STATE)
 def s03_state_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The state after several batches, folded run by run."""
     at = runs.folder(spark)
-    log = view(spark, d, "fx_events", events=_stream(spark, d, "events"))
-    jobs.state_upsert(log, f"{at}/log", f"{at}/state", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/state").select(*records.e08_document_state(spark, d).columns)
+    jobs.state_upsert(_arrivals(spark, d, at, 5), f"{at}/table", f"{at}/checkpoint", fanout=3).awaitTermination()
+    times = ("received_at", "ocr_at", "extracted_at")
+    return jobs.read_state(spark, f"{at}/table").withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
 
 
 _KIND = "CASE template WHEN 2 THEN 'boleto' WHEN 3 THEN 'boleto' WHEN 4 THEN 'fatura' WHEN 5 THEN 'fatura' ELSE 'generic' END"
@@ -351,6 +368,20 @@ def a04_a05_event_files(spark: SparkSession, d: str) -> DataFrame:
     return runs.run_now(files.stream_events(spark, f"{at}/events", "event_id string, event_type string, value double"))
 
 
+@query("SELECT event_type AS stream, row_number() OVER (PARTITION BY event_type ORDER BY seq % 3, stream_offset) AS offset, event_id FROM fx_events")
+def a03_a05_event_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Three appends to the streams of a log, then a scan of each stream in two slices."""
+    log, rows = log_files.EventLog(spark, runs.folder(spark)), view(spark, d, "fx_events")
+    for k in range(3):
+        log.append(rows.where(F.col("seq") % 3 == k), F.col("event_type"), [F.col("stream_offset")], k)
+    out = None
+    for stream, upto in sorted(log.next_offsets().items()):
+        for part in (log.scan(stream, 0, upto // 2), log.scan(stream, upto // 2)):
+            part = part.withColumn("stream", F.lit(stream))
+            out = part if out is None else out.unionByName(part)
+    return out.select("stream", "offset", F.get_json_object("value", "$.event_id").alias("event_id"))
+
+
 _BLOBS = "SELECT concat('documents/t', CAST(doc_id % 5 AS STRING), '/d', CAST(doc_id AS STRING), '/original') AS key, coalesce(text, '') AS body FROM documents"
 _NAMED = "SELECT concat('in/', CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'B' END, CAST(doc_id AS STRING), '.', CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'PNG' WHEN 2 THEN 'txt' WHEN 3 THEN 'tiff' WHEN 4 THEN 'docx' ELSE 'webp' END) AS key, coalesce(text, '') AS body FROM documents"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import events, inbox, versions
+from ..operators import contracts, events, inbox, versions
 from .fixtures import table, view
 from .registry import Registry
 
@@ -76,6 +76,43 @@ def b12_validate_events(spark: SparkSession, d: str) -> DataFrame:
     return events.validate_events(view(spark, d, "fx_events")).select("stream_offset", "is_valid", "error")
 
 
+def _contract_sql() -> str:
+    """The contracts as rows, each event's fields looked up one by one, and the first broken rule in order."""
+    rows, text = [], lambda x: "NULL" if x is None else f"'{x}'"
+    for kind, own in contracts.DATA.items():
+        fields = contracts.BASE + own
+        for k, f in enumerate(fields):
+            parent = f.path.rpartition(".")[0]
+            rows.append(f"('{kind}', {k}, '$.{f.path}', '{'$.' + parent if parent else '$'}', '{f.path}', '{f.kind}', {f.required}, {f.nullable}, {text(f.least)}::DOUBLE, {text(f.most)}::DOUBLE, [{', '.join(text(c) for c in f.choices)}]::VARCHAR[])")
+    return f"""WITH c(event_type, k, path, parent, name, kind, required, nullable, least, most, choices) AS (VALUES {", ".join(rows)}),
+p AS (SELECT seq, payload, CASE WHEN json_valid(payload) THEN json_type(payload) END AS top, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.event_type') END AS event_type FROM fx_payloads),
+f AS (SELECT p.seq, c.*, json_type(payload, path) AS j, json_extract_string(payload, path) AS t, json_type(payload, parent) AS pj, json_extract(payload, path) AS node FROM p JOIN c ON p.event_type = c.event_type WHERE top = 'OBJECT'),
+g AS (SELECT *, j IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') AS is_number, j = 'VARCHAR' AS is_text, TRY_CAST(trim(t) AS DOUBLE) AS x FROM f),
+b AS (SELECT seq, k, CASE
+    WHEN j IS NULL THEN CASE WHEN required AND pj IS NOT NULL THEN name || ': missing' END
+    WHEN j = 'NULL' THEN CASE WHEN NOT nullable THEN name || ': null' END
+    WHEN kind = 'strings' AND (j <> 'OBJECT' OR len(list_filter(json_keys(node), lambda y: json_type(node, '$."' || y || '"') <> 'VARCHAR')) > 0) THEN name || ': not strings'
+    WHEN kind = 'string' AND NOT is_text THEN name || ': not string' WHEN kind = 'uuid' AND NOT (is_text AND regexp_matches(t, '{contracts.UUID}')) THEN name || ': not uuid'
+    WHEN kind = 'int' AND NOT coalesce((is_text OR is_number) AND x = floor(x), false) THEN name || ': not int' WHEN kind = 'float' AND NOT ((is_text OR is_number) AND x IS NOT NULL) THEN name || ': not float'
+    WHEN kind = 'bool' AND NOT (j = 'BOOLEAN' OR ((is_text OR is_number) AND lower(t) IN ({", ".join(f"'{x}'" for x in contracts.TRUTHS)}))) THEN name || ': not bool'
+    WHEN kind IN ('time', 'zoned') AND NOT (is_number OR (is_text AND regexp_matches(t, '{contracts.TIME}') AND TRY_CAST(t AS TIMESTAMPTZ) IS NOT NULL)) THEN name || ': not time'
+    WHEN kind IN ('object', 'map') AND j <> 'OBJECT' THEN name || ': not ' || kind
+    WHEN kind = 'zoned' AND is_text AND NOT regexp_matches(t, '{contracts.ZONE}') THEN name || ': no zone' WHEN len(choices) > 0 AND NOT list_contains(choices, t) THEN name || ': not a choice'
+    WHEN least IS NOT NULL AND CASE WHEN kind = 'string' THEN length(t) ELSE x END < least THEN name || ': below ' || CAST(CAST(least AS INT) AS VARCHAR)
+    WHEN most IS NOT NULL AND CASE WHEN kind = 'string' THEN length(t) ELSE x END > most THEN name || ': above ' || CAST(CAST(most AS INT) AS VARCHAR) END AS error FROM g),
+o AS (SELECT seq, 1000 AS k, 'event: unknown key' AS error FROM p WHERE top = 'OBJECT' AND len(list_filter(json_keys(payload), lambda y: y NOT IN ({", ".join(f"'{f.path}'" for f in contracts.BASE)}))) > 0
+  UNION ALL SELECT seq, 1001 + CAST(path <> '$.data' AS INT), substr(path, 3) || ': unknown key' FROM (SELECT p.seq, q.path, unnest(json_keys(payload, q.path)) AS key, p.event_type FROM p, (VALUES ('$.data'), ('$.data.file')) AS q(path) WHERE top = 'OBJECT' AND json_type(payload, q.path) = 'OBJECT') AS u
+  WHERE EXISTS (SELECT 1 FROM c WHERE c.event_type = u.event_type AND c.path = u.path) AND NOT EXISTS (SELECT 1 FROM c WHERE c.event_type = u.event_type AND c.path = u.path || '.' || u.key))
+SELECT p.seq, CASE WHEN coalesce(top, '') <> 'OBJECT' THEN 'not an object' WHEN event_type IS NULL OR event_type NOT IN (SELECT event_type FROM c) THEN 'unknown event type' ELSE e.error END AS error
+FROM p LEFT JOIN (SELECT seq, arg_min(error, k) AS error FROM (SELECT * FROM b UNION ALL SELECT * FROM o) AS x WHERE error IS NOT NULL GROUP BY seq) AS e ON p.seq = e.seq"""
+
+
+@query(_contract_sql())
+def b12_check_events(spark: SparkSession, d: str) -> DataFrame:
+    """JSON events of all types against their contracts, each fault by turns."""
+    return contracts.check_events(view(spark, d, "fx_payloads")).select("seq", "error")
+
+
 @query("""SELECT c.document_id, c.seq, c.decision, CASE WHEN decision NOT IN ('approved', 'rejected', 'corrected') THEN 'invalid decision' WHEN r.document_id IS NULL THEN 'no extraction' WHEN decision = 'rejected' AND trim(notes) = '' THEN 'notes required' ELSE 'accepted' END AS outcome,
   CASE WHEN decision NOT IN ('approved', 'rejected', 'corrected') OR r.document_id IS NULL OR (decision = 'rejected' AND trim(notes) = '') THEN NULL WHEN decision = 'approved' THEN 'APPROVED' WHEN decision = 'rejected' THEN 'REJECTED' ELSE 'VALIDATION_PENDING' END AS new_status
 FROM fx_decisions AS c JOIN fx_documents AS d ON c.document_id = d.id LEFT JOIN fx_results AS r ON r.document_id = d.id""")
@@ -150,6 +187,15 @@ def c11_requeue_audit(spark: SparkSession, d: str) -> DataFrame:
     return out.select("stream", "dlq_entry_id", "target_stream", "requested_by", "payload_event_type", "payload_event_id", "requeued_event_id")
 
 
+@query(f"""WITH l AS ({_DLQ}) SELECT CASE WHEN l.event_stream_id % 2 = 0 THEN 'erp.sent' ELSE replace(stream, '.dlq', '') END AS stream, e.* FROM l JOIN fx_events AS e ON e.stream_offset = l.event_stream_id WHERE stream <> 'bogus.event.dlq'""")
+def c11_requeued_events(spark: SparkSession, d: str) -> DataFrame:
+    """What requeueing publishes again, read back: the whole events as they first came."""
+    rows = view(spark, d, "fx_events")
+    _, letters = events.route_dlq(rows)
+    asks = letters.select("stream", "event_stream_id", F.when(F.col("event_stream_id") % 2 == 0, "erp.sent").alias("target"))
+    again, _ = events.requeue(letters, asks, "ops", "", F.lit("2024-01-02T03:04:05Z"))
+    return again.select("stream", F.from_json("payload", rows.schema, events.JSON_TIMES).alias("e")).select("stream", "e.*")
+
 
 @query("SELECT document_id, 1 AS version_number FROM fx_results WHERE document_id NOT IN (SELECT document_id FROM fx_versions)")
 def c12_backfill_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -263,6 +309,17 @@ def e08_document_state(spark: SparkSession, d: str) -> DataFrame:
     return events.document_state(view(spark, d, "fx_events"))
 
 
+@query(f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY stream_offset) AS k FROM ({VALID}) AS x WHERE error IS NULL), b AS (SELECT document_id, min(occurred_at) AS born FROM v WHERE k = 1 AND event_type = 'document.received' GROUP BY document_id)
+SELECT event_type || '.dlq' AS stream, stream_offset AS event_stream_id, event_type, event_id, 'LookupError' AS error_type, 'document not found: ' || v.document_id AS error, tenant_id AS payload_tenant, value AS payload_value
+FROM v LEFT JOIN b ON v.document_id = b.document_id WHERE k = 1 AND (born IS NULL OR occurred_at < born)""")
+def e08_orphan_events(spark: SparkSession, d: str) -> DataFrame:
+    """Dead letters of events before their document, with what their payload holds."""
+    rows = view(spark, d, "fx_events")
+    letters = events.orphan_events(rows)
+    again = letters.select("stream", "event_stream_id", "error_type", "error", F.from_json("payload", rows.schema, events.JSON_TIMES).alias("e"))
+    return again.select("stream", "event_stream_id", "e.event_type", "e.event_id", "error_type", "error", F.col("e.tenant_id").alias("payload_tenant"), F.col("e.value").alias("payload_value"))
+
+
 @query("SELECT id, received_at FROM fx_documents WHERE status = 'APPROVED' ORDER BY received_at DESC, id LIMIT 25 OFFSET 25")
 def f01_paginate(spark: SparkSession, d: str) -> DataFrame:
     return inbox.paginate(inbox.filter_status(view(spark, d, "fx_documents"), "APPROVED"), "2", 100)[0].select("id", "received_at")

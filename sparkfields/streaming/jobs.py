@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import classify, events, extract
+from . import tables
 
 
 def debounce(df: DataFrame, key: str, ts: str, item: str, seconds: int) -> DataFrame:
@@ -102,21 +102,47 @@ def route_stream(df: DataFrame, good: str, dead: str, checkpoint: str, **trigger
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def state_upsert(df: DataFrame, log: str, table: str, checkpoint: str, buckets: int = 64, **trigger):
-    """Events of a stream to a log, and the state folded from it; a batch that is run again changes nothing.
+def dedupe_log(df: DataFrame, out: str, log: str, checkpoint: str, key: str = "event_id", order: str = "stream_offset", **trigger):
+    """Events of a stream whose id no batch has brought before, however long ago, to a Parquet folder for each batch.
 
-    Log and state are dealt by a hash of document_id; a batch folds and rewrites
-    the buckets that its documents are in, from the log of those buckets alone.
+    Of one batch's rows with an id the first by `order` stays; rows without id
+    go. What a batch is compared with is the log as it was before that batch, so
+    one that is run again writes the same.
     """
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{log}/batch={number}")
-        whole = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(log).where(F.col("batch") <= number)
-        touched = [r[0] for r in whole.where(F.col("batch") == number).select("bucket").distinct().collect()]  # at most `buckets`
-        state = events.document_state(whole.where(F.col("bucket").isin(touched)).drop("batch", "bucket"))
-        state = state.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
-        state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        seen = tables.IdLog(spark, log)
+        tables.unseen(batch, seen, key, F.col(order), number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seen.add(spark.read.schema(batch.schema).parquet(f"{out}/batch={number}").select(F.col(key).cast("string").alias("id")), number)
+
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def state_runs(spark: SparkSession, table: str, fanout: int = tables.FANOUT) -> tables.Runs:
+    return tables.Runs(spark, f"{table}/state", events.FOLD, events.fold, fanout)
+
+
+def read_state(spark: SparkSession, table: str) -> DataFrame:
+    """The documents that state_upsert has folded so far, as document_state gives them."""
+    return events.folded_state(state_runs(spark, table).read())
+
+
+def state_upsert(df: DataFrame, table: str, checkpoint: str, fanout: int = tables.FANOUT, **trigger):
+    """Valid events of a stream folded into a table of document states; the event log itself is never read again.
+
+    Ids that were seen go. The rest of a batch is folded alone and added as a run
+    (tables.Runs), so a batch costs what it brings, and a batch that is killed or
+    run again changes nothing. Events that come before their document wait in the
+    table until it is received.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen, fresh = tables.IdLog(spark, f"{table}/ids", fanout=fanout), f"{table}/fresh"
+        good = events.validate_events(batch).where("is_valid").drop("error", "is_valid")
+        events.fold_rows(tables.unseen(good, seen, "event_id", F.col("stream_offset"), number)).write.mode("overwrite").parquet(fresh)
+        rows = spark.read.schema(events.FOLD).parquet(fresh)
+        state_runs(spark, table, fanout).add(rows, number)
+        seen.add(rows.select(F.col("e.event_id").alias("id")), number)
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
