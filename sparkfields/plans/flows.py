@@ -320,7 +320,7 @@ def _arrivals(spark: SparkSession, d: str, at: str, batches: int) -> DataFrame:
 def s02_dedupe_log(spark: SparkSession, d: str) -> DataFrame:
     """Ids that come again in a later batch, whenever that is."""
     at = runs.folder(spark)
-    jobs.dedupe_log(_arrivals(spark, d, at, 3), f"{at}/out", f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    jobs.dedupe_log(_arrivals(spark, d, at, 3), f"{at}/out", f"{at}/log", f"{at}/checkpoint", buckets=8).awaitTermination()
     return spark.read.parquet(f"{at}/out").select("event_id", "event_type", "occurred_at", "document_id")
 
 
@@ -328,7 +328,7 @@ def s02_dedupe_log(spark: SparkSession, d: str) -> DataFrame:
 def s03_state_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The state after several batches, folded run by run."""
     at = runs.folder(spark)
-    jobs.state_upsert(_arrivals(spark, d, at, 5), f"{at}/table", f"{at}/checkpoint", fanout=3).awaitTermination()
+    jobs.state_upsert(_arrivals(spark, d, at, 5), f"{at}/table", f"{at}/checkpoint", fanout=3, buckets=8).awaitTermination()
     times = ("received_at", "ocr_at", "extracted_at")
     return jobs.read_state(spark, f"{at}/table").withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import classify, events, extract
 from . import tables
@@ -46,43 +46,76 @@ def debounce_max_wait(df: DataFrame, key: str, ts: str, item: str, seconds: floa
     return groups.select("key", F.timestamp_seconds(F.get("g", 0)["t"]).alias("started"), F.size("g").cast("long").alias("n"), F.transform("g", lambda x: x["i"]).alias("items"))
 
 
-def debounce_stream(df: DataFrame, key: str, ts: str, item: str, seconds: float, max_wait: float) -> DataFrame:
-    """debounce_max_wait over a stream, whatever the order in which items within the watermark come.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The state holds the items of a key that aren't final: a group is emitted
-    when the watermark has passed the time up to which an item could still join
-    it. Items older than the watermark are dropped by Spark. Groups that are open
-    at the end are emitted when the input has an end mark (runs.ended).
-    """
-    if max_wait <= seconds:
-        raise ValueError("max_wait must be longer than the delay")
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(item).cast("string").alias("item")).withWatermark("ts", f"{int(seconds)} seconds")
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        if not state.hasTimedOut:
-            held += [(t.timestamp(), i) for frame in frames for t, i in zip(frame["ts"], frame["item"], strict=True)]
-        held.sort()
+class Debounce(StatefulProcessor):
+    """Groups of one key: items are appended to its list as they come, and looked at when a timer says that a group may be final."""
+
+    def __init__(self, seconds: float, max_wait: float):
+        self.seconds, self.max_wait = seconds, max_wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getListState("items", "t double, item string")
+        self.due = handle.getValueState("due", "at bigint")
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, at: int) -> None:
+        """One timer a key: an earlier one replaces it."""
+        held = self.due.get() if self.due.exists() else None
+        if held is None or at < held[0]:
+            if held is not None:
+                self.handle.deleteTimer(held[0])
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        late = timerValues.getCurrentWatermarkInMs() / 1000
+        new = [(t.timestamp(), i) for frame in rows for t, i in zip(frame["ts"], frame["item"], strict=True)]
+        new = [x for x in new if x[0] > late]
+        if new:
+            self.items.appendList(new)
+            self._wake(int((min(new)[0] + self.seconds) * 1000) + 1)
+        yield pd.DataFrame(columns=["key", "started", "n", "items"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         groups: list[list[tuple[float, str]]] = []
-        for t, i in held:
-            if not groups or t - groups[-1][-1][0] > seconds or t - groups[-1][0][0] >= max_wait:
+        for t, i in sorted(self.items.get(), key=lambda x: (x[0], x[1] is not None, x[1])):
+            if not groups or t - groups[-1][-1][0] > self.seconds or t - groups[-1][0][0] >= self.max_wait:
                 groups.append([])
             groups[-1].append((t, i))
-        now, out = state.getCurrentWatermarkMs() / 1000, []
-        final = lambda g: min(g[-1][0] + seconds, g[0][0] + max_wait)
+        now, out = timerValues.getCurrentWatermarkInMs() / 1000, []
+        final = lambda g: min(g[-1][0] + self.seconds, g[0][0] + self.max_wait)
         while groups and now > final(groups[0]):
             g = groups.pop(0)
-            out.append((k[0], pd.Timestamp(round(g[0][0] * 1e6), unit="us"), len(g), [i for _, i in g]))
+            out.append((key[0], pd.Timestamp(round(g[0][0] * 1e6), unit="us"), len(g), [i for _, i in g]))
+        self.due.clear()
         if groups:
-            left = [x for g in groups for x in g]
-            state.update(([t for t, _ in left], [i for _, i in left]))
-            state.setTimeoutTimestamp(max(int(final(groups[0]) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "started", "n", "items"])
+            if out:
+                self.items.put([x for g in groups for x in g])
+            self._wake(max(int(final(groups[0]) * 1000), timerValues.getCurrentWatermarkInMs()) + 1)
+        else:
+            self.items.clear()
+        yield pd.DataFrame(out, columns=["key", "started", "n", "items"])
+
+
+def debounce_stream(df: DataFrame, key: str, ts: str, item: str, seconds: float, max_wait: float) -> DataFrame:
+    """debounce_max_wait over a stream, whatever the order in which items within the watermark come.
 
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, started timestamp, n bigint, items array<string>", "times array<double>, items array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    A key's items that aren't final are a list in the state store (RocksDB, which
+    is set for the session): what comes is appended, and the list is read when the
+    watermark passes a timer, at which its first group may be final. Items older
+    than the watermark are dropped. Groups that are open at the end are emitted
+    when the input has an end mark (runs.ended).
+    """
+    if max_wait <= seconds:
+        raise ValueError("max_wait must be longer than the delay")
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(item).cast("string").alias("item")).withWatermark("ts", f"{int(seconds)} seconds")
+    return rows.groupBy("key").transformWithStateInPandas(Debounce(seconds, max_wait), "key string, started timestamp, n bigint, items array<string>", "Append", "EventTime")
 
 
 def dedupe_stream(df: DataFrame, key: str = "event_id", ts: str = "occurred_at", within: str = "1 hour") -> DataFrame:
@@ -102,7 +135,7 @@ def route_stream(df: DataFrame, good: str, dead: str, checkpoint: str, **trigger
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def dedupe_log(df: DataFrame, out: str, log: str, checkpoint: str, key: str = "event_id", order: str = "stream_offset", **trigger):
+def dedupe_log(df: DataFrame, out: str, log: str, checkpoint: str, key: str = "event_id", order: str = "stream_offset", buckets: int = 64, **trigger):
     """Events of a stream whose id no batch has brought before, however long ago, to a Parquet folder for each batch.
 
     Of one batch's rows with an id the first by `order` stays; rows without id
@@ -111,7 +144,7 @@ def dedupe_log(df: DataFrame, out: str, log: str, checkpoint: str, key: str = "e
     """
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = tables.IdLog(spark, log)
+        seen = tables.IdLog(spark, log, buckets=buckets)
         tables.unseen(batch, seen, key, F.col(order), number).write.mode("overwrite").parquet(f"{out}/batch={number}")
         seen.add(spark.read.schema(batch.schema).parquet(f"{out}/batch={number}").select(F.col(key).cast("string").alias("id")), number)
 
@@ -127,7 +160,7 @@ def read_state(spark: SparkSession, table: str) -> DataFrame:
     return events.folded_state(state_runs(spark, table).read())
 
 
-def state_upsert(df: DataFrame, table: str, checkpoint: str, fanout: int = tables.FANOUT, **trigger):
+def state_upsert(df: DataFrame, table: str, checkpoint: str, fanout: int = tables.FANOUT, buckets: int = 64, **trigger):
     """Valid events of a stream folded into a table of document states; the event log itself is never read again.
 
     Ids that were seen go. The rest of a batch is folded alone and added as a run
@@ -137,7 +170,7 @@ def state_upsert(df: DataFrame, table: str, checkpoint: str, fanout: int = table
     """
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen, fresh = tables.IdLog(spark, f"{table}/ids", fanout=fanout), f"{table}/fresh"
+        seen, fresh = tables.IdLog(spark, f"{table}/ids", buckets=buckets, fanout=fanout), f"{table}/fresh"
         good = events.validate_events(batch).where("is_valid").drop("error", "is_valid")
         events.fold_rows(tables.unseen(good, seen, "event_id", F.col("stream_offset"), number)).write.mode("overwrite").parquet(fresh)
         rows = spark.read.schema(events.FOLD).parquet(fresh)
