@@ -163,7 +163,14 @@ FROM (SELECT seq, cast(floor(seq / 8) as bigint) % {n + 3} AS fault, {whole} AS
 
 PAYLOADS = _payloads()
 
-VIEWS = {"fx_payloads": PAYLOADS, "fx_invoices": INVOICES, "fx_documents": DOCUMENTS, "fx_results": RESULTS, "fx_decisions": DECISIONS, "fx_versions": VERSIONS, "fx_events": EVENTS}
+#: Invoices whose tax numbers are badly read: letters for digits, or one digit for another, and the amount's marks lost.
+NOISY = f"""
+SELECT doc_id, template, cnpj, kind, CASE kind WHEN 0 THEN translate(mark, '0158', 'OISB') WHEN 1 THEN concat(substr(mark, 1, 3), translate(substr(mark, 4, 1), '0123456789', '8778965134'), substr(mark, 5)) ELSE mark END AS read_cnpj,
+  replace(replace(raw_text, mark, CASE kind WHEN 0 THEN translate(mark, '0158', 'OISB') WHEN 1 THEN concat(substr(mark, 1, 3), translate(substr(mark, 4, 1), '0123456789', '8778965134'), substr(mark, 5)) ELSE mark END), CASE WHEN doc_id % 2 = 0 THEN 'R$' ELSE '#' END, 'RS') AS raw_text
+FROM (SELECT doc_id, template, cnpj, raw_text, doc_id % 3 AS kind, {_formatted("cnpj")} AS mark FROM ({INVOICES}) AS i) AS j
+"""
+
+VIEWS = {"fx_noisy": NOISY, "fx_payloads": PAYLOADS, "fx_invoices": INVOICES, "fx_documents": DOCUMENTS, "fx_results": RESULTS, "fx_decisions": DECISIONS, "fx_versions": VERSIONS, "fx_events": EVENTS}
 
 
 def with_views(sql: str) -> str:

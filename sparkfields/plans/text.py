@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import classify, extract, quality
+from ..operators import classify, extract, noisy, quality
 from .fixtures import table, view, with_views
 
 QUERIES: dict = {}
@@ -160,6 +160,44 @@ def p09_noisy_enrichment(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(fixed, "\n").alias("fixed"), F.get(F.sort_array(amounts, asc=False), 0)["v"].alias("amount"))
 
 
+def _sum_sql(weights: list[int]) -> str:
+    return " + ".join(f"{w} * CAST(substr(d, {k}, 1) AS INT)" for k, w in enumerate(weights, 1))
+
+
+_CHECKED = "CAST(substr(d, 13, 1) AS INT) = (11 - (" + _sum_sql([5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]) + ") % 11) % 11 % 10 AND CAST(substr(d, 14, 1) AS INT) = (11 - (" + _sum_sql([6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]) + ") % 11) % 11 % 10 AND d <> repeat(substr(d, 1, 1), 14)"
+_SWAPS = ", ".join(f"('{a}', '{b}')" for a, others in noisy.LOOK_ALIKES.items() for b in others)
+
+
+@query(f"""WITH n AS (SELECT doc_id, template, cnpj, regexp_replace(translate(read_cnpj, 'OoIlSsBQ', '00115580'), '[^0-9]', '', 'g') AS d FROM fx_noisy),
+c AS (SELECT doc_id, d, true AS own FROM n UNION ALL SELECT doc_id, substr(d, 1, k - 1) || b || substr(d, k + 1) AS d, false FROM n, range(1, 15) AS r(k), (VALUES {_SWAPS}) AS s(a, b) WHERE substr(d, k, 1) = a),
+v AS (SELECT doc_id, max(d) FILTER (WHERE own) AS own, CASE WHEN count(*) FILTER (WHERE NOT own) = 1 THEN max(d) FILTER (WHERE NOT own) END AS other FROM c WHERE {_CHECKED} GROUP BY doc_id)
+SELECT doc_id, coalesce(own, other) AS digits, coalesce(coalesce(own, other) = cnpj, false) AS planted FROM n LEFT JOIN v USING (doc_id)""")
+def p09_repaired_cnpj(spark: SparkSession, d: str) -> DataFrame:
+    """Badly read tax numbers, and whether the repair gives the one that was there."""
+    rows = view(spark, d, "fx_noisy").withColumn("digits", F.nullif(X.digits(noisy.repaired_cnpj(F.col("read_cnpj"))), F.lit("")))
+    return rows.select("doc_id", "digits", F.coalesce(F.col("digits") == F.col("cnpj"), F.lit(False)).alias("planted"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS pos FROM fx_noisy), k AS (SELECT doc_id, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM l WHERE trim(line) <> ''),
+w AS (SELECT doc_id, pos, line, concat_ws(' ', line, lead(line) OVER p, lead(line, 2) OVER p) AS near FROM k WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+t AS (SELECT doc_id, 'cnpj_fornecedor' AS field, pos, near FROM w WHERE regexp_matches(lower(line), '{noisy.CNPJ_LABELS["cnpj_fornecedor"]}') UNION ALL SELECT doc_id, 'cnpj_tomador', pos, near FROM w WHERE regexp_matches(lower(line), '{noisy.CNPJ_LABELS["cnpj_tomador"]}') UNION ALL SELECT doc_id, 'all', 0, raw_text FROM fx_noisy),
+m AS (SELECT doc_id, field, pos, unnest(x) AS hit, generate_subscripts(x, 1) AS k FROM (SELECT *, regexp_extract_all(translate(near, 'OoIlSsBQ', '00115580'), '{noisy.CNPJ}') AS x FROM t) AS y),
+v AS (SELECT doc_id, field, d, min(pos * 100 + k) AS spot FROM (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS d FROM m) AS z WHERE {_CHECKED} GROUP BY doc_id, field, d),
+f AS (SELECT doc_id, arg_min(d, spot) FILTER (WHERE field = 'cnpj_fornecedor') AS one, arg_min(d, spot) FILTER (WHERE field = 'cnpj_tomador') AS two, list(d ORDER BY spot) FILTER (WHERE field = 'all') AS every FROM v GROUP BY doc_id)
+SELECT n.doc_id, coalesce(one, every[1], '') AS cnpj_fornecedor, coalesce(two, CASE WHEN one IS NULL THEN every[2] END, '') AS cnpj_tomador FROM fx_noisy AS n LEFT JOIN f ON n.doc_id = f.doc_id""")
+def p09_noisy_cnpjs(spark: SparkSession, d: str) -> DataFrame:
+    """The parties' tax numbers of badly read texts."""
+    rows = noisy.noisy_fields(view(spark, d, "fx_noisy"))
+    return rows.select("doc_id", *[X.digits(F.col(f"noisy.{n}.value")).alias(n) for n in ("cnpj_fornecedor", "cnpj_tomador")])
+
+
+@query()
+def p09_noisy_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field that can be read in badly read texts."""
+    rows = noisy.noisy_fields(view(spark, d, "fx_noisy"))
+    return rows.select("doc_id", *[c for n in noisy.SURE for c in (F.col(f"noisy.{n}.value").alias(n), F.col(f"noisy.{n}.conf").alias(f"{n}_conf"))])
+
+
 # Template, line, name and what stands before the value, for each labelled line of fx_invoices.
 _LABELLED = [
     (1, 0, "nota_fiscal_de_venda", "Nota Fiscal de venda - "), (1, 1, "fornecedor", "Fornecedor: "), (1, 2, "tomador", "Tomador: "), (1, 3, "cnpj", "CNPJ: "), (1, 4, "numero", "Numero: "),
