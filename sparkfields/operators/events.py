@@ -212,20 +212,47 @@ def scan_events(events: DataFrame, stream: str, offset: int, count: int) -> Data
     return events.where((F.col("event_type") == stream) & (F.col("stream_offset") > offset)).orderBy("stream_offset").limit(count)
 
 
+#: Ranges that a scenario's values are cut into before one of them is sorted.
+RANGES = 256
+
+
+def exact_ranks(samples: DataFrame, by: str, value: str, ranks: dict[str, Column], ranges: int = RANGES) -> DataFrame:
+    """(by, a column for each of `ranks`): of each group's values in order, those at the given places.
+
+    A rank counts from 0 and may use the column n, the group's size. Approximate
+    quantiles cut a group into ranges, whose counts say in which range a rank
+    lies; only the values of those ranges are sorted, so no group is sorted in
+    one task. The bounds change the cost, not the result; equal values are
+    counted first; null values don't count; a group of nulls has none.
+    """
+    values = samples.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    bounds = samples.groupBy(F.col(by).alias("b_g")).agg(F.percentile_approx(value, shares, F.lit(10 * ranges)).alias("bounds"))
+    rows = values.join(bounds, F.col("g").eqNullSafe(F.col("b_g")))
+    rows = rows.select("g", "v", "k", F.size(F.filter("bounds", lambda x: x < F.col("v"))).alias("r"))
+    counts = rows.groupBy("g", "r").agg(F.sum("k").alias("held"))  # `ranges` rows a group at most
+    whole = Window.partitionBy("g")
+    counts = counts.withColumn("n", F.sum("held").over(whole)).withColumn("before", F.sum("held").over(whole.orderBy("r")) - F.col("held"))
+    wanted = counts.select("g", "r", "before", "held", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), c.cast("long").alias("rank")) for name, c in ranks.items()])).alias("w"))
+    wanted = wanted.where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("before") + F.col("held")))
+    wanted = wanted.groupBy(F.col("g").alias("w_g"), F.col("r").alias("w_r")).agg(F.first("before").alias("before"), F.collect_list("w").alias("ws"))
+    inside = rows.join(wanted, F.col("g").eqNullSafe(F.col("w_g")) & (F.col("r") == F.col("w_r")))
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy("g", "r").orderBy("v"))
+    inside = inside.withColumn("upto", upto)  # before the explosion, else rows would be summed once for each rank
+    inside = inside.select("g", "v", "k", "upto", F.explode("ws").alias("w")).where((F.col("w.rank") < F.col("upto")) & (F.col("w.rank") >= F.col("upto") - F.col("k")))
+    return inside.groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("w.name") == name, F.col("v"))).alias(name) for name in ranks])
+
+
 def latency_report(samples: DataFrame) -> DataFrame:
     """Per scenario n, ok, errors, the first five errors, p50 (median) and p95 (nearest rank, half to even) of all calls, failed ones too.
 
     Samples have scenario, iteration, latency_ms, error; with a column
     started_ms there is also ok_per_second, over the time from the first start
-    to the last end. Equal latencies are counted first, so a scenario is ranked
-    by its values and not by its calls.
+    to the last end. No scenario is sorted in one task.
     """
-    values = samples.groupBy("scenario", "latency_ms").agg(F.count("*").alias("k"))
-    by = Window.partitionBy("scenario")
-    ranked = values.withColumn("upto", F.sum("k").over(by.orderBy("latency_ms"))).withColumn("all", F.sum("k").over(by))
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("latency_ms")))
-    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
-    p = ranked.groupBy(F.col("scenario").alias("g")).agg(((at(low) + at(high)) / 2).alias("p50"), at(F.bround(F.lit(0.95) * (F.col("all") - 1))).alias("p95"))
+    n = F.col("n")
+    ranks = {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.bround(F.lit(0.95) * (n - 1))}
+    p = exact_ranks(samples, "scenario", "latency_ms", ranks).select(F.col("scenario").alias("g"), ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95")
     first = Window.partitionBy("scenario").orderBy("iteration")
     bad = samples.where("error is not null").select("scenario", "error", F.row_number().over(first).alias("_r")).where("_r <= 5")
     five = bad.groupBy(F.col("scenario").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "error"))), lambda x: x["error"]), "|").alias("first_errors"))
@@ -235,7 +262,7 @@ def latency_report(samples: DataFrame) -> DataFrame:
         seconds = (F.max(F.col("started_ms") + F.col("latency_ms")) - F.min("started_ms")) / 1000
         more = [F.round(ok / F.greatest(seconds, F.lit(1e-6)), 2).alias("ok_per_second")]
     total = samples.groupBy("scenario").agg(F.count("*").alias("n"), ok.alias("ok"), F.count_if(F.col("error").isNotNull()).alias("errors"), *more)
-    return total.join(p, F.col("scenario") == F.col("g"), "left").join(five, F.col("scenario") == F.col("b"), "left").drop("g", "b")
+    return total.join(p, F.col("scenario").eqNullSafe(F.col("g")), "left").join(five, F.col("scenario").eqNullSafe(F.col("b")), "left").drop("g", "b")
 
 
 def apply_decisions(docs: DataFrame, results: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -100,37 +100,66 @@ def non_overlapping_words(typed: DataFrame, hand: DataFrame, least: float = 0.55
     return good.select("doc_id", "page", "seq", F.lit("typed").alias("engine")).unionByName(free)
 
 
+_BASE = 0x9E3779B97F4A7C15
+#: Places that are compared at once.
+_AT_ONCE = 1 << 20
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)  # modulo 2 ** 64
+
+
+def _loop(codes: np.ndarray, size: int, at: int) -> int | None:
+    """Where a phrase of `size` codes that comes twice from `at` on comes three times running: the first such place, if there is one."""
+    if not np.array_equal(codes[at : at + size], codes[at + size : at + 2 * size]):
+        return None
+    low, high = max(0, at - size), min(len(codes), at + 3 * size)
+    differ = np.flatnonzero(codes[low : high - size] != codes[low + size : high])
+    before, after = differ[differ < at - low], differ[differ >= at - low]
+    start = low + int(before[-1]) + 1 if len(before) else low
+    end = low + int(after[0]) if len(after) else high - size
+    return start if end - start >= 2 * size else None
+
+
 def cut_loops(text: str, least: int = 15) -> str:
     """text up to the end of the first copy of its shortest phrase of `least` characters that comes three times running.
 
     Such a phrase of s characters makes a stretch of at least 2 s - least + 1
     places at which `least` characters have come before, so only stretches are
-    searched.
+    searched. A loop holds a multiple of s from which s characters come twice, so
+    for each length only its multiples are compared, by hashes of any length from
+    summed powers: n log n comparisons for a stretch of n. Hits are checked.
     """
-    seen: set[str] = set()
-    stretches, begin = [], -1
-    for i in range(len(text) - least + 1):
-        again = (gram := text[i : i + least]) in seen
-        seen.add(gram)
-        if again and begin < 0:
-            begin = i
-        elif not again and begin >= 0:
-            stretches.append((begin, i))
-            begin = -1
-    if begin >= 0:
-        stretches.append((begin, len(text) - least + 1))
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes)
+    if n < 3 * least:
+        return text
+    powers = _powers(_BASE, n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:n])])
+    grams = (sums[least:] - sums[:-least]) * _powers(pow(_BASE, -1, 1 << 64), n)[: n - least + 1]
+    order = np.argsort(grams, kind="stable")
+    again = np.zeros(len(grams) + 2, bool)
+    again[order[1:][grams[order[1:]] == grams[order[:-1]]] + 1] = True
+    edges = np.flatnonzero(np.diff(again.astype(np.int8)))
     best: tuple[int, int] | None = None
-    for a, b in stretches:
-        for size in range(least, (b - a + least - 1) // 2 + 1):
-            if best and size >= best[0]:
-                break
-            first, end = max(a, size), b + least - 1
-            breaks = np.flatnonzero(np.concatenate([[True], codes[first:end] != codes[first - size : end - size], [True]]))
-            wide = np.flatnonzero(np.diff(breaks) - 1 >= 2 * size)
-            if len(wide):
-                best = (size, first + int(breaks[wide[0]]))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        size, longest = least, (b - a + least - 1) // 2
+        while size <= longest and not (best and size >= best[0]):
+            many = max(1, _AT_ONCE // ((b - a) // size + 2))
+            sizes = np.arange(size, min(size + many, longest + 1, best[0] if best else n))
+            first = -(-np.maximum(0, a - sizes) // sizes)
+            held = np.maximum(0, np.minimum(b - 1, n - 2 * sizes) // sizes - first + 1)
+            s = np.repeat(sizes, held)
+            at = (np.arange(len(s)) - np.repeat(np.cumsum(held) - held - first, held)) * s
+            twice = (sums[at + s] - sums[at]) * powers[s] == sums[at + 2 * s] - sums[at + s]
+            hits = ((int(s[k]), _loop(codes, int(s[k]), int(at[k]))) for k in np.flatnonzero(twice))
+            found = next(((p, start) for p, start in hits if start is not None), None)
+            if found:
+                best = (found[0], found[1] + found[0])
                 break
+            size = int(sizes[-1]) + 1
     return text if best is None else text[: best[1]].rstrip(", \n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import classify, extract, noisy, quality
+from ..operators import classify, context, extract, noisy, quality
 from .fixtures import table, view, with_views
 
 QUERIES: dict = {}
@@ -408,6 +408,28 @@ def p29_segment_sections(spark: SparkSession, d: str) -> DataFrame:
     return extract.segment_sections(view(spark, d, "fx_invoices"), {"pagamento": ["vencimento", "linha digitavel"], "consumo": ["consumo"]})
 
 
+#: Phrases that an amount of fx_invoices should be near, and those that speak against it.
+_AMOUNTS = {"valor": (["vencimento", "total a pagar", "valor total", "Valor do Serviço"], ["retencao", "retido", "consumo"]), "retencao": (["retencao", "retido"], ["valor total", "total a pagar", "tributacao federal"])}
+
+
+def _amounts_sql() -> str:
+    folded = {f: [[w.lower().replace("ç", "c") for w in words] for words in both] for f, both in _AMOUNTS.items()}
+    phrases = ", ".join(f"('{f}', '{w}', {side})" for f, both in folded.items() for side, words in enumerate(both) for w in words)
+    return f"""WITH t AS (SELECT doc_id, translate(lower(raw_text), '{X.ACCENTS[0]}', '{X.ACCENTS[1]}') AS t FROM fx_invoices), p AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS p FROM t),
+a AS (SELECT doc_id, p - 1 AS spot, regexp_extract(substr(t, p, 20), '^\\d{{1,3}}(\\.\\d{{3}})*,\\d{{2}}') AS value FROM p WHERE substr(t, p, 1) BETWEEN '0' AND '9' AND (p = 1 OR NOT regexp_matches(substr(t, p - 1, 1), '[0-9.,]')) AND regexp_matches(substr(t, p, 20), '^\\d{{1,3}}(\\.\\d{{3}})*,\\d{{2}}([^0-9]|$)')),
+w(field, word, side) AS (VALUES {phrases}), h AS (SELECT doc_id, field, side, p - 1 AS first, p - 1 + length(word) AS last FROM p JOIN w ON substr(t, p, 1) = substr(word, 1, 1) AND substr(t, p, length(word)) = word),
+g AS (SELECT a.doc_id, f.field, a.spot, a.value, min(CASE WHEN h.last <= a.spot THEN a.spot - h.last ELSE h.first - a.spot - length(a.value) END) FILTER (WHERE side = 0) AS good, min(CASE WHEN h.last <= a.spot THEN a.spot - h.last ELSE h.first - a.spot - length(a.value) END) FILTER (WHERE side = 1) AS bad
+  FROM a CROSS JOIN (SELECT DISTINCT field FROM w) AS f LEFT JOIN h ON h.doc_id = a.doc_id AND h.field = f.field GROUP BY ALL),
+n AS (SELECT doc_id, field, spot, value, CASE WHEN good <= 120 THEN good END AS good, CASE WHEN bad <= 120 THEN bad END AS bad FROM g)
+SELECT doc_id, field, arg_min(value, coalesce(good, 1000) * 1000000 + spot) AS value, min(good) AS distance FROM n WHERE NOT (bad IS NOT NULL AND (good IS NULL OR bad < good)) GROUP BY doc_id, field"""
+
+
+@query(_amounts_sql())
+def p29_chosen_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """The amount nearest to the right phrases and not to the wrong ones."""
+    return context.chosen_amounts(view(spark, d, "fx_invoices"), _AMOUNTS)
+
+
 @query(r"""
 SELECT doc_id, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) AS clean, regexp_replace(raw_text, '[^0-9]', '', 'g') AS digits, doc_id % 5 <> 0 AS valid_two, true AS valid_one,
   concat(substr(cnpj, 1, 2), '.', substr(cnpj, 3, 3), '.', substr(cnpj, 6, 3), '/', substr(cnpj, 9, 4), '-', substr(cnpj, 13, 2)) AS formatted,
