@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import classify, context, extract, noisy, quality
+from ..operators import classify, context, extract, keywords, noisy, quality
 from .fixtures import table, view, with_views
 
 QUERIES: dict = {}
@@ -65,6 +65,28 @@ def p01_documents(spark: SparkSession, d: str) -> DataFrame:
     return classify.layout_classify(table(spark, d, "documents"), "text").select("doc_id", "layout", "confidence")
 
 
+@query(f"""
+WITH a AS (SELECT doc_id, trim(regexp_replace(lower(raw_text), '\\s+', ' ', 'g')) AS low FROM fx_invoices), n AS (SELECT DISTINCT lower(c_name) AS name FROM customer),
+b AS MATERIALIZED (SELECT a.doc_id, low, {_SCORES}, CASE WHEN n.name IS NOT NULL THEN 0.46 ELSE 0.0 END AS s6 FROM a LEFT JOIN n ON n.name = regexp_extract(low, 'customer#[0-9]{{9}}')), c AS MATERIALIZED (SELECT *, greatest({_BEST}, s6) AS best FROM b)
+SELECT doc_id, CASE WHEN best < 0.45 THEN 'generic' ELSE CASE {_CHOICE} WHEN s6 = best THEN 'cliente' END END AS layout,
+  round(CASE WHEN best < 0.45 THEN CASE WHEN low = '' THEN 0.0 ELSE 0.35 END ELSE least(0.99, best) END, 2) AS confidence FROM c""")
+def j01_layout_by_table(spark: SparkSession, d: str) -> DataFrame:
+    """Layouts by a table of the literal rules and, under a label of their own, the names of all customers."""
+    names = table(spark, d, "customer").select(F.lit("cliente").alias("label"), (F.lit(1_000_000) + F.col("c_custkey")).cast("long").alias("seq"), F.lower("c_name").alias("word"), F.lit(0.46).alias("weight"))
+    rules = keywords.rule_rows(spark, classify.LAYOUTS).unionByName(names)
+    return keywords.layout_by_table(view(spark, d, "fx_invoices"), rules).select("doc_id", "layout", "confidence")
+
+
+@query("""WITH w AS (SELECT DISTINCT concat('l', length(word) % 4) AS label, word FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM benchmark) AS u WHERE length(word) >= 5)
+SELECT doc_id, label, CAST(count(*) AS INT) AS n FROM documents JOIN w ON contains(lower(coalesce(text, '')), word) GROUP BY doc_id, label""")
+def j01_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the benchmark's longer words each document contains, by labels."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("word")).where("length(word) >= 5").distinct()
+    rules = words.select(F.concat(F.lit("l"), F.length("word") % 4).alias("label"), F.xxhash64("word").alias("seq"), "word")
+    rows = keywords.counts_by_table(table(spark, d, "documents").select("doc_id", "text"), rules, "text")
+    return rows.select("doc_id", F.explode("counts").alias("label", "n"))
+
+
 _SCHEMA = f"""
 WITH s AS (SELECT doc_id, {_count(classify.NF_WORDS, "low")} + CASE WHEN regexp_matches(low, '\\b\\d{{44}}\\b') THEN 3 ELSE 0 END AS nf, {_count(classify.WATER_WORDS, "low")} AS water,
   {_count(classify.BOLETO_WORDS, "low")} + CASE WHEN regexp_matches(low, '{classify.LINHA}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(low, '\\b\\d{{44}}\\b') THEN 2 ELSE 0 END AS slip

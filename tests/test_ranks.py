@@ -74,3 +74,26 @@ def test_loops_equal_brute_force():
         cut += want != text
         assert cut_loops(text, least) == want
     assert cut > 300
+
+
+def test_words_of_a_table(spark, monkeypatch):
+    from sparkfields.operators import classify, keywords
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abc ", k=rng.randrange(1, 6))) for _ in range(120)]
+    rules = [(f"l{k % 7}", k, w, round(rng.random(), 2)) for k, w in enumerate(words)] + [(None, 500, "a", 1.0), ("l1", 501, "", 1.0), ("l1", 502, None, 1.0)]
+    texts = ["".join(rng.choices("abc ", k=rng.randrange(40))) for _ in range(100)] + [None, "", "abc" * 30_000]
+    df = spark.createDataFrame([(k, t, "own") for k, t in enumerate(texts)], "k int, t string, scores string")
+    table = spark.createDataFrame(rules, "label string, seq bigint, word string, weight double").repartition(3)
+    for limit in (16 << 20, 100):  # the second deals the labels to several passes
+        monkeypatch.setattr(keywords, "LIMIT", limit)
+        for r in keywords.keyword_scores(df, table, "t", always=["l3"]).collect():
+            want = {"l3": 0.0}
+            for label, _, w, x in rules:
+                if label and w and w in (texts[r.k] or ""):
+                    want[label] = want.get(label, 0.0) + x
+            assert {n: v.score for n, v in r.scores.items()} == want
+    assert keywords.keyword_scores(df, table.limit(0), "t").where("size(scores) > 0").count() == 0
+    one = spark.createDataFrame([(k, t) for k, t in enumerate(["Nota Fiscal NF-e chave de acesso " + "1" * 44, "boleto bradesco 237 vencimento", "", None, "104 001"])], "k int, raw_text string")
+    both = [{tuple(r) for r in f.select("k", "layout", "confidence", "requires_human_validation").collect()} for f in (classify.layout_classify(one), keywords.layout_by_table(one, keywords.rule_rows(spark, classify.LAYOUTS)))]
+    assert both[0] == both[1]
