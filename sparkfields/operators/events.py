@@ -275,6 +275,23 @@ def apply_decisions(docs: DataFrame, results: DataFrame, decisions: DataFrame) -
     return rows.select("document_id", "seq", "decision", outcome.alias("outcome"), status.alias("new_status"))
 
 
+def apply_corrections(docs: DataFrame, results: DataFrame, versions: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Versions and results after the accepted decisions (document_id, seq, decision, notes, corrected_fields: map) of each document in turn.
+
+    A decision with corrected fields, whatever it decides, makes a version of
+    them and settles the review of its document's result.
+    """
+    from .versions import correct_in_turn
+
+    accepted = apply_decisions(docs, results, decisions).where("outcome = 'accepted'").select(F.col("document_id").alias("a_id"), F.col("seq").alias("a_seq"))
+    told = decisions.where(F.size("corrected_fields") > 0)
+    rows = told.join(accepted, (F.col("document_id") == F.col("a_id")) & (F.col("seq") == F.col("a_seq")), "left_semi").select("document_id", "seq", F.col("corrected_fields").alias("fields"))
+    after, synced = correct_in_turn(versions, rows, results)
+    settled = rows.select(F.col("document_id").alias("s_id")).distinct()
+    synced = synced.join(settled, F.col("document_id") == F.col("s_id"), "left").withColumn("requires_human_validation", F.col("requires_human_validation") & F.col("s_id").isNull()).drop("s_id")
+    return after, synced
+
+
 def extraction_status(df: DataFrame, on_demand: bool = False) -> DataFrame:
     """df (status, requires_human_validation) with next_status; on demand, decided and waiting documents keep theirs."""
     after = F.when(F.col("requires_human_validation"), "VALIDATION_PENDING").otherwise("EXTRACTION_COMPLETED")

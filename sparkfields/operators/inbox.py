@@ -56,12 +56,16 @@ def field_rows(results: DataFrame) -> DataFrame:
 
 
 def canonical_payload(docs: DataFrame, results: DataFrame) -> DataFrame:
-    """(document_id, payload): what leaves for other systems, as JSON with keys in order; {} without an extraction."""
+    """(document_id, payload): what leaves for other systems, as JSON with keys in order, nulls too; no fields without an extraction.
+
+    docs may have file_uri and raw_text_uri, else they are null.
+    """
     r = results.select(F.col("document_id").alias("r_id"), "schema_id", "schema_version", "fields")
     rows = docs.join(r, F.col("id") == F.col("r_id"), "left")
     fields = F.coalesce(F.from_json("fields", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    payload = F.struct(F.col("id").alias("document_id"), fields.alias("fields"), "schema_id", "schema_version", F.struct("channel", F.col("original_filename").alias("filename")).alias("source"), "tenant_id")
-    return rows.select(F.col("id").alias("document_id"), F.to_json(payload).alias("payload"))
+    uris = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("file_uri", "raw_text_uri")]
+    payload = F.struct(F.col("id").alias("document_id"), fields.alias("fields"), "schema_id", "schema_version", F.struct("channel", *uris).alias("source"), "tenant_id")
+    return rows.select(F.col("id").alias("document_id"), F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def merge_metadata(left: Column, right: Column) -> Column:
@@ -91,12 +95,25 @@ def inbox(docs: DataFrame, results: DataFrame, decisions: DataFrame) -> DataFram
     return rows.orderBy(F.desc("received_at"), "id")
 
 
-def detail(docs: DataFrame, results: DataFrame, versions: DataFrame, events: DataFrame) -> DataFrame:
-    """docs with schema, active version, number of events and their types in order."""
+def detail(docs: DataFrame, results: DataFrame, versions: DataFrame, events: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """docs with schema, active version, events in order (n_events, event_types, events), and of texts the transcription.
+
+    texts has document_id, raw_text, raw_text_formatted, document_type and
+    engine_used, as sources.files.scan_raw_text reads them; a document without
+    one has empty transcriptions and an engine and a class of "".
+    """
     v = versions.where("is_active").select(F.col("document_id").alias("v_id"), "version_number").distinct()
-    e = events.groupBy(F.col("document_id").alias("e_id")).agg(F.count("*").alias("n_events"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stream_offset", "event_type"))), lambda x: x["event_type"]), ",").alias("event_types"))
+    whole = F.array_sort(F.collect_list(F.struct("stream_offset", "event_type", "event_id", "occurred_at")))
+    e = events.groupBy(F.col("document_id").alias("e_id")).agg(F.count("*").alias("n_events"), whole.alias("events")).withColumn("event_types", F.array_join(F.transform("events", lambda x: x["event_type"]), ","))
     r = results.select(F.col("document_id").alias("r_id"), "schema_id")
-    return docs.join(r, F.col("id") == F.col("r_id"), "left").join(v, F.col("id") == F.col("v_id"), "left").join(e, F.col("id") == F.col("e_id"), "left").drop("r_id", "v_id", "e_id")
+    out = docs.join(r, F.col("id") == F.col("r_id"), "left").join(v, F.col("id") == F.col("v_id"), "left").join(e, F.col("id") == F.col("e_id"), "left").drop("r_id", "v_id", "e_id")
+    if texts is None:
+        return out
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    t = texts.select(F.col("document_id").alias("t_id"), text("raw_text").alias("t_raw"), text("raw_text_formatted").alias("t_formatted"), text("engine_used").alias("t_engine"), text("document_type").alias("t_class"))
+    out = out.join(t, F.col("id") == F.col("t_id"), "left")
+    ocr = F.struct(text("t_engine").alias("engine_used"), text("t_class").alias("classification"), F.lit("").alias("preprocessing_hint"))
+    return out.withColumn("full_transcription", text("t_raw")).withColumn("full_transcription_formatted", text("t_formatted")).withColumn("ocr_metadata", ocr).drop("t_id", "t_raw", "t_formatted", "t_engine", "t_class")
 
 
 def _number(value, least: int, default: int, most: int | None = None) -> int:

@@ -239,6 +239,37 @@ def merge_ocr_results(both: DataFrame) -> DataFrame:
     return both.withColumn("used_fallback_text", better).withColumn("raw_text", F.when(better, f).otherwise(p)).withColumn("engine", F.when(better, F.concat("primary_engine", F.lit("+"), "fallback_engine")).otherwise(F.col("primary_engine")))
 
 
+def merge_ocr_documents(both: DataFrame) -> DataFrame:
+    """Rows of (primary, fallback: JSON results; primary_engine, fallback_engine, primary_avg_confidence) with merged (JSON) and used_fallback_text.
+
+    document_info, entities, tables and totals are the fallback's unless it has
+    none or an empty one; raw_text and raw_text_fallback are its if its text
+    replaces the first (merge_ocr_results) and they aren't empty; _meta joins
+    both, the fallback's winning, with where the result comes from. All other
+    keys are the first one's. JSON that is no object counts as an empty one.
+    """
+    fields = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(F.col(c)), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    inner = lambda m: F.coalesce(F.try_variant_get(F.try_element_at(m, F.lit("_meta")), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    rows = both.withColumn("_p", fields("primary")).withColumn("_f", fields("fallback"))
+    text = lambda m: F.try_variant_get(F.try_element_at(m, F.lit("raw_text")), "$", "string")
+    rows = merge_ocr_results(rows.withColumn("primary_text", text(F.col("_p"))).withColumn("fallback_text", text(F.col("_f")))).drop("primary_text", "fallback_text", "raw_text", "engine")
+    empty = lambda v: F.to_json(v).isin("null", '""', "[]", "{}")
+    names = lambda k: k.isin("document_info", "entities", "tables", "totals") | (F.col("used_fallback_text") & k.isin("raw_text", "raw_text_fallback"))
+    rows = rows.withColumn("_own", F.map_filter("_f", lambda k, v: names(k) & ~F.coalesce(empty(v), F.lit(True))))
+    first = F.map_filter("_p", lambda k, v: ~F.array_contains(F.map_keys("_own"), k) & (k != "_meta"))
+    news = ["primary_engine", "fallback_engine", "primary_avg_confidence", "fallback_triggered", "fallback_raw_text_replaced"]
+    told = F.to_json(F.struct("primary_engine", "fallback_engine", "primary_avg_confidence", F.lit(True).alias(news[3]), F.col("used_fallback_text").alias(news[4])), {"ignoreNullFields": "false"})
+    old = X.let(inner(F.col("_f")), lambda f: F.map_concat(F.map_filter(inner(F.col("_p")), lambda k, v: ~F.array_contains(F.map_keys(f), k)), f))
+    old = F.map_filter(old, lambda k, v: ~k.isin(news))
+    rows = rows.withColumn("_meta", _joined(F.to_json(old), told)).withColumn("_all", F.to_json(F.map_concat(first, "_own")))
+    return rows.withColumn("merged", _joined(F.col("_all"), F.concat(F.lit('{"_meta":'), "_meta", F.lit("}")))).drop("_p", "_f", "_own", "_meta", "_all")
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """Two JSON objects of different keys as one."""
+    return F.when(a == "{}", b).otherwise(F.concat(F.substring(a, F.lit(1), F.length(a) - 1), F.lit(","), F.substring(b, F.lit(2), F.length(b))))
+
+
 def merge_fields(primary: DataFrame, fallback: DataFrame, required: list[str] = REQUIRED) -> DataFrame:
     """Long fields (doc_id, name, value, confidence, is_valid) merged: the fallback's value where it is there and valid, or the first is blank.
 

@@ -29,11 +29,13 @@ def apply_manual_edits(versions: DataFrame, edits: DataFrame) -> DataFrame:
     confidence, others have 1.
     """
     active = _maps(versions).where("is_active").select(F.col("document_id").alias("a_id"), F.col("version_number").alias("active"), F.col("fields").alias("old"))
+    top = versions.groupBy(F.col("document_id").alias("t_id")).agg(F.max("version_number").alias("top"))
     trimmed = F.filter(F.transform("fields", lambda e: F.struct(X.strip_space(e["name"]).alias("name"), e["value"].alias("value"))), lambda e: F.coalesce(e["name"] != "", F.lit(False)))
-    rows = edits.select("document_id", "edit_no", "base_version", trimmed.alias("new")).join(active, F.col("document_id") == F.col("a_id"), "left")
-    names = F.array_distinct(F.transform("new", lambda e: e["name"]))
-    last = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.transform(F.filter("new", lambda e: e["name"] == n), lambda e: e["value"]), -1).alias("value")))
-    rows = rows.withColumn("new", F.map_from_entries(last)).withColumn("was", F.transform_values(F.coalesce("old", F.create_map().cast("map<string,struct<value:string,confidence:double>>")), lambda k, v: v["value"]))
+    rows = edits.select("document_id", "edit_no", "base_version", trimmed.alias("new")).join(active, F.col("document_id") == F.col("a_id"), "left").join(top, F.col("document_id") == F.col("t_id"), "left")
+    # of equal names the last, in order of name and place
+    ordered = F.array_sort(F.transform("new", lambda e, i: F.struct(e["name"].alias("name"), i.alias("i"), e["value"].alias("value"))))
+    last = X.let(ordered, lambda o: F.filter(o, lambda e, i: ~F.coalesce(F.get(o, i + 1)["name"] == e["name"], F.lit(False))))
+    rows = rows.withColumn("new", F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"].alias("key"), e["value"].alias("value"))))).withColumn("was", F.transform_values(F.coalesce("old", F.create_map().cast("map<string,struct<value:string,confidence:double>>")), lambda k, v: v["value"]))
     same = F.array_sort(F.map_entries("new")) == F.array_sort(F.map_entries("was"))
     first = F.when(F.col("active").isNull() | (F.col("base_version") != F.col("active")), "conflict").when(F.size("new") == 0, "empty").when(same, "no_changes").otherwise("saved")
     rows = rows.withColumn("outcome", first)
@@ -42,7 +44,73 @@ def apply_manual_edits(versions: DataFrame, edits: DataFrame) -> DataFrame:
     kept = F.transform_values("new", lambda k, v: F.struct(v.alias("value"), F.when(F.try_element_at("was", k).eqNullSafe(v), F.try_element_at("old", k)["confidence"]).otherwise(F.lit(1.0)).alias("confidence")))
     rows = rows.withColumn("kept", kept)
     mean = F.aggregate(F.map_values("kept"), F.lit(0.0), lambda a, e: a + F.coalesce(e["confidence"], F.lit(0.0))) / F.greatest(F.lit(1), F.size("kept"))
-    return rows.select("document_id", "edit_no", "outcome", "active", F.when(F.col("saved"), F.col("active") + 1).alias("new_version"), F.when(F.col("saved"), F.col("kept")).alias("fields"), F.when(F.col("saved"), F.round(mean, 4)).alias("confidence"))
+    return rows.select("document_id", "edit_no", "outcome", "active", F.when(F.col("saved"), F.col("top") + 1).alias("new_version"), F.when(F.col("saved"), F.col("kept")).alias("fields"), F.when(F.col("saved"), F.round(mean, 4)).alias("confidence"))
+
+
+def _added(versions: DataFrame, new: DataFrame) -> DataFrame:
+    """versions, none of them active where a document has new ones, and the new ones with the version they follow and where they come from."""
+    new = new.withColumn("source_type", F.lit("MANUAL_EDIT"))
+    docs = new.select(F.col("document_id").alias("n_id")).distinct()
+    old = versions.join(docs, F.col("document_id") == F.col("n_id"), "left").withColumn("is_active", F.col("is_active") & F.col("n_id").isNull()).drop("n_id")
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def save_edits(versions: DataFrame, edits: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What saving edits leaves: all versions, results in step with them, and the edits that were refused.
+
+    The versions have previous_version and source_type, null for those that were
+    there; the old active one of an edited document isn't active any more. A
+    result takes the fields and the confidence of its new version; nothing else
+    of it changes.
+    """
+    tried = apply_manual_edits(versions, edits)
+    saved = tried.where("outcome = 'saved'")
+    new = saved.select("document_id", F.col("new_version").alias("version_number"), F.explode("fields").alias("name", "entry"), F.col("active").alias("previous_version"))
+    new = new.select("document_id", "version_number", "name", "entry.value", "entry.confidence", F.lit(True).alias("is_active"), "previous_version")
+    return _added(versions, new), _synced(results, saved.select("document_id", "fields", "confidence")), tried.where("outcome <> 'saved'").select("document_id", "edit_no", "outcome", "active")
+
+
+def _synced(results: DataFrame, active: DataFrame) -> DataFrame:
+    """results with the fields and confidence of active (document_id, fields, confidence) where it has them."""
+    new = active.select(F.col("document_id").alias("n_id"), F.to_json("fields", {"ignoreNullFields": "false"}).alias("n_fields"), F.col("confidence").alias("n_conf"))
+    rows = results.join(new, F.col("document_id") == F.col("n_id"), "left")
+    return rows.withColumn("fields", F.coalesce("n_fields", "fields")).withColumn("confidence", F.coalesce("n_conf", "confidence")).drop("n_id", "n_fields", "n_conf")
+
+
+def correct_in_turn(versions: DataFrame, corrections: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Versions and results after corrections (document_id, seq, fields: map) that follow each other.
+
+    Each correction is a whole new version, made from what is active at its turn,
+    unless its values are the same or it has no names. A field keeps its
+    confidence as long as its value stays in every version, else it is 1. A
+    correction depends on the one before it alone: versions are found by the lag
+    of values, unbroken fields as islands of numbers, without a walk over a
+    document.
+    """
+    clean = F.map_filter(F.transform_keys("fields", lambda k, v: X.strip_space(k)), lambda k, v: k != "")
+    rows = corrections.select("document_id", "seq", F.transform_values(clean, lambda k, v: F.coalesce(v, F.lit(""))).alias("new")).where(F.size("new") > 0)
+    active = _maps(versions).where("is_active").select("document_id", F.transform_values("fields", lambda k, v: v["value"]).alias("new"))
+    every = rows.unionByName(active.withColumn("seq", F.lit(None).cast(rows.schema["seq"].dataType)))
+    by = Window.partitionBy("document_id").orderBy(F.col("seq").asc_nulls_first())
+    sorted_new = F.array_sort(F.map_entries("new"))
+    every = every.withColumn("values", sorted_new).withColumn("before", F.lag("values").over(by))
+    made = every.where(F.col("seq").isNotNull() & ~F.col("values").eqNullSafe(F.col("before")))
+    top = versions.groupBy(F.col("document_id").alias("t_id")).agg(F.max("version_number").alias("top"), F.max(F.when(F.col("is_active"), F.col("version_number"))).alias("active"))
+    made = made.join(top, F.col("document_id") == F.col("t_id"), "left").withColumn("step", F.row_number().over(by))
+    number = (F.coalesce("top", F.lit(0)) + F.col("step")).cast("int")
+    long = made.select("document_id", "step", number.alias("version_number"), F.when(F.col("step") == 1, F.col("active")).otherwise(number - 1).cast("int").alias("previous_version"), F.explode("new").alias("name", "value"))
+    start = versions.where("is_active").select("document_id", F.lit(0).alias("step"), "name", "value", "confidence")
+    both = long.unionByName(start, allowMissingColumns=True)
+    same = Window.partitionBy("document_id", "name", "value")
+    both = both.withColumn("island", F.col("step") - F.row_number().over(same.orderBy("step")))
+    kept = Window.partitionBy("document_id", "name", "value", "island")
+    both = both.withColumn("from_start", F.min("step").over(kept) == 0).withColumn("old", F.max("confidence").over(kept))
+    both = both.where("step > 0").withColumn("confidence", F.when(F.col("from_start"), F.col("old")).otherwise(F.lit(1.0)))
+    last = F.col("step") == F.max("step").over(Window.partitionBy("document_id"))
+    new = both.withColumn("is_active", last).select("document_id", "version_number", "name", "value", "confidence", "is_active", "previous_version")
+    entries = F.array_sort(F.collect_list(F.struct("name", F.struct("value", "confidence").alias("entry"))))
+    now = new.where("is_active").groupBy("document_id").agg(F.map_from_entries(entries).alias("fields"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("confidence"))
+    return _added(versions, new), _synced(results, now)
 
 
 def version_diff(versions: DataFrame) -> DataFrame:

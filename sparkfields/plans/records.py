@@ -54,11 +54,14 @@ def b08_field_rows(spark: SparkSession, d: str) -> DataFrame:
     return inbox.field_rows(view(spark, d, "fx_results"))
 
 
-@query("""SELECT d.id AS document_id, r.schema_id, r.schema_version, json_extract_string(r.fields, '$.cliente') AS cliente, d.channel, d.tenant_id FROM fx_documents AS d LEFT JOIN fx_results AS r ON d.id = r.document_id""")
+@query("""SELECT d.id AS document_id, r.schema_id, r.schema_version, json_extract_string(r.fields, '$.cliente') AS cliente, d.channel, d.tenant_id, 'local://documents/' || tenant_id || '/' || id || '/original' AS file_uri, CASE WHEN o_orderkey % 2 = 0 THEN 'local://texts/' || id END AS raw_text_uri,
+  'channel,file_uri,raw_text_uri' AS source_keys FROM fx_documents AS d LEFT JOIN fx_results AS r ON d.id = r.document_id""")
 def b09_canonical_payload(spark: SparkSession, d: str) -> DataFrame:
-    p = inbox.canonical_payload(view(spark, d, "fx_documents"), view(spark, d, "fx_results"))
+    docs = view(spark, d, "fx_documents").withColumn("file_uri", X.object_uri(X.object_key(F.col("tenant_id"), F.col("id")))).withColumn("raw_text_uri", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("local://texts/"), "id")))
+    p = inbox.canonical_payload(docs, view(spark, d, "fx_results"))
     get = lambda path, name: F.get_json_object("payload", path).alias(name)
-    return p.select("document_id", get("$.schema_id", "schema_id"), get("$.schema_version", "schema_version"), get("$.fields.cliente", "cliente"), get("$.source.channel", "channel"), get("$.tenant_id", "tenant_id"))
+    keys = F.array_join(F.json_object_keys(F.get_json_object("payload", "$.source")), ",").alias("source_keys")
+    return p.select("document_id", get("$.schema_id", "schema_id"), get("$.schema_version", "schema_version"), get("$.fields.cliente", "cliente"), get("$.source.channel", "channel"), get("$.tenant_id", "tenant_id"), get("$.source.file_uri", "file_uri"), get("$.source.raw_text_uri", "raw_text_uri"), keys)
 
 
 @query("""SELECT id, nullif(json_extract_string(metadata, '$.metadata_channel'), '') AS channel_name, concat('{"extraction":"', channel, '","metadata_channel":"', json_extract_string(metadata, '$.metadata_channel'), '","ocr":"', status, '"}') AS merged FROM fx_documents""")
@@ -289,6 +292,74 @@ def e06_apply_manual_edits(spark: SparkSession, d: str) -> DataFrame:
     return versions.apply_manual_edits(v, top.select("document_id", F.inline(edits))).select("document_id", "edit_no", "outcome", "new_version")
 
 
+def _edits(spark: SparkSession, d: str) -> DataFrame:
+    top = view(spark, d, "fx_versions").groupBy("document_id").agg(F.max("version_number").alias("top"))
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), F.lit(value).alias("value"))
+    base = F.when(F.col("top") % 3 == 0, F.col("top") - 1).otherwise(F.col("top")).alias("base_version")
+    return top.select("document_id", F.lit(1).alias("edit_no"), base, F.array(pair(" novo ", "1"), pair("novo", "2"), pair(" ", "x")).alias("fields"))
+
+
+_SAVED = "WITH t AS (SELECT document_id, max(version_number) AS top FROM fx_versions GROUP BY document_id), s AS (SELECT * FROM t WHERE top % 3 <> 0)"
+
+
+@query(_SAVED + """ SELECT v.document_id, version_number, name, value, CAST(confidence AS DOUBLE) AS confidence, is_active AND s.top IS NULL AS is_active, CAST(NULL AS INT) AS previous_version, CAST(NULL AS VARCHAR) AS source_type FROM fx_versions AS v LEFT JOIN s ON v.document_id = s.document_id
+UNION ALL SELECT document_id, top + 1, 'novo', '2', 1.0, true, top, 'MANUAL_EDIT' FROM s""")
+def e06_saved_versions(spark: SparkSession, d: str) -> DataFrame:
+    """All versions after one edit of each document."""
+    v = view(spark, d, "fx_versions").withColumn("confidence", F.col("confidence").cast("double"))
+    return versions.save_edits(v, _edits(spark, d), view(spark, d, "fx_results"))[0]
+
+
+@query(_SAVED + """ SELECT r.document_id, CASE WHEN s.top IS NULL THEN fields ELSE '{"novo":{"value":"2","confidence":1.0}}' END AS fields, CASE WHEN s.top IS NULL THEN r.confidence ELSE 1.0 END AS confidence, requires_human_validation FROM fx_results AS r LEFT JOIN s ON r.document_id = s.document_id""")
+def e06_synced_results(spark: SparkSession, d: str) -> DataFrame:
+    """The results in step with the edited versions."""
+    v = view(spark, d, "fx_versions").withColumn("confidence", F.col("confidence").cast("double"))
+    return versions.save_edits(v, _edits(spark, d), view(spark, d, "fx_results"))[1].select("document_id", "fields", F.col("confidence").cast("double").alias("confidence"), "requires_human_validation")
+
+
+_CORRECTED = """WITH o AS (SELECT c.document_id, c.seq, CASE WHEN decision = 'corrected' OR (decision = 'approved' AND seq % 2 = 0) THEN CAST(CAST(corrected_value AS INT) % 3 AS VARCHAR) END AS q, CASE WHEN decision = 'approved' AND seq % 2 = 0 THEN '5' END AS i
+  FROM fx_decisions AS c JOIN fx_documents AS d ON c.document_id = d.id JOIN fx_results AS r ON r.document_id = d.id WHERE decision IN ('approved', 'corrected') OR (decision = 'rejected' AND trim(notes) <> '')),
+a AS (SELECT document_id, max(value) FILTER (WHERE name = 'quantidade') AS q0, max(value) FILTER (WHERE name = 'imposto') AS i0, max(confidence) FILTER (WHERE name = 'quantidade') AS qc, max(confidence) FILTER (WHERE name = 'imposto') AS ic, max(version_number) AS top FROM fx_versions WHERE is_active GROUP BY document_id),
+e AS (SELECT document_id, seq, q, i FROM o WHERE q IS NOT NULL UNION ALL SELECT document_id, -1, q0, i0 FROM a),
+g AS (SELECT *, q IS DISTINCT FROM lag(q) OVER w OR i IS DISTINCT FROM lag(i) OVER w AS fresh FROM e WINDOW w AS (PARTITION BY document_id ORDER BY seq)),
+m AS (SELECT document_id, q, i, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS step FROM g WHERE seq >= 0 AND fresh),
+n AS (SELECT m.*, a.*, bool_and(q = q0) OVER w AS own_q, bool_and(i IS NOT NULL AND i0 IS NOT NULL AND i = i0) OVER w AS own_i, max(step) OVER (PARTITION BY m.document_id) AS last FROM m JOIN a ON m.document_id = a.document_id WINDOW w AS (PARTITION BY m.document_id ORDER BY step)),
+l AS (SELECT document_id, top + step AS version_number, 'quantidade' AS name, q AS value, CASE WHEN own_q THEN qc ELSE 1.0 END AS confidence, step = last AS is_active, top + step - 1 AS previous_version FROM n
+  UNION ALL SELECT document_id, top + step, 'imposto', i, CASE WHEN own_i THEN ic ELSE 1.0 END, step = last, top + step - 1 FROM n WHERE i IS NOT NULL)"""
+
+
+def _corrected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = view(spark, d, "fx_decisions")
+    both, q = (F.col("decision") == "approved") & (F.col("seq") % 2 == 0), (F.col("corrected_value").cast("int") % 3).cast("string")
+    fields = F.when(both, F.create_map(F.lit(" quantidade"), q, F.lit("imposto"), F.lit("5"))).when(F.col("decision") == "corrected", F.create_map(F.lit("quantidade"), q))
+    v = view(spark, d, "fx_versions").withColumn("confidence", F.col("confidence").cast("double"))
+    return events.apply_corrections(view(spark, d, "fx_documents"), view(spark, d, "fx_results"), v, c.withColumn("corrected_fields", fields))
+
+
+@query(_CORRECTED + """ SELECT v.document_id, version_number, name, value, CAST(confidence AS DOUBLE) AS confidence, is_active AND n.document_id IS NULL AS is_active, CAST(NULL AS BIGINT) AS previous_version, CAST(NULL AS VARCHAR) AS source_type FROM fx_versions AS v LEFT JOIN (SELECT DISTINCT document_id FROM n) AS n ON v.document_id = n.document_id
+UNION ALL SELECT document_id, version_number, name, value, CAST(confidence AS DOUBLE), is_active, previous_version, 'MANUAL_EDIT' FROM l""")
+def b13_corrected_versions(spark: SparkSession, d: str) -> DataFrame:
+    """All versions after the corrections of all accepted decisions in turn."""
+    return _corrected(spark, d)[0]
+
+
+@query(_CORRECTED + """ SELECT r.document_id, requires_human_validation AND NOT EXISTS (SELECT 1 FROM o WHERE q IS NOT NULL AND o.document_id = r.document_id) AS requires_human_validation, coalesce(c.confidence, r.confidence) AS confidence
+FROM fx_results AS r LEFT JOIN (SELECT document_id, round(avg(CAST(confidence AS DOUBLE)), 4) AS confidence FROM l WHERE is_active GROUP BY document_id) AS c ON r.document_id = c.document_id""")
+def b13_settled_results(spark: SparkSession, d: str) -> DataFrame:
+    """The results that the corrections leave."""
+    return _corrected(spark, d)[1].select("document_id", "requires_human_validation", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("""SELECT d.id, coalesce(CASE WHEN template <> 7 THEN raw_text END, '') AS full_transcription, CASE WHEN template < 4 THEN 'f' ELSE '' END AS full_transcription_formatted, CASE WHEN template <> 7 AND template % 2 = 0 THEN 'docling' ELSE '' END AS engine_used, r.schema_id
+FROM fx_documents AS d LEFT JOIN fx_invoices AS i ON d.o_orderkey = i.doc_id LEFT JOIN fx_results AS r ON r.document_id = d.id""")
+def c02_transcription(spark: SparkSession, d: str) -> DataFrame:
+    """Details with the recognised texts; some documents have none."""
+    i, t = view(spark, d, "fx_invoices").where("template <> 7"), F.col("template")
+    texts = i.select(F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("document_id"), "raw_text", F.when(t < 4, "f").alias("raw_text_formatted"), F.lit(None).cast("string").alias("document_type"), F.when(t % 2 == 0, "docling").alias("engine_used"))
+    rows = inbox.detail(view(spark, d, "fx_documents"), view(spark, d, "fx_results"), view(spark, d, "fx_versions"), view(spark, d, "fx_events"), texts)
+    return rows.select("id", "full_transcription", "full_transcription_formatted", "ocr_metadata.engine_used", "schema_id")
+
+
 @query("""WITH v AS (SELECT document_id, version_number, name, value FROM fx_versions), t AS (SELECT document_id, max(version_number) AS top FROM v GROUP BY document_id)
 SELECT coalesce(n.document_id, w.document_id) AS document_id, coalesce(n.version_number, w.version_number + 1) AS version_number, coalesce(n.name, w.name) AS name,
   CASE WHEN w.document_id IS NULL THEN 'added' WHEN n.document_id IS NULL THEN 'removed' WHEN n.value = w.value THEN 'same' ELSE 'changed' END AS change
