@@ -170,7 +170,12 @@ SELECT doc_id, template, cnpj, kind, CASE kind WHEN 0 THEN translate(mark, '0158
 FROM (SELECT doc_id, template, cnpj, raw_text, doc_id % 3 AS kind, {_formatted("cnpj")} AS mark FROM ({INVOICES}) AS i) AS j
 """
 
-VIEWS = {"fx_noisy": NOISY, "fx_payloads": PAYLOADS, "fx_invoices": INVOICES, "fx_documents": DOCUMENTS, "fx_results": RESULTS, "fx_decisions": DECISIONS, "fx_versions": VERSIONS, "fx_events": EVENTS}
+#: Results of two engines as JSON; some are broken or missing.
+OCR = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'oops' ELSE concat('{"raw_text":"', repeat('uma palavra ', cast(n_chars % 7 as int)), '","totals":{"grand_total":', cast(n_chars as string), '},"entities":{"a":"', coalesce(lang, ''), '"},"tables":[1],"_meta":{"x":1,"y":"', coalesce(source, ''), '"}}') END AS first,
+  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat('{"raw_text":"', repeat('outra palavra ', cast(n_chars % 5 as int)), '","raw_text_fallback":"', CASE WHEN n_chars % 2 = 0 THEN '' ELSE 'f' END, '","totals":', CASE n_chars % 3 WHEN 0 THEN '{}' WHEN 1 THEN 'null' ELSE '{"grand_total":1}' END, ',"document_info":{"number":', cast(doc_id as string), '},"more":1,"_meta":{"y":2,"primary_engine":"old"}}') END AS second
+FROM documents"""
+
+VIEWS = {"fx_ocr": OCR, "fx_noisy": NOISY, "fx_payloads": PAYLOADS, "fx_invoices": INVOICES, "fx_documents": DOCUMENTS, "fx_results": RESULTS, "fx_decisions": DECISIONS, "fx_versions": VERSIONS, "fx_events": EVENTS}
 
 
 def with_views(sql: str) -> str:

@@ -173,20 +173,14 @@ def c07_merge_ocr_results(spark: SparkSession, d: str) -> DataFrame:
     return quality.merge_ocr_results(both).select("doc_id", "used_fallback_text", "engine", F.sha2("raw_text", 256).alias("text_sha256"))
 
 
-_OCR = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'oops' ELSE concat('{"raw_text":"', repeat('uma palavra ', cast(n_chars % 7 as int)), '","totals":{"grand_total":', cast(n_chars as string), '},"entities":{"a":"', coalesce(lang, ''), '"},"tables":[1],"_meta":{"x":1,"y":"', coalesce(source, ''), '"}}') END AS first,
-  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat('{"raw_text":"', repeat('outra palavra ', cast(n_chars % 5 as int)), '","raw_text_fallback":"', CASE WHEN n_chars % 2 = 0 THEN '' ELSE 'f' END, '","totals":', CASE n_chars % 3 WHEN 0 THEN '{}' WHEN 1 THEN 'null' ELSE '{"grand_total":1}' END, ',"document_info":{"number":', cast(doc_id as string), '},"more":1,"_meta":{"y":2,"primary_engine":"old"}}') END AS second
-FROM documents"""
-
-
-@query(f"""WITH t AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN '{{}}' ELSE first END AS p, coalesce(second, '{{}}') AS f FROM ({_OCR}) AS x), u AS (SELECT *, coalesce(json_extract_string(p, '$.raw_text'), '') AS pt, coalesce(json_extract_string(f, '$.raw_text'), '') AS ft FROM t),
+@query("""WITH t AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN '{}' ELSE first END AS p, coalesce(second, '{}') AS f FROM fx_ocr), u AS (SELECT *, coalesce(json_extract_string(p, '$.raw_text'), '') AS pt, coalesce(json_extract_string(f, '$.raw_text'), '') AS ft FROM t),
 w AS (SELECT *, CASE WHEN trim(pt) = '' THEN 0 ELSE len(string_split(trim(pt), ' ')) END AS pw, CASE WHEN trim(ft) = '' THEN 0 ELSE len(string_split(trim(ft), ' ')) END AS fw FROM u), b AS (SELECT *, trim(ft) <> '' AND length(ft) >= floor(length(pt) * 0.6) AND fw >= greatest(3, floor(pw * 0.6)) AS better FROM w)
 SELECT doc_id, better AS used_fallback_text, CASE WHEN better AND ft <> '' THEN ft ELSE json_extract_string(p, '$.raw_text') END AS raw_text, CASE WHEN better THEN nullif(json_extract_string(f, '$.raw_text_fallback'), '') END AS raw_text_fallback,
   coalesce(json_extract_string(f, '$.totals.grand_total'), json_extract_string(p, '$.totals.grand_total')) AS total, json_extract_string(f, '$.document_info.number') AS number, json_extract_string(p, '$.entities.a') AS entity, json_extract_string(p, '$.tables[0]') AS first_table,
   json_extract_string(p, '$._meta.x') AS meta_x, coalesce(json_extract_string(f, '$._meta.y'), json_extract_string(p, '$._meta.y')) AS meta_y, 'one' AS engine, CAST(better AS VARCHAR) AS replaced, CAST(NULL AS VARCHAR) AS more FROM b""")
 def c07_merge_ocr_documents(spark: SparkSession, d: str) -> DataFrame:
     """Whole JSON results of two engines as one, with where they come from."""
-    docs = table(spark, d, "documents")
-    rows = spark.sql(_OCR.replace("FROM documents", "FROM {docs}"), docs=docs).select("doc_id", F.col("first").alias("primary"), F.col("second").alias("fallback"), F.lit("one").alias("primary_engine"), F.lit("two").alias("fallback_engine"), F.lit(61.5).alias("primary_avg_confidence"))
+    rows = view(spark, d, "fx_ocr").select("doc_id", F.col("first").alias("primary"), F.col("second").alias("fallback"), F.lit("one").alias("primary_engine"), F.lit("two").alias("fallback_engine"), F.lit(61.5).alias("primary_avg_confidence"))
     get = lambda path, name: F.get_json_object("merged", path).alias(name)
     paths = {"raw_text": "$.raw_text", "raw_text_fallback": "$.raw_text_fallback", "total": "$.totals.grand_total", "number": "$.document_info.number", "entity": "$.entities.a", "first_table": "$.tables[0]", "meta_x": "$._meta.x", "meta_y": "$._meta.y", "engine": "$._meta.primary_engine", "replaced": "$._meta.fallback_raw_text_replaced", "more": "$.more"}
     return quality.merge_ocr_documents(rows).select("doc_id", "used_fallback_text", *[get(p, n) for n, p in paths.items()])
