@@ -467,6 +467,14 @@ def x_scalars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS pos FROM fx_noisy)
+SELECT doc_id, string_agg(array_to_string(list_transform(string_split(line, ' '), lambda x: CASE WHEN length(x) >= 2 AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '^[0-9/.,\-OoIlSBZ]+$') THEN translate(x, 'OoIlSBZ', '0011582') ELSE x END), ' '), chr(10) ORDER BY pos) AS fixed FROM l GROUP BY doc_id""")
+def x20_numeric_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Badly read tokens of numbers set right, line by line."""
+    fixed = F.transform(F.split("raw_text", "\n"), X.numeric_token_fix)
+    return view(spark, d, "fx_noisy").select("doc_id", F.array_join(fixed, "\n").alias("fixed"))
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, text, translate(lower(coalesce(text, '')), '{X.ACCENTS[0]}', '{X.ACCENTS[1]}') AS low FROM documents),
 k AS (SELECT *, regexp_replace(regexp_replace(low, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM t)

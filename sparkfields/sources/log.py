@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,3 +79,26 @@ class EventLog:
         if not at:
             return self.spark.createDataFrame([], "offset bigint, value string")
         return self.spark.read.schema("offset bigint, value string").parquet(*at).where(F.col("offset").between(after + 1, upto))
+
+    def poll(self, stream: str, consumer: str, handle: Callable[[DataFrame], None], count: int = 25, start: str = "beginning") -> int:
+        """Gives a consumer the events that it has not had, at most `count` at a time, and returns how many polls there were.
+
+        A consumer that is new starts at the beginning, or after the latest
+        event. Its place is written after handle(rows) has ended, so a poll that
+        fails is given again, and nothing is left out.
+        """
+        if start not in ("beginning", "latest"):
+            raise ValueError("start is beginning or latest")
+        places = Manifest(self.spark, f"{self.root}/consumers/{stream}/{consumer}")
+        upto = self.next_offsets().get(stream, 1) - 1
+        held = places.last()
+        if held is None:
+            held = {"poll": 0, "after": upto if start == "latest" else 0}
+            places.write(0, held)
+        polls = 0
+        while held["after"] < upto:
+            handle(self.scan(stream, held["after"], count))
+            held = {"poll": held["poll"] + 1, "after": min(upto, held["after"] + count)}
+            places.write(held["poll"], held)
+            polls += 1
+        return polls

@@ -203,3 +203,26 @@ def test_debounce_goes_on_after_a_stop(spark, tmp_path):
     batch = jobs.debounce_max_wait(spark.createDataFrame(rows, "key string, ts timestamp, item string"), "key", "ts", "item", 30, 200).where("key <> 'c'")
     got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
     assert {(r.key, r.started, tuple(r["items"])) for r in got.collect()} == {(r.key, r.started, tuple(r["items"])) for r in batch.collect()}
+
+
+def test_a_consumer_polls_on_from_its_place(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path))
+    rows = lambda a, b: spark.range(a, b).select(F.lit("s").alias("s"), "id")
+    log.append(rows(0, 7), F.col("s"), [F.col("id")], 0)
+    got = []
+    take = lambda df: got.append(sorted(r.offset for r in df.collect()))
+    assert log.poll("s", "late", take, start="latest") == 0 and got == []
+    assert log.poll("s", "all", take, count=3) == 3 and got == [[1, 2, 3], [4, 5, 6], [7]]
+    log.append(rows(7, 9), F.col("s"), [F.col("id")], 1)
+    got.clear()
+
+    def fails(df):
+        take(df)
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        log.poll("s", "all", fails, count=1)
+    assert log.poll("s", "all", take, count=1) == 2 and log.poll("s", "late", take) == 1 and got == [[8], [8], [9], [8, 9]]
+    assert log.poll("none", "all", take) == 0
+    with pytest.raises(ValueError):
+        log.poll("s", "x", take, start="middle")
