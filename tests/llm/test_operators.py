@@ -206,6 +206,22 @@ def test_line_dedup_of_long_lines_and_repeated_rows(spark):
     assert out == [(0, 13, 1), (1, len(long), 1), (2, 0, 0), (2, 0, 0), (3, 4, 1)]
 
 
+def test_close_pairs_equal_brute_force_and_spare_components(spark):
+    """All pairs of different components, whichever is the largest under a key; none of a component, however large."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(3)]
+    sims = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(63), rng.choice([0, 1, 2]))) for _ in range(120)]
+    rows = [(c, sim, 0, 100 + c % 7, rng.choice([c, 0, 1, 2])) for c, sim in enumerate(sims)]
+    schema = "c bigint, sim bigint, par bigint, size int, r bigint"
+    got = [(x.u, x.v) for x in line_dedup.close_pairs(spark.createDataFrame(rows, schema)).collect()]
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if (a[1] ^ b[1]).bit_count() <= 3 and a[4] != b[4]}
+    assert len(got) == len(set(got)) and set(got) == want and want
+    one = spark.range(40_000).selectExpr("id c", "5L sim", "0L par", "100 size", "0L r")
+    assert line_dedup.close_pairs(one).isEmpty()
+    other = one.unionByName(spark.createDataFrame([(40_000, 5, 0, 100, 1)], schema))
+    assert line_dedup.close_pairs(other).agg({"u": "count", "v": "min"}).first()[:] == (40_000, 40_000)
+
+
 def test_long_lines_with_many_changed_words_link(spark):
     """Changed words that are many, but few of a line: their parities differ in far more bits than a fixed bound would let through."""
     rng = random.Random(11)
