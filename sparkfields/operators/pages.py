@@ -60,14 +60,20 @@ def best_variant(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def layout_text(words: DataFrame, columns: int = 120, step: float = 4.0) -> DataFrame:
-    """(doc_id, page, text): words set out on a grid by their place, rows by height."""
+def layout_text(words: DataFrame, columns: int = 120, step: float = 4.0, width: float = 595.0) -> DataFrame:
+    """(doc_id, page, text): words set out on a grid by their place, rows by height.
+
+    A word goes to its column, or a space behind the word before it where that
+    reaches so far; words at one place keep their order. A page whose width is 0
+    or null has `width` points; pages without words have no row.
+    """
     row = (F.bround(F.col("y0") / step) * step).alias("row")
-    col = F.floor(F.col("x0") * columns / F.col("page_width")).cast("int")
+    col = (F.col("x0") * (columns / F.coalesce(F.nullif("page_width", F.lit(0.0)), F.lit(width)))).cast("int")
     cells = F.array_sort(F.collect_list(F.struct(F.col("x0"), "seq", col.alias("c"), "text")))
-    lines = words.groupBy("doc_id", "page", row).agg(cells.alias("cells"))
-    put = lambda a, w: F.concat(F.rpad(a, F.greatest(w["c"], F.length(a) + F.when(a == "", 0).otherwise(1)), F.lit(" ")), w["text"])
-    lines = lines.withColumn("line", F.aggregate("cells", F.lit(""), put))
+    lines = words.where("text is not null").groupBy("doc_id", "page", row).agg(cells.alias("cells"))
+    gap = lambda a: F.when((a == "") | F.endswith(a, F.lit(" ")), 0).otherwise(1)
+    put = lambda a, w: F.concat(F.rpad(a, F.greatest(w["c"], F.length(a) + gap(a)), F.lit(" ")), w["text"])
+    lines = lines.withColumn("line", F.regexp_replace(F.aggregate("cells", F.lit(""), put), r"(?U)\s+$", ""))
     return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 

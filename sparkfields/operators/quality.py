@@ -37,7 +37,7 @@ def _first(values: Column) -> Column:
     return F.coalesce(F.get(values, 0), F.lit(""))
 
 
-def _tail(lines: Column, pattern: str, n: int) -> Column:
+def _tail(lines: Column, pattern: str, n: int | Column) -> Column:
     """Up to n lines after the first that matches."""
     at = F.array_min(F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu){pattern}"), i + 1)))
     return F.when(at.isNull(), F.array().cast("array<string>")).otherwise(F.slice(lines, at + 1, n))
@@ -97,7 +97,7 @@ def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     number = _first(F.filter(_tail(own, NUMBER_HEADING, 3), lambda x: x.rlike(NUMBER_LINE) & ~X.is_header_like(x)))
     found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in NUMBER]
     service = F.col("servico_block")
-    after = _tail(service, SERVICE_HEADING, 10_000)
+    after = _tail(service, SERVICE_HEADING, F.size(service))
     stop = F.array_min(F.transform(after, lambda x, i: F.when(x.rlike(SERVICE_STOP), i)))
     body = F.filter(F.slice(after, F.lit(1), F.coalesce(stop, F.size(after))), lambda x: ~X.is_header_like(x))
     described = F.aggregate(body, F.lit(""), lambda a, x: F.when(F.length(a) >= 450, a).otherwise(F.trim(F.concat(a, F.lit(" "), x))))

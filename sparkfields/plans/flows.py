@@ -215,7 +215,12 @@ def d13_term_time_share(spark: SparkSession, d: str) -> DataFrame:
     return pages.term_time_share(pages.words_of(table(spark, d, "documents")), F.lit(30.0)).select("doc_id", "page", "seq", "seconds")
 
 
-@query()
+@query(_WORDS + """, g AS (SELECT doc_id, CAST(line // 40 AS INT) AS page, round_even(line % 40 * 18 / 4.0, 0) AS y, k, k * 45 % 900 AS x, CAST(floor(k * 45 % 900 * (CAST(120 AS DOUBLE) / 900)) AS BIGINT) AS col, text FROM w0 WHERE text <> ''),
+c AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id, page, y ORDER BY x, k) - length(text) - 1 AS before FROM g),
+s AS (SELECT *, max(col - before) OVER (PARTITION BY doc_id, page, y ORDER BY x, k) + before AS start FROM c),
+p AS (SELECT *, start - coalesce(lag(start + length(text)) OVER (PARTITION BY doc_id, page, y ORDER BY x, k), 0) AS gap FROM s),
+r AS (SELECT doc_id, page, y, regexp_replace(string_agg(repeat(' ', CAST(gap AS BIGINT)) || text, '' ORDER BY x, k), '\\s+$', '') AS line FROM p GROUP BY doc_id, page, y)
+SELECT doc_id, page, string_agg(line, chr(10) ORDER BY y) AS text FROM r GROUP BY doc_id, page""")
 def d15_layout_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.layout_text(pages.words_of(table(spark, d, "documents")))
 
