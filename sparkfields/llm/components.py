@@ -31,7 +31,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Every round writes its edges to the checkpoint folder; only a count and a
     checksum come to the driver. Null ends are ignored; loops and repeated edges
-    change nothing; no edges give no rows.
+    change nothing; no edges give no rows. Rounds grow with the logarithm of the
+    nodes; a graph that takes more than `rounds` ends in an error, not in parts.
     """
     def sign(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
