@@ -25,16 +25,17 @@ def strip_space(c: Column) -> Column:
 
 def clean_line(c: Column) -> Column:
     """White space runs as one space, none at the ends; null as empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    # a single space stays as it is: it need not be found and replaced
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\n\x0B\f\r]\s*| \s+", " "))
 
 
 def lines(c: Column) -> Column:
     """Cleaned lines without the blank ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), clean_line), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\r"), F.lit("\n")), "\n"), clean_line), lambda x: x != "")
 
 
 def digits(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9]", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9]+", "")
 
 
 def let(value: Column, body) -> Column:
@@ -110,7 +111,7 @@ def _heading(line: Column) -> Column:
     """is_header_like for a cleaned line."""
 
     def test(low: Column) -> Column:
-        hit = low.rlike("|".join(f"(?:{p})" for p in HEADER_PATTERNS))
+        hit = low.rlike(f"^(?:{'|'.join(p.removeprefix('^') for p in HEADER_PATTERNS)})")
         return hit | ((F.size(F.split(low, " ")) <= 6) & (count_of(HEADER_TOKENS, low) >= 2) & ~line.rlike(FORMATTED_CNPJ))
 
     return (line == "") | let(F.lower(line), test)
@@ -123,8 +124,8 @@ def is_header_like(c: Column) -> Column:
 
 def _named(line: Column) -> Column:
     """is_name_line for a cleaned line."""
-    letters = F.length(F.regexp_replace(line, f"[^{LETTER}]", ""))
-    numbers = F.length(F.regexp_replace(line, r"[^0-9]", ""))
+    letters = F.length(F.regexp_replace(line, f"[^{LETTER}]+", ""))
+    numbers = F.length(F.regexp_replace(line, r"[^0-9]+", ""))
     many = let(letters, lambda n: (n >= 6) & (n > numbers))
     return many & ~line.rlike(r"^[-–—]+$") & ~line.rlike(CNPJ) & ~_heading(line)
 
@@ -138,7 +139,7 @@ def name_score(c: Column) -> Column:
     """How much a line looks like the name of a party, from 0 to 1."""
 
     def score(line: Column) -> Column:
-        upper = F.length(F.regexp_replace(line, r"[^A-ZÀ-Ý]", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(line, f"[^{LETTER}]", "")))
+        upper = F.length(F.regexp_replace(line, r"[^A-ZÀ-Ý]+", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(line, f"[^{LETTER}]+", "")))
         total = (
             F.when(F.size(F.split(line, " ")) >= 2, 0.20).otherwise(0.0) + F.when(F.length(line) >= 18, 0.15).otherwise(0.0)
             + F.when(upper >= 0.70, 0.25).otherwise(0.0) + F.when(let(F.lower(line), lambda low: count_of(COMPANY_TOKENS, low) > 0), 0.35).otherwise(0.0)
@@ -153,8 +154,8 @@ def ocr_digit_fix(c: Column) -> Column:
 
 
 def is_low_quality_text(c: Column) -> Column:
-    letters = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{LETTER}]", ""))
-    both = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{LETTER}0-9]", ""))
+    letters = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{LETTER}]+", ""))
+    both = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{LETTER}0-9]+", ""))
     return (letters < 10) | (letters / F.greatest(F.lit(1), both) < 0.45)
 
 

@@ -126,7 +126,7 @@ def best_amount(text: Column) -> Column:
 
 def _description(lines: Column, text: Column) -> Column:
     """What follows a description's label; else a line of a service; else the longest line of words, the first of equals."""
-    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
     said = X.clean_line(F.get(F.split(F.regexp_extract(X.clean_line(text), ABOUT, 1), ABOUT_ENDS), 0))
     after = F.when(F.length(said) >= 20, said)
 

@@ -193,10 +193,17 @@ def view(spark: SparkSession, sf_dir: str, name: str, **streams: DataFrame) -> D
     prefix = f"fx_{zlib.crc32(sf_dir.encode())}_" + "stream_" * bool(streams)
     for t in TABLES:
         if (changed := re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {prefix}{t}", text)) != text:
-            (streams[t] if t in streams else table(spark, sf_dir, t)).createOrReplaceTempView(prefix + t)
+            read = streams[t] if t in streams else table(spark, sf_dir, t)
+            (_dealt(read) if t == "orders" and t not in streams else read).createOrReplaceTempView(prefix + t)
             text = changed
     return spark.sql(text)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt to all cores, where their files make fewer tasks: what is read from their texts costs far more than dealing them out."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

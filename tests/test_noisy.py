@@ -120,3 +120,7 @@ def test_enrichment_takes_what_is_better(spark):
     ]
     out = {r.k: (r.fornecedor.value, r.cnpj_fornecedor and r.cnpj_fornecedor.value, r.valor_nf.value, r.valor_nf.conf) for r in noisy.enrich(spark.createDataFrame(rows, schema), ["fornecedor", "cnpj_fornecedor", "valor_nf"], "c", "e").collect()}
     assert out == {0: ("", "", "", 0.0), 1: ("Casa das Tintas Ltda", "11.222.333/0001-81", "90,00", 0.9), 2: ("Casa Velha e Filhos", "11.444.777/0001-61", "95,00", 0.1), 3: (None, None, "x", 0.2)}
+
+
+def test_texts_of_one_small_file_are_read_by_all_cores(spark):
+    assert view(spark, "/root/testdata/sf0.001", "fx_noisy").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
