@@ -11,7 +11,7 @@ themselves are compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ CELLS, FULLEST = 1 << 20, 1 << 15
 #: Times that the classes of a key are tested against one of them, before all pairs between what isn't connected by then.
 STARS = 2
 #: Cells of the smallest parity map; larger sets have one with a cell for each shingle, a power of two of cells.
-MAP = 256
+MAP = 1024
 #: Hashes that go to Spark at once, and words that a task remembers.
 FLUSH, REMEMBERED = 1 << 18, 1 << 17
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -192,10 +192,18 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(keys, F.col("k") == F.col("k2"), "left_semi")
 
 
-def groups(texts: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
+def _rooted(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """rows with the least class of their component as r."""
+    return rows.drop("r").join(root, F.col("c") == F.col("u"), "left").select("k", "c", "n", "i", F.coalesce("v", "c").alias("r"))
+
+
+def groups(texts: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(ident, group) of each row of (ident, text): the least ident that links of similar texts reach.
 
-    Texts with the same shingles are one class, those without words too. A star
+    Texts with the same shingles are one class, those without words too. Pairs
+    (u, v) of classes that `near` finds by another method, given each row's
+    (ident, c), are compared first; what they connect isn't searched again. Of
+    the rest a star
     of each key's classes is tested first, around the class that meets others
     under most of its keys, then all pairs of a key that aren't connected by
     then, so the groups are those of all links.
@@ -213,6 +221,11 @@ def groups(texts: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY)
     side = lambda df, s, *more: df.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "i", "r", *more)])
     apart = (F.col("r_a") != F.col("r_b")) & _possible(similarity)
     root = None
+    if near is not None:
+        pairs = cut(near(known.select("ident", "c")))
+        if not pairs.isEmpty():
+            root = connected(_confirmed(pairs, texts, classes, ngram, similarity))
+            rows = stored(_open(_rooted(rows, root)))
     for turn in range(STARS + 1):
         if turn < STARS:
             by = F.struct(*([F.col("alone")] if not turn else []), F.xxhash64(F.col("c"), F.lit(turn)).alias("by"), "c", "n", "i", "r")
@@ -229,8 +242,7 @@ def groups(texts: DataFrame, ngram: int = NGRAM, similarity: float = SIMILARITY)
             continue
         root = connected(_confirmed(pairs, texts, classes, ngram, similarity).unionByName(root))
         if turn < STARS:
-            rows = rows.drop("r").join(root, F.col("c") == F.col("u"), "left").select("k", "c", "n", "i", F.coalesce("v", "c").alias("r"))
-            rows = stored(_open(rows))
+            rows = stored(_open(_rooted(rows, root)))
     named = classes.join(root, F.col("c") == F.col("u"), "left").select("c", "least", F.coalesce("v", "c").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("group"))
     by_class = named.select(F.col("c").alias("c2"), "root").join(least, "root")

@@ -153,17 +153,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return known.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_classes(texts: DataFrame, classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v), u < v: pairs of the classes c of (ident, c) with fingerprints alike or at most `radius` bits apart, all reached from one class of each fingerprint."""
+    fps = fingerprints(texts, "ident").select(F.xxhash64("doc_id").alias("of"), "fp")
+    named = classes.select(F.xxhash64("ident").alias("of"), "c").distinct()
+    by_class = cut(fps.join(named, "of").groupBy("c").agg(F.min("fp").alias("fp")))
+    heads = cut(by_class.groupBy("fp").agg(F.min("c").alias("head")))
+    head = lambda k: heads.select(F.col("fp").alias(f"fp_{k}"), F.col("head").alias(k))
+    near = links(heads.select("fp"), radius).join(head("a"), F.col("u") == F.col("fp_a")).join(head("b"), F.col("v") == F.col("fp_b"))
+    same = by_class.join(heads, "fp").where("c != head").select(F.col("head").alias("u"), F.col("c").alias("v"))
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(same)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = shingle_join.NGRAM, similarity: float = shingle_join.SIMILARITY) -> DataFrame:
     """docs without the near copies: of each group of similar texts the row of the least id stays.
 
     Links are pairs of texts whose word shingles have at least this Jaccard
-    similarity, all of them: SimHash is no filter here, as no radius that keys
-    can serve holds what is 0.8 alike. Rows without id come after the others; of
-    rows alike in all columns one stays.
+    similarity, all of them. Pairs of near fingerprints are found first, by
+    pigeonring keys, and their similarity is checked; as no radius that keys can
+    serve holds all that is 0.8 alike, an exact join finds the links between what
+    they leave apart. Rows without id come after the others; of rows alike in all
+    columns one stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     ident = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(*columns).alias("row"))
-    groups = shingle_join.groups(docs.select(ident.alias("ident"), F.col(text_col).alias("text")), ngram, similarity)
+    texts = docs.select(ident.alias("ident"), F.col(text_col).alias("text"))
+    groups = shingle_join.groups(texts, ngram, similarity, lambda classes: near_classes(texts, classes))
     # most rows are alone in their group and need no join: only those that go or come more than once are looked up
     found = groups.groupBy("ident").agg(F.first("group").alias("group"), F.count("*").alias("n"))
     name = lambda x: F.concat_ws("/", x["no"].cast("string"), x["id"].cast("string"), x["row"].cast("string"))

@@ -16,7 +16,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkfields.llm import components, decontamination, fingerprints, html_extraction, language_id, lattice_lm, line_dedup, mixing, sharding, simhash_dedup, url_filter
+from sparkfields.llm import components, decontamination, fingerprints, html_extraction, language_id, lattice_lm, line_dedup, mixing, sharding, shingle_join, simhash_dedup, url_filter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp bigint, u bigint"
 
@@ -339,6 +339,26 @@ def test_keep_one_equals_brute_force(spark):
     assert far and {r.doc_id for r in simhash_dedup.keep_one(docs(spark, texts)).collect()} == set(want)
 
 
+def test_keep_one_takes_its_first_links_from_fingerprints(spark, monkeypatch):
+    rng = random.Random(31)
+    long = [f"v{rng.randrange(3000)}" for _ in range(900)]
+    texts = [" ".join(long), " ".join([*long[:-1], "new"]), " ".join(long).upper(), " ".join(f"w{k}" for k in range(50))]
+    fps = [brute_fp(t) for t in texts]
+    seen = []
+    whole = shingle_join.groups
+
+    def watched(texts, ngram, similarity, near):
+        def spied(classes):
+            seen.append(sorted((r.u, r.v) for r in near(classes).collect()))
+            return near(classes)
+
+        return whole(texts, ngram, similarity, spied)
+
+    monkeypatch.setattr(shingle_join, "groups", watched)
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(docs(spark, texts)).collect()) == [0, 3]
+    assert 0 < (fps[0] ^ fps[1]).bit_count() <= 4 and len(seen) == 1 and len(seen[0]) == 1
+
+
 def test_components(spark):
     rng = random.Random(10)
     pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + k, 201 + k) for k in range(40)] + [(None, 3), (7, 7)]
