@@ -205,14 +205,20 @@ _WORDS = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t,
 w AS (SELECT doc_id, CAST(line // 40 AS INT) AS page, line * 100000 + k AS seq, text, ((k * 7 + line * 3) % 100) / 100.0 AS conf FROM w0 WHERE text <> '')"""
 
 
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of documents, whose texts are dealt by document before they become words: groups by document then shuffle no words, each of which is a row several times its size."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return pages.words_of(docs.repartition(max(spark.sparkContext.defaultParallelism, 16 * docs.rdd.getNumPartitions()), "doc_id"))
+
+
 @query(_WORDS + "SELECT doc_id, page, string_agg(text, ' ' ORDER BY seq) AS text, round(avg(conf * 100), 4) AS confidence FROM w GROUP BY doc_id, page")
 def d12_words_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return pages.words_to_text(pages.words_of(table(spark, d, "documents")))
+    return pages.words_to_text(_words(spark, d))
 
 
 @query(_WORDS + "SELECT doc_id, page, seq, round(30.0 * length(text) / sum(length(text)) OVER (PARTITION BY doc_id, page), 6) AS seconds FROM w")
 def d13_term_time_share(spark: SparkSession, d: str) -> DataFrame:
-    return pages.term_time_share(pages.words_of(table(spark, d, "documents")), F.lit(30.0)).select("doc_id", "page", "seq", "seconds")
+    return pages.term_time_share(_words(spark, d), F.lit(30.0)).select("doc_id", "page", "seq", "seconds")
 
 
 @query(_WORDS + """, g AS (SELECT doc_id, CAST(line // 40 AS INT) AS page, round_even(line % 40 * 18 / 4.0, 0) AS y, k, k * 45 % 900 AS x, CAST(floor(k * 45 % 900 * (CAST(120 AS DOUBLE) / 900)) AS BIGINT) AS col, text FROM w0 WHERE text <> ''),
@@ -222,7 +228,7 @@ p AS (SELECT *, start - coalesce(lag(start + length(text)) OVER (PARTITION BY do
 r AS (SELECT doc_id, page, y, regexp_replace(string_agg(repeat(' ', CAST(gap AS BIGINT)) || text, '' ORDER BY x, k), '\\s+$', '') AS line FROM p GROUP BY doc_id, page, y)
 SELECT doc_id, page, string_agg(line, chr(10) ORDER BY y) AS text FROM r GROUP BY doc_id, page""")
 def d15_layout_text(spark: SparkSession, d: str) -> DataFrame:
-    return pages.layout_text(pages.words_of(table(spark, d, "documents")))
+    return pages.layout_text(_words(spark, d))
 
 
 @query(_WORDS + """, b AS (SELECT doc_id, CAST(line // 40 AS INT) AS page, CAST(line * 100000 + k AS INT) AS seq, line, ((k * 7 + line * 3) % 100) / 100.0 AS conf, k * 45 % 900 AS x0 FROM w0 WHERE text <> ''),
@@ -230,7 +236,7 @@ t AS (SELECT * FROM b WHERE conf >= 0.55), h AS (SELECT doc_id, page, seq, line,
 o AS (SELECT h.doc_id, h.seq, max(40 - abs(h.x0 - t.x0)) AS w FROM h JOIN t ON h.doc_id = t.doc_id AND h.line = t.line AND abs(h.x0 - t.x0) < 40 GROUP BY h.doc_id, h.seq)
 SELECT doc_id, page, seq, 'typed' AS engine FROM t UNION ALL SELECT h.doc_id, h.page, h.seq, 'handwritten' FROM h LEFT JOIN o ON h.doc_id = o.doc_id AND h.seq = o.seq WHERE coalesce(o.w / (80.0 - o.w), 0) < 0.25""")
 def c10_non_overlapping_words(spark: SparkSession, d: str) -> DataFrame:
-    w = pages.words_of(table(spark, d, "documents"))
+    w = _words(spark, d)
     hand = w.withColumn("x0", F.col("x0") + 15 * (F.col("seq") % 5)).withColumn("x1", F.col("x0") + 40)
     return pages.non_overlapping_words(w, hand)
 
@@ -259,7 +265,7 @@ SELECT doc_id, CASE WHEN t >= 0.55 AND tn >= 8 AND t - e >= 0.15 THEN 'typed' WH
 def p28_image_type_label(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import classify
 
-    w = pages.words_of(table(spark, d, "documents")).withColumn("engine", F.when((F.col("doc_id") + F.col("seq")) % 3 == 0, "typed").otherwise("handwritten"))
+    w = _words(spark, d).withColumn("engine", F.when((F.col("doc_id") + F.col("seq")) % 3 == 0, "typed").otherwise("handwritten"))
     return classify.image_type_label(w)
 
 

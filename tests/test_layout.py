@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from sparkfields.operators import pages, quality
+from sparkfields.plans import flows
 
+SF = "/root/testdata/sf0.001"
 WORDS = "doc_id long, page int, seq long, text string, x0 double, y0 double, page_width double"
 
 
@@ -49,3 +52,14 @@ def test_tail_of_any_length(spark):
     lines = ["Head", "x"] + [str(i) for i in range(10_500)]
     row = spark.createDataFrame([(lines,), ([],), (None,)], "v array<string>").select(F.size(quality._tail(F.col("v"), "^head$", F.size("v"))).alias("n"))
     assert [r.n for r in row.collect()] == [10_501, 0, 0]
+
+
+def shuffles(df):
+    """What the plan of df shuffles by, without the ids of columns."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\((.*?)\)", plan)]
+
+
+def test_page_texts_shuffle_texts_not_words(spark):
+    keys = shuffles(flows.d12_words_to_text(spark, SF))
+    assert len(keys) == 1 and re.fullmatch(r"doc_id, \d+", keys[0])
