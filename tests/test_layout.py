@@ -63,3 +63,8 @@ def shuffles(df):
 def test_page_texts_shuffle_texts_not_words(spark):
     keys = shuffles(flows.d12_words_to_text(spark, SF))
     assert len(keys) == 1 and re.fullmatch(r"doc_id, \d+", keys[0])
+
+
+def test_grid_shuffles_texts_not_words(spark):
+    keys = shuffles(flows.d15_layout_text(spark, SF))
+    assert len(keys) == 1 and re.fullmatch(r"doc_id, \d+", keys[0])
