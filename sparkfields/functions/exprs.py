@@ -154,9 +154,11 @@ def ocr_digit_fix(c: Column) -> Column:
 
 
 def is_low_quality_text(c: Column) -> Column:
-    letters = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{LETTER}]+", ""))
-    both = F.length(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{LETTER}0-9]+", ""))
-    return (letters < 10) | (letters / F.greatest(F.lit(1), both) < 0.45)
+    # the text is searched once: what is left of it has digits alone besides letters
+    def weak(known: Column) -> Column:
+        return let(F.length(F.translate(known, "0123456789", "")), lambda n: (n < 10) | (n / F.greatest(F.lit(1), F.length(known)) < 0.45))
+
+    return let(F.regexp_replace(F.coalesce(c, F.lit("")), f"[^{LETTER}0-9]+", ""), weak)
 
 
 def avg_confidence(*candidates: Column) -> Column:
@@ -196,5 +198,10 @@ def numeric_token_fix(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, " "), lambda t: F.when(looks(t), F.translate(t, "OoIlSBZ", "0011582")).otherwise(t)), " ")
 
 
+def is_blank(c: Column) -> Column:
+    """Whether clean_line leaves nothing; the search ends at the first other character."""
+    return ~F.coalesce(c, F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(strip_space(c) != "", c)

@@ -498,4 +498,4 @@ def x_checks(spark: SparkSession, d: str) -> DataFrame:
     first = F.when(k % 4 == 0, "0.5").when(k % 4 == 1, "n/a").when(k % 4 == 2, "250")
     second = F.when(k % 4 == 1, F.lit(88.0)).when(k % 4 == 3, F.lit(-3.0))
     conf = X.avg_confidence(first, second)
-    return table(spark, d, "documents").select("doc_id", X.is_date_text(day).alias("is_date"), X.is_low_quality_text(t).alias("is_low_quality"), conf.alias("confidence"), X.confidence_ratio(conf / 100).alias("ratio"), (X.clean_line(t) == "").alias("is_blank"))
+    return table(spark, d, "documents").select("doc_id", X.is_date_text(day).alias("is_date"), X.is_low_quality_text(t).alias("is_low_quality"), conf.alias("confidence"), X.confidence_ratio(conf / 100).alias("ratio"), X.is_blank(t).alias("is_blank"))

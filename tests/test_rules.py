@@ -164,3 +164,11 @@ def test_debounce(spark):
     assert out(jobs.debounce_max_wait(df.where("key = 'c3'"), "key", "ts", "item", 2, 4)) == [("c3", ("0", "1", "2", "3")), ("c3", ("4", "5", "6", "7"))]
     with pytest.raises(ValueError):
         jobs.debounce_max_wait(df, "key", "ts", "item", 4, 4)
+
+
+def test_blank_and_weak_texts_without_rewriting_them(spark):
+    texts = [None, "", " \t\n\x0b\f\r", " ", " a ", "abcdefghij", "abcdefghi", "abcdefghij" + "1" * 12, "abcdefghij" + "1" * 13, "çãÀÿ-abcdef 12"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.is_blank(F.col("t")).alias("blank"), (X.clean_line(F.col("t")) == "").alias("old"), X.is_low_quality_text(F.col("t")).alias("weak"))
+    out = sorted(rows.collect())
+    assert [r.blank for r in out] == [True, True, True] + [False] * 7 == [r.old for r in out]
+    assert [r.weak for r in out] == [True] * 5 + [False, True, False, True, False]
