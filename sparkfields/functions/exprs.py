@@ -17,6 +17,8 @@ CNPJ = r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}|\d{14}"
 FORMATTED_CNPJ = r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}"
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 LETTER = "A-Za-zÀ-ÿ"
+#: Letters that a (?iu) pattern takes for s, i and k, and lower() does not.
+ODD_CASE = "[\u017f\u0131\u0130\u212a]"
 
 
 def strip_space(c: Column) -> Column:
@@ -31,7 +33,11 @@ def clean_line(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Cleaned lines without the blank ones."""
-    return F.filter(F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\r"), F.lit("\n")), "\n"), clean_line), lambda x: x != "")
+    text = F.coalesce(c, F.lit(""))
+    # most texts are clean, which one search tells for all lines
+    rough = text.rlike(r"[\t\x0B\f\r]| [ \n]|\n |^ | $")
+    cleaned = F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), clean_line), lambda x: x != "")
+    return F.when(rough, cleaned).otherwise(F.array_remove(F.split(text, "\n"), ""))
 
 
 def digits(c: Column) -> Column:
@@ -43,21 +49,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _check_digit(d: Column, weights: list[int]) -> Column:
-    """11 less the weighted sum's rest of 11; 0 for 10 and 11."""
-    numbers = F.transform(F.sequence(F.lit(1), F.lit(len(weights))), lambda k: F.substring(d, k, F.lit(1)).try_cast("int"))
-    total = F.aggregate(F.zip_with(numbers, F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w), F.lit(0), lambda x, y: x + y)
+def _check_digit(n: Column, weights: list[int]) -> Column:
+    """11 less the rest of 11 of the weighted sum of the first digits of a number of 14; 0 for 10 and 11."""
+    total = F.lit(0).cast("long")
+    for k, w in enumerate(weights):
+        total = total + F.call_function("div", n, F.lit(10 ** (13 - k))) % 10 * w
     return (F.lit(11) - total % 11) % 11 % 10
 
 
 def cnpj_valid(c: Column) -> Column:
     """Whether the digits of c are 14, not all alike, and end in their two check digits."""
 
-    def valid(d: Column) -> Column:
-        ends = F.concat(_check_digit(d, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]).cast("string"), _check_digit(d, [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]).cast("string"))
-        return (F.length(d) == 14) & ~d.rlike(r"^(\d)\1*$") & F.coalesce(F.substring(d, 13, 2) == ends, F.lit(False))
+    def right(n: Column) -> Column:
+        ends = _check_digit(n, [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]) * 10 + _check_digit(n, [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2])
+        return F.coalesce((n % 11111111111111 != 0) & (n % 100 == ends), F.lit(False))
 
-    return let(digits(c), valid)
+    return let(digits(c), lambda d: (F.length(d) == 14) & let(d.try_cast("bigint"), right))
 
 
 def cnpj_format(c: Column) -> Column:
@@ -107,46 +114,67 @@ def count_of(values: list[str], text: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(text, v)))
 
 
-def _heading(line: Column) -> Column:
+def has_any(text: Column, words: list[str]) -> Column:
+    """Whether the text contains one of the words."""
+    out = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _number_of(words: list[str], text: Column) -> Column:
+    out = F.lit(0)
+    for w in words:
+        out = out + F.contains(text, F.lit(w)).cast("int")
+    return out
+
+
+def heading(line: Column) -> Column:
     """is_header_like for a cleaned line."""
 
     def test(low: Column) -> Column:
         hit = low.rlike(f"^(?:{'|'.join(p.removeprefix('^') for p in HEADER_PATTERNS)})")
-        return hit | ((F.size(F.split(low, " ")) <= 6) & (count_of(HEADER_TOKENS, low) >= 2) & ~line.rlike(FORMATTED_CNPJ))
+        return hit | ((_number_of(HEADER_TOKENS, low) >= 2) & (F.size(F.split(low, " ")) <= 6) & ~line.rlike(FORMATTED_CNPJ))
 
     return (line == "") | let(F.lower(line), test)
 
 
 def is_header_like(c: Column) -> Column:
     """Blank, a heading, or a short line of heading words without a tax number."""
-    return let(clean_line(c), _heading)
+    return let(clean_line(c), heading)
 
 
-def _named(line: Column) -> Column:
+def named(line: Column) -> Column:
     """is_name_line for a cleaned line."""
     letters = F.length(F.regexp_replace(line, f"[^{LETTER}]+", ""))
-    numbers = F.length(F.regexp_replace(line, r"[^0-9]+", ""))
-    many = let(letters, lambda n: (n >= 6) & (n > numbers))
-    return many & ~line.rlike(r"^[-–—]+$") & ~line.rlike(CNPJ) & ~_heading(line)
+    numbers = F.length(line) - F.length(F.regexp_replace(line, "[0-9]+", ""))
+    many = let(letters, lambda n: (n >= 6) & let(numbers, lambda m: (n > m) & ((m < 14) | ~line.rlike(CNPJ))))
+    return many & ~heading(line)
 
 
 def is_name_line(c: Column) -> Column:
     """A line that may be the name of a party."""
-    return let(clean_line(c), _named)
+    return let(clean_line(c), named)
 
 
 def name_score(c: Column) -> Column:
     """How much a line looks like the name of a party, from 0 to 1."""
+    return let(clean_line(c), line_score)
+
+
+def line_score(line: Column) -> Column:
+    """name_score for a cleaned line."""
+    return F.when(named(line), named_score(line)).otherwise(0.0)
 
-    def score(line: Column) -> Column:
-        upper = F.length(F.regexp_replace(line, r"[^A-ZÀ-Ý]+", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(line, f"[^{LETTER}]+", "")))
-        total = (
-            F.when(F.size(F.split(line, " ")) >= 2, 0.20).otherwise(0.0) + F.when(F.length(line) >= 18, 0.15).otherwise(0.0)
-            + F.when(upper >= 0.70, 0.25).otherwise(0.0) + F.when(let(F.lower(line), lambda low: count_of(COMPANY_TOKENS, low) > 0), 0.35).otherwise(0.0)
-        )
-        return F.when(_named(line), F.least(F.lit(1.0), total)).otherwise(0.0)
 
-    return let(clean_line(c), score)
+def named_score(line: Column) -> Column:
+    """name_score for a cleaned line that may be a name."""
+    upper = F.length(F.regexp_replace(line, r"[^A-ZÀ-Ý]+", "")) / F.greatest(F.lit(1), F.length(F.regexp_replace(line, f"[^{LETTER}]+", "")))
+    total = (
+        F.when(F.contains(line, F.lit(" ")), 0.20).otherwise(0.0) + F.when(F.length(line) >= 18, 0.15).otherwise(0.0)
+        + F.when(upper >= 0.70, 0.25).otherwise(0.0) + F.when(let(F.lower(line), lambda low: has_any(low, COMPANY_TOKENS)), 0.35).otherwise(0.0)
+    )
+    return F.least(F.lit(1.0), total)
 
 
 def ocr_digit_fix(c: Column) -> Column:

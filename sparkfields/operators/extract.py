@@ -30,6 +30,12 @@ CANDIDATE_LABELS = {
     "tomador": r"\btomador\b|\bcliente\b|\bdestinat[áa]rio\b|\bbenefici[áa]rio\b|\bsegurado\b|\bnome\s*[:\-–—]",
     "descricao_servico": r"\bdescri[çc][aã]o\b|\bhist[óo]rico\b|\breferente\s+a\b|\bobserva[çc][aã]o\b",
 }
+# What a line with such a label holds at least, in lower case.
+CANDIDATE_WORDS = {
+    "fornecedor": ["prestador", "fornecedor", "emitente", "razao", "empresarial", "nome"],
+    "tomador": ["tomador", "cliente", "destinat", "benefici", "segurado", "nome"],
+    "descricao_servico": ["descri", "hist", "referente", "observa"],
+}
 NAME_STOPS = ["recibo", "indeniz", "importancia", "importância", "anyscanner", "valor", "retenc", "reembolso", "nota fiscal", "nfs-e"]
 NUMBER_PATTERNS = [r"(?i)\bnf\s*(?:e|nfs-?e)?\b\s*[:\-–—]?\s*([0-9]{4,})", r"(?i)\bnota\s+fiscal\b\s*[:\-–—]?\s*([0-9]{4,})", r"(?i)\bn[úu]mero\b\s*[:\-–—]?\s*([0-9]{4,})", r"(?i)\brecibo\b\s*(?:n[º°o]?|numero)?\s*[:\-–—]?\s*([0-9]{4,})"]
 MONEY = r"(?:(?i:R\$)\s*)?(?:\d{1,3}(?:\.\d{3})*,\d{2}|\d+,\d{2}|\d+\.\d{2})"
@@ -86,7 +92,7 @@ def _after_sign(line: Column, signs: str) -> Column:
 
 def labelled_value(lines: Column, labels: list[str]) -> Column:
     """From the lines with a label, the first text after : or -, else after the label; empty without one."""
-    has = lambda x: F.lower(x).rlike("|".join(labels))
+    has = lambda x: X.let(F.lower(x), lambda low: X.has_any(low, labels))
 
     def value(x: Column) -> Column:
         after = F.lit("")
@@ -101,7 +107,7 @@ def labelled_value(lines: Column, labels: list[str]) -> Column:
 
 def _where(lines: Column, pattern: str, start: Column | None = None) -> Column:
     """Place (from 1) of the first line that matches, after `start` if given; 0 without one."""
-    hits = F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu){pattern}") & ((i + 1 > start) if start is not None else F.lit(True)), i + 1))
+    hits = F.transform(lines, lambda x, i: F.when(((i + 1 > start) & x.rlike(f"(?iu){pattern}")) if start is not None else x.rlike(f"(?iu){pattern}"), i + 1))
     return F.coalesce(F.array_min(hits), F.lit(0))
 
 
@@ -137,32 +143,35 @@ def field_candidates(df: DataFrame, k: int = 8, text_col: str = "raw_text") -> D
     look like one, best score first, descriptions on the three longest lines.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumn("_lines", X.lines(text)).withColumn("_text", text)
+    none = F.array().cast("array<string>")
+    rows = df.withColumn("_lines", X.lines(text)).withColumn("_text", text).withColumn("_low", F.lower(text)).withColumn("_odd", text.rlike(X.ODD_CASE))
+    # a text without these words has no line, or no place, with the pattern: what follows is done for the others alone
+    said = lambda words: F.col("_odd") | X.has_any(F.col("_low"), words)
 
-    def labelled(pattern: str) -> Column:
+    def labelled(name: str, pattern: str) -> Column:
         def value(x: Column) -> Column:
             after = _after_sign(x, ":\\-–—")
             rest = F.regexp_replace(F.regexp_replace(x, f"(?iu)^.*?(?:{pattern})", ""), r"^[ :\-–—]+|[ :\-–—]+$", "")
             return F.when(after != "", after).otherwise(rest)
 
         found = F.transform(F.filter(F.col("_lines"), lambda x: x.rlike(f"(?iu){pattern}")), value)
-        return _cleaned(F.slice(F.filter(found, lambda v: v != ""), 1, k))
-
-    rows = rows.withColumns({f"_{n}": labelled(p) for n, p in CANDIDATE_LABELS.items()})
-    stop = "|".join(NAME_STOPS)
-    names = F.filter(F.slice("_lines", 1, 40), lambda x: ~F.lower(x).rlike(stop) & (F.length(x) <= 90) & X.is_name_line(x))
-    ranked = F.array_sort(F.transform(names, lambda x, i: F.struct((-X.name_score(x)).alias("s"), i.alias("i"), x.alias("x"))))
-    rows = rows.withColumn("_names", _cleaned(F.transform(F.slice(ranked, 1, min(6, k)), lambda r: r["x"])))
-    long = F.filter("_lines", lambda x: (F.length(x) >= 60) & (F.length(x) <= 600) & ~X.is_header_like(x))
-    longest = F.array_sort(F.transform(long, lambda x, i: F.struct((-F.length(x)).alias("s"), i.alias("i"), x.alias("x"))))
-    rows = rows.withColumn("_long", _cleaned(F.transform(F.slice(longest, 1, min(3, k)), lambda r: r["x"])))
+        return F.when(said(CANDIDATE_WORDS[name]), _cleaned(F.slice(F.filter(found, lambda v: v != ""), 1, k))).otherwise(none)
+
+    rows = rows.withColumns({f"_{n}": labelled(n, p) for n, p in CANDIDATE_LABELS.items()})
+    names = F.filter(F.slice("_lines", 1, 40), lambda x: (F.length(x) <= 90) & ~X.let(F.lower(x), lambda low: X.has_any(low, NAME_STOPS)) & X.named(x))
+    ranked = F.sort_array(F.transform(names, lambda x, i: F.struct((-X.named_score(x)).alias("s"), i.alias("i"), x.alias("x"))))
+    asked = (F.size("_fornecedor") == 0) | (F.size("_tomador") == 0)
+    rows = rows.withColumn("_names", F.when(asked, F.array_distinct(F.transform(F.slice(ranked, 1, min(6, k)), lambda r: r["x"]))).otherwise(none))
+    long = F.filter("_lines", lambda x: (F.length(x) >= 60) & (F.length(x) <= 600) & ~X.heading(x))
+    longest = F.sort_array(F.transform(long, lambda x, i: F.struct((-F.length(x)).alias("s"), i.alias("i"), x.alias("x"))))
+    rows = rows.withColumn("_long", F.array_distinct(F.transform(F.slice(longest, 1, min(3, k)), lambda r: r["x"])))
     money = F.filter(_matches(F.col("_text"), f"({MONEY})"), lambda m: m.contains(",") | F.lower(m).startswith("r$"))
     plain = F.transform(money, lambda m: F.regexp_replace(F.regexp_replace(m, r"(?i)R\$\s*", ""), r"\.(?=.*,)", ""))
     cnpj = _cleaned(_matches(F.col("_text"), CANDIDATE_CNPJ))
     valid = F.filter(cnpj, X.cnpj_valid)
-    numbers = F.filter(_cleaned(F.flatten(F.array(*[_matches(F.col("_text"), p) for p in NUMBER_PATTERNS]))), lambda v: (F.length(v) >= 4) & (F.length(v) <= 12))
-    none = F.lower("_text").rlike("|".join(NO_RETENTION))
-    kept_back = _cleaned(F.concat(*[_matches(F.col("_text"), p) for p in RETENTION_PATTERNS], F.when(none, F.array(F.lit("0,00"))).otherwise(F.array().cast("array<string>"))))
+    numbers = F.when(said(["nf", "nota", "mero", "recibo"]), F.filter(_cleaned(F.flatten(F.array(*[_matches(F.col("_text"), p) for p in NUMBER_PATTERNS]))), lambda v: (F.length(v) >= 4) & (F.length(v) <= 12))).otherwise(none)
+    kept = F.when(said(["reten", "iss"]), F.concat(*[_matches(F.col("_text"), p) for p in RETENTION_PATTERNS])).otherwise(none)
+    kept_back = _cleaned(F.concat(kept, F.when(X.has_any(F.col("_low"), NO_RETENTION), F.array(F.lit("0,00"))).otherwise(none)))
     rows = rows.withColumns({"_money": _cleaned(plain), "_kept": kept_back})
     or_else = lambda a, b: F.when(F.size(a) > 0, a).otherwise(b)
     out = {
@@ -171,7 +180,7 @@ def field_candidates(df: DataFrame, k: int = 8, text_col: str = "raw_text") -> D
         "retencao": or_else(F.col("_kept"), F.slice("_money", 1, min(3, k))),
     }
     rows = rows.withColumns({f"{n}_candidates": F.slice(c, 1, k) for n, c in out.items()})
-    return rows.drop("_lines", "_text", "_names", "_long", "_money", "_kept", *[f"_{n}" for n in CANDIDATE_LABELS])
+    return rows.drop("_lines", "_text", "_low", "_odd", "_names", "_long", "_money", "_kept", *[f"_{n}" for n in CANDIDATE_LABELS])
 
 
 def label_value_fields(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", most: int = 120) -> DataFrame:

@@ -172,3 +172,13 @@ def test_blank_and_weak_texts_without_rewriting_them(spark):
     out = sorted(rows.collect())
     assert [r.blank for r in out] == [True, True, True] + [False] * 7 == [r.old for r in out]
     assert [r.weak for r in out] == [True] * 5 + [False, True, False, True, False]
+
+
+def test_candidates_of_a_text_without_labels_cost_no_search_for_them(spark):
+    """Letters that only a (?iu) pattern folds are found all the same, and no digit is a row of an array."""
+    rows = spark.createDataFrame([(1, "Preſtador: ACME\nNome\tEmpresarial : Outra"), (2, "Beneficıário: Ana"), (3, "so texto 09769035000164")], "k int, raw_text string")
+    out = extract.field_candidates(rows)
+    got = {r.k: r for r in out.collect()}
+    assert got[1].fornecedor_candidates == ["ACME", "Outra"] and got[2].tomador_candidates == ["Ana"] and got[3].cnpj_fornecedor_candidates == ["09769035000164"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(_low" in plan and "zip_with" not in plan and "aggregate(" not in plan
