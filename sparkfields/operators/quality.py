@@ -50,7 +50,7 @@ def _with_next(lines: Column) -> Column:
 
 def _best_name(lines: Column) -> Column:
     """struct(name, score) of the line that looks most like a name, the first of equals."""
-    ranked = F.filter(F.transform(lines, lambda x, i: F.struct((-X.name_score(x)).alias("s"), i.alias("i"), x.alias("x"))), lambda r: r["s"] < 0)
+    ranked = F.filter(F.transform(lines, lambda x, i: F.struct((-X.line_score(x)).alias("s"), i.alias("i"), x.alias("x"))), lambda r: r["s"] < 0)
     best = X.let(F.array_min(ranked), lambda top: F.struct(F.coalesce(top["x"], F.lit("")).alias("name"), F.coalesce(-top["s"], F.lit(0.0)).alias("score")))
     return F.coalesce(best, F.struct(F.lit("").alias("name"), F.lit(0.0).alias("score")))
 
@@ -60,8 +60,8 @@ def _names(rows: DataFrame, block: str, issuer: bool) -> DataFrame:
     lines = F.col(f"{block}_block")
     found = {f"_{block}_near": _best_name(_tail(lines, X.CNPJ, 6)), f"_{block}_any": _best_name(lines)}
     if issuer:
-        named = _first(F.filter(_tail(lines, NAME_HEADING, 3), X.is_name_line))
-        found[f"_{block}_named"] = X.let(named, lambda x: F.struct(x.alias("name"), X.name_score(x).alias("score")))
+        named = _first(F.filter(_tail(lines, NAME_HEADING, 3), X.named))
+        found[f"_{block}_named"] = X.let(named, lambda x: F.struct(x.alias("name"), X.line_score(x).alias("score")))
     for name, value in found.items():
         rows = rows.withColumn(name, value)
     return rows
@@ -83,36 +83,38 @@ def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     given = {c: F.coalesce(F.col(c), empty) if c in df.columns else empty for c in ("entities", "document_info", "totals")}
     rows = _names(_names(slice_blocks(df, text_col), "emitente", True), "tomador", False)
-    rows = rows.withColumns({f"_{c}": m for c, m in given.items()}).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = rows.withColumns({f"_{c}": m for c, m in given.items()}).withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_low", F.lower("_text"))
     of = lambda m, *keys: F.coalesce(*[F.nullif(F.try_element_at(f"_{m}", F.lit(k)), F.lit("")) for k in keys], F.lit(""))
-    lines, text = F.col("lines"), F.col("_text")
-    invoice = F.lower(text).rlike("nfs-e|danfse|nfse")
-    own = F.when(invoice, lines).otherwise(F.array().cast("array<string>"))
+    lines, text, low = F.col("lines"), F.col("_text"), F.col("_low")
+    # lines are searched only where the text has what one of them must have
+    lines_with = lambda words: F.when(X.has_any(low, words), lines).otherwise(F.array().cast("array<string>"))
+    own = lines_with(["nfs-e", "danfse", "nfse"])
+    rows = rows.withColumn("_cnpj", F.regexp_extract("_text", f"({X.CNPJ})", 1))
     cnpj_of = lambda block: F.regexp_extract(_first(F.filter(block, lambda x: x.rlike(X.CNPJ))), f"({X.CNPJ})", 1)
 
     def cnpj_by(labels: list[str]) -> Column:
-        near = _first(F.filter(lines, lambda x: F.lower(x).rlike("|".join(labels)) & x.rlike(X.CNPJ)))
-        return F.regexp_extract(F.when(near != "", near).otherwise(text), f"({X.CNPJ})", 1)
+        near = F.filter(lines_with(labels), lambda x: X.let(F.lower(x), lambda y: X.has_any(y, labels)) & x.rlike(X.CNPJ))
+        return F.when(F.col("_cnpj") == "", "").otherwise(F.coalesce(F.regexp_extract(F.get(near, 0), f"({X.CNPJ})", 1), F.col("_cnpj")))
 
-    number = _first(F.filter(_tail(own, NUMBER_HEADING, 3), lambda x: x.rlike(NUMBER_LINE) & ~X.is_header_like(x)))
-    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in NUMBER]
+    number = _first(F.filter(_tail(own, NUMBER_HEADING, 3), lambda x: x.rlike(NUMBER_LINE) & ~X.heading(x)))
+    found = [F.when(X.has_any(low, ["nf", "nota"]), F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p in NUMBER]
     service = F.col("servico_block")
     after = _tail(service, SERVICE_HEADING, F.size(service))
     stop = F.array_min(F.transform(after, lambda x, i: F.when(x.rlike(SERVICE_STOP), i)))
-    body = F.filter(F.slice(after, F.lit(1), F.coalesce(stop, F.size(after))), lambda x: ~X.is_header_like(x))
+    body = F.filter(F.slice(after, F.lit(1), F.coalesce(stop, F.size(after))), lambda x: ~X.heading(x))
     described = F.aggregate(body, F.lit(""), lambda a, x: F.when(F.length(a) >= 450, a).otherwise(F.trim(F.concat(a, F.lit(" "), x))))
-    plain_at = F.filter(_with_next(lines), lambda p: F.contains(F.lower(p["x"]), F.lit("descrição")) & F.contains(F.lower(p["x"]), F.lit("serv")))
+    plain_at = F.filter(_with_next(lines_with(["descrição"])), lambda p: F.contains(F.lower(p["x"]), F.lit("descrição")) & F.contains(F.lower(p["x"]), F.lit("serv")))
     plain = F.transform(plain_at, lambda p: F.when(F.regexp_extract(p["x"], r"^[^:\-]*[:\-]\s*(.+)$", 1) != "", F.regexp_extract(p["x"], r"^[^:\-]*[:\-]\s*(.+)$", 1)).otherwise(p["y"]))
     priced = F.filter(_with_next(F.concat("municipal_block", own)), lambda p: p["x"].rlike(PRICE_HEADING))
     prices = F.filter(F.transform(priced, lambda p: F.regexp_extract(F.concat(p["x"], F.lit(" "), p["y"]), MONEY, 1)), lambda v: v != "")
-    totals = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in TOTAL]
-    taxes = F.filter(_with_next(F.concat("municipal_block", "federal_block")), lambda p: F.lower(p["x"]).rlike(TAX_HEADING) & ~p["x"].rlike(TAX_VALUE) & ~X.is_header_like(p["x"]))
+    totals = [F.when(X.has_any(low, words), F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p, words in zip(TOTAL, (["valor"], ["total", "valor"]), strict=True)]
+    taxes = F.filter(_with_next(F.concat("municipal_block", "federal_block")), lambda p: F.lower(p["x"]).rlike(TAX_HEADING) & ~p["x"].rlike(TAX_VALUE) & ~X.heading(p["x"]))
     joined = F.transform(taxes, lambda p: F.when(p["y"].rlike(TAX_STOP), p["x"]).otherwise(F.concat(p["x"], F.lit(" "), p["y"])))
     evidence = F.filter(joined, lambda x: x.rlike(TAX_EVIDENCE))
-    terms = F.filter(lines, lambda x: F.lower(x).rlike("|".join(RETENTION_TERMS)))
+    terms = F.filter(lines_with(RETENTION_TERMS), lambda x: X.let(F.lower(x), lambda y: X.has_any(y, RETENTION_TERMS)))
     candidates = {
-        "fornecedor": [*_party("emitente", True), (of("entities", "issuer", "fornecedor", "prestador"), 0.84), (labelled_value(lines, ISSUER_LABELS), 0.58)],
-        "tomador": [*_party("tomador", False), (of("entities", "recipient", "tomador", "destinatario"), 0.84), (labelled_value(lines, RECIPIENT_LABELS), 0.58)],
+        "fornecedor": [*_party("emitente", True), (of("entities", "issuer", "fornecedor", "prestador"), 0.84), (labelled_value(lines_with(ISSUER_LABELS), ISSUER_LABELS), 0.58)],
+        "tomador": [*_party("tomador", False), (of("entities", "recipient", "tomador", "destinatario"), 0.84), (labelled_value(lines_with(RECIPIENT_LABELS), RECIPIENT_LABELS), 0.58)],
         "cnpj_fornecedor": [(cnpj_of(F.col("emitente_block")), 0.97), (of("entities", "cnpj_fornecedor", "issuer_cnpj"), 0.88), (cnpj_by(ISSUER_LABELS), 0.56)],
         "cnpj_tomador": [(cnpj_of(F.col("tomador_block")), 0.97), (of("entities", "cnpj_tomador", "recipient_cnpj"), 0.88), (cnpj_by(RECIPIENT_LABELS), 0.56)],
         "numero_nf": [(number, 0.94), (of("document_info", "number"), 0.86), (F.coalesce(*found, F.lit("")), 0.60)],
@@ -120,15 +122,19 @@ def critical_fields(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
         "valor_nf": [(_first(prices), 0.92), (of("totals", "grand_total"), 0.86), (F.coalesce(*totals, F.lit("")), 0.58)],
         "retencao": [(F.array_join(F.slice(evidence, 1, 3), " | "), 0.82), (F.array_join(F.slice(terms, 1, 4), " | "), 0.48)],
     }
-    for name, options in candidates.items():  # a step each, so that none repeats another's work
-        rows = rows.withColumn(f"_c_{name}", F.array(*[F.struct(X.clean_line(v).alias("value"), (c if isinstance(c, Column) else F.lit(c)).cast("double").alias("conf")) for v, c in options]))
-    chosen = {n: F.coalesce(F.get(F.filter(f"_c_{n}", lambda x: ~X.is_header_like(x["value"])), 0), F.struct(F.lit("").alias("value"), F.lit(0.0).alias("conf"))) for n in candidates}
-    rows = rows.withColumns(chosen)
+
+    def sure(value: Column, conf: Column | float) -> Column:
+        conf = (conf if isinstance(conf, Column) else F.lit(conf)).cast("double")
+        return X.let(X.clean_line(value), lambda x: F.when(~X.heading(x), F.struct(x.alias("value"), conf.alias("conf"))))
+
+    for name, options in candidates.items():  # a step each, so that none repeats another's work; what comes after a good one isn't looked for
+        rows = rows.withColumn(f"_c_{name}", F.coalesce(*[sure(v, c) for v, c in options], F.struct(F.lit("").alias("value"), F.lit(0.0).alias("conf"))))
+    rows = rows.withColumns({n: F.col(f"_c_{n}") for n in candidates})
     same = (F.col("cnpj_tomador.value") != "") & (X.digits(F.col("cnpj_tomador.value")) == X.digits(F.col("cnpj_fornecedor.value")))
     rows = rows.withColumn("cnpj_tomador", F.when(same, F.struct(F.lit("").alias("value"), F.col("cnpj_tomador.conf").alias("conf"))).otherwise(F.col("cnpj_tomador")))
     blocks = [c for c in rows.columns if c.endswith("_block") and c not in df.columns]
     names = [f"_{b}_{k}" for b in ("emitente", "tomador") for k in ("near", "any", "named")]
-    return rows.drop("_text", "_entities", "_document_info", "_totals", *names, *[f"_c_{n}" for n in candidates], *blocks, *(["lines"] if "lines" not in df.columns else []))
+    return rows.drop("_text", "_low", "_cnpj", "_entities", "_document_info", "_totals", *names, *[f"_c_{n}" for n in candidates], *blocks, *(["lines"] if "lines" not in df.columns else []))
 
 
 def validate_fields(df: DataFrame) -> DataFrame:

@@ -182,3 +182,11 @@ def test_candidates_of_a_text_without_labels_cost_no_search_for_them(spark):
     assert got[1].fornecedor_candidates == ["ACME", "Outra"] and got[2].tomador_candidates == ["Ana"] and got[3].cnpj_fornecedor_candidates == ["09769035000164"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(_low" in plan and "zip_with" not in plan and "aggregate(" not in plan
+
+
+def test_critical_fields_search_lines_only_where_the_text_has_their_words(spark):
+    rows = spark.createDataFrame([(1, "Fornecedor: ACME LTDA\nCNPJ: 09.769.035/0001-64\nISS retido 3,00"), (2, "nada disso")], "k int, raw_text string")
+    out = quality.critical_fields(rows)
+    got = {r.k: r for r in out.collect()}
+    assert (got[1].fornecedor.value, got[1].cnpj_fornecedor.value, got[1].retencao.value, got[2].retencao.value) == ("ACME LTDA", "09.769.035/0001-64", "ISS retido 3,00", "")
+    assert "Contains(_low" in out._jdf.queryExecution().optimizedPlan().toString() and set(out.columns) == {"k", "raw_text", *quality.FIELDS}
