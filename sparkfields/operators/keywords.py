@@ -41,7 +41,7 @@ def keyword_scores(df: DataFrame, rules: DataFrame, text_col: str, into: str = "
     columns = []
     for part in range(parts):
         mine = rules if parts == 1 else rules.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == part)
-        held = [tuple(r) for r in mine.select("label", "seq", "word", "weight").orderBy("seq", "label", "word").collect()]
+        held = mine.select("label", "seq", "word", "weight").orderBy("seq", "label", "word").toArrow()
         columns.append(column := into if parts == 1 else f"{into}_{part}")
         out = _pass(out, held, text_col, column, always or [])
     if parts > 1:
@@ -49,30 +49,46 @@ def keyword_scores(df: DataFrame, rules: DataFrame, text_col: str, into: str = "
     return out
 
 
-def _pass(df: DataFrame, held: list[tuple], text_col: str, into: str, always: list[str]) -> DataFrame:
+def automaton(words: pa.ChunkedArray) -> tuple[ahocorasick.Automaton, dict[int, list[int]]]:
+    """Finds each word as its first place in words; for words that come again, all places by the first.
+
+    A word costs its letters and one number, as no list, tuple or text of it is
+    kept as a Python object.
+    """
+    found, more = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
+    at = 0
+    for chunk in words.chunks:
+        for start in range(0, len(chunk), ROWS):
+            for word in chunk.slice(start, ROWS).to_pylist():
+                if (before := found.get(word, -1)) < 0:
+                    found.add_word(word, at)
+                else:
+                    more.setdefault(before, [before]).append(at)
+                at += 1
+    if at:
+        found.make_automaton()
+    return found, more
+
+
+def _pass(df: DataFrame, held: pa.Table, text_col: str, into: str, always: list[str]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(held)
-    first: dict[str, int] = {}
-    for label, seq, _, _ in held:
-        first.setdefault(label, seq)
+    first = dict(zip(*held.group_by("label").aggregate([("seq", "min")]).select(["label", "seq_min"]).to_pydict().values(), strict=True))
     zero = [x for x in always if x in first]
     kind = pa.map_(pa.string(), pa.struct([("score", pa.float64()), ("seq", pa.int64())]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{into}` map<string,struct<score:double,seq:bigint>>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, words = shared.value, ahocorasick.Automaton()
-        of: dict[str, list[int]] = {}
-        for k, (_, _, word, _) in enumerate(rules):
-            of.setdefault(word, []).append(k)
-        for word, ks in of.items():
-            words.add_word(word, ks)
-        if of:
-            words.make_automaton()
+        rules = shared.value
+        words, more = automaton(rules["word"])
+        labels = rules["label"].combine_chunks().dictionary_encode() if rules.num_rows else None
+        names, codes = (labels.dictionary.to_pylist(), labels.indices.to_numpy()) if labels is not None else ([], [])
+        weights = rules["weight"].to_numpy()
 
         def score(text: str | None) -> list[tuple[str, dict]]:
             scores = dict.fromkeys(zero, 0.0)
-            for k in sorted({k for _, ks in words.iter(text) for k in ks}) if text and of else ():
-                label, _, _, weight = rules[k]
-                scores[label] = scores.get(label, 0.0) + weight
+            for k in sorted({k for _, f in words.iter(text) for k in more.get(f, (f,))}) if text and len(codes) else ():
+                label = names[codes[k]]
+                scores[label] = scores.get(label, 0.0) + float(weights[k])
             return [(label, {"score": s, "seq": first[label]}) for label, s in scores.items()]
 
         for whole in batches:

@@ -97,3 +97,15 @@ def test_words_of_a_table(spark, monkeypatch):
     one = spark.createDataFrame([(k, t) for k, t in enumerate(["Nota Fiscal NF-e chave de acesso " + "1" * 44, "boleto bradesco 237 vencimento", "", None, "104 001"])], "k int, raw_text string")
     both = [{tuple(r) for r in f.select("k", "layout", "confidence", "requires_human_validation").collect()} for f in (classify.layout_classify(one), keywords.layout_by_table(one, keywords.rule_rows(spark, classify.LAYOUTS)))]
     assert both[0] == both[1]
+
+
+def test_an_automaton_keeps_numbers_and_no_objects_of_its_words():
+    import ahocorasick
+    import pyarrow as pa
+
+    from sparkfields.operators import keywords
+
+    found, more = keywords.automaton(pa.chunked_array([["ab", "b"], ["ab", "abc"]]))
+    assert found.store == ahocorasick.STORE_INTS and more == {0: [0, 2]}
+    assert sorted(k for _, f in found.iter("xabc") for k in more.get(f, (f,))) == [0, 1, 2, 3]
+    assert keywords.automaton(pa.chunked_array([], pa.string()))[1] == {}
