@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -189,6 +190,8 @@ def with_views(sql: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str, **streams: DataFrame) -> DataFrame:
     """One derived table over the tables of sf_dir, or over streams of them given by name."""
+    if name in _BY_ORDER and not streams:
+        return _BY_ORDER[name](spark, sf_dir)
     text = VIEWS[name]
     prefix = f"fx_{zlib.crc32(sf_dir.encode())}_" + "stream_" * bool(streams)
     for t in TABLES:
@@ -205,5 +208,45 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Lines of an order in the order of DECISIONS and VERSIONS, and the document of an order.
+_TURN = "l_shipdate l_linenumber l_partkey l_suppkey l_extendedprice l_quantity l_tax l_discount".split()
+_DOC = "concat('doc-', lpad(cast(l_orderkey as string), 8, '0'))"
+
+
+def _numbered(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Lines with document_id, their number in the order, and whether they are its last.
+
+    They are dealt by document once, to so many tasks that one sorts a part of a
+    file's lines; what goes on by document then shuffles none of the rows that
+    are made of them.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *_TURN, *more)
+    n = max(spark.sparkContext.defaultParallelism, 32 * lines.rdd.getNumPartitions())
+    order = Window.partitionBy("document_id", "l_orderkey").orderBy(*_TURN)
+    dealt = lines.repartition(n, F.expr(_DOC)).withColumn("document_id", F.expr(_DOC))
+    return dealt.withColumns({"n": F.row_number().over(order), "is_last": F.lead(F.lit(True)).over(order).isNull()})
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of DECISIONS."""
+    lines = _numbered(spark, sf_dir, "l_returnflag")
+    decision = "CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' ELSE CASE WHEN n % 5 = 0 THEN 'maybe' ELSE 'corrected' END END AS decision"
+    notes = "CASE WHEN n % 4 = 0 THEN '  ' ELSE concat('nota ', cast(l_partkey as string)) END AS notes"
+    return lines.selectExpr("document_id", "n AS seq", decision, notes, "l_shipdate AS created_at", "cast(l_partkey as string) AS corrected_value")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of VERSIONS: an order's last line is its highest version, as each line has a quantity."""
+    lines = _numbered(spark, sf_dir)
+    fields = """inline(filter(array(
+      named_struct('name', 'quantidade', 'value', cast(cast(l_quantity % 4 as bigint) as string), 'confidence', 1.0 - l_discount),
+      CASE WHEN l_linenumber % 2 = 0 THEN named_struct('name', 'imposto', 'value', cast(cast(round(l_tax * 100) as bigint) as string), 'confidence', cast(0.5 as double)) END), x -> x is not null))"""
+    return lines.selectExpr("document_id", "cast(n as int) AS version_number", "is_last AS is_active", fields).select("document_id", "version_number", "name", "value", "confidence", "is_active")
+
+
+#: Tables of order lines that Spark makes by document; the rows are those of their SQL.
+_BY_ORDER = {"fx_decisions": _decisions, "fx_versions": _versions}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
