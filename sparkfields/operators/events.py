@@ -265,14 +265,20 @@ def latency_report(samples: DataFrame) -> DataFrame:
     return total.join(p, F.col("scenario").eqNullSafe(F.col("g")), "left").join(five, F.col("scenario").eqNullSafe(F.col("b")), "left").drop("g", "b")
 
 
-def apply_decisions(docs: DataFrame, results: DataFrame, decisions: DataFrame) -> DataFrame:
-    """decisions with outcome and the status that follows: refused if unknown, without extraction, or rejecting without notes."""
+def _judged(docs: DataFrame, results: DataFrame, decisions: DataFrame) -> DataFrame:
+    """decisions on known documents with their outcome."""
     known = results.select(F.col("document_id").alias("r_id")).distinct()
-    rows = decisions.join(docs.select(F.col("id").alias("doc")), F.col("document_id") == F.col("doc")).join(known, F.col("document_id") == F.col("r_id"), "left")
+    rows = decisions.join(docs.select(F.col("id").alias("doc")), F.col("document_id") == F.col("doc"), "left_semi").join(known, F.col("document_id") == F.col("r_id"), "left")
     no_notes = F.coalesce(X.strip_space(F.col("notes")) == "", F.lit(True))
     outcome = F.when(~F.col("decision").isin("approved", "rejected", "corrected"), "invalid decision").when(F.col("r_id").isNull(), "no extraction").when((F.col("decision") == "rejected") & no_notes, "notes required").otherwise("accepted")
+    return rows.withColumn("outcome", outcome).drop("r_id")
+
+
+def apply_decisions(docs: DataFrame, results: DataFrame, decisions: DataFrame) -> DataFrame:
+    """decisions with outcome and the status that follows: refused if unknown, without extraction, or rejecting without notes."""
+    outcome = F.col("outcome")
     status = F.when(outcome != "accepted", None).when(F.col("decision") == "approved", "APPROVED").when(F.col("decision") == "rejected", "REJECTED").otherwise("VALIDATION_PENDING")
-    return rows.select("document_id", "seq", "decision", outcome.alias("outcome"), status.alias("new_status"))
+    return _judged(docs, results, decisions).select("document_id", "seq", "decision", "outcome", status.alias("new_status"))
 
 
 def apply_corrections(docs: DataFrame, results: DataFrame, versions: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -283,9 +289,8 @@ def apply_corrections(docs: DataFrame, results: DataFrame, versions: DataFrame,
     """
     from .versions import correct_in_turn
 
-    accepted = apply_decisions(docs, results, decisions).where("outcome = 'accepted'").select(F.col("document_id").alias("a_id"), F.col("seq").alias("a_seq"))
     told = decisions.where(F.size("corrected_fields") > 0)
-    rows = told.join(accepted, (F.col("document_id") == F.col("a_id")) & (F.col("seq") == F.col("a_seq")), "left_semi").select("document_id", "seq", F.col("corrected_fields").alias("fields"))
+    rows = _judged(docs, results, told).where("outcome = 'accepted'").select("document_id", "seq", F.col("corrected_fields").alias("fields"))
     after, synced = correct_in_turn(versions, rows, results)
     settled = rows.select(F.col("document_id").alias("s_id")).distinct()
     synced = synced.join(settled, F.col("document_id") == F.col("s_id"), "left").withColumn("requires_human_validation", F.col("requires_human_validation") & F.col("s_id").isNull()).drop("s_id")
