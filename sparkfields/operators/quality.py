@@ -298,11 +298,15 @@ def merge_fields(primary: DataFrame, fallback: DataFrame, required: list[str] =
 def schema_confidence(fields: DataFrame, spec: DataFrame) -> DataFrame:
     """(doc_id, schema_confidence): share of the schema's required fields (all, if none is) that have a value, to 2 places.
 
-    fields: doc_id, schema_id, name, value; spec: schema_id, name, required.
+    fields: doc_id, schema_id, name, value; spec: schema_id, name, required. The
+    names that a document has are gathered in one grouping and met with the
+    schema's, which are sent to the tasks.
     """
-    some = spec.groupBy("schema_id").agg(F.bool_or("required").alias("some"))
-    wanted = spec.join(some, "schema_id").where("required or not some").select(F.col("schema_id").alias("s_schema"), F.col("name").alias("s_name"))
-    docs = fields.select("doc_id", "schema_id").distinct().join(wanted, F.col("schema_id") == F.col("s_schema"))
-    have = fields.where(F.coalesce((X.strip_space(F.col("value")) != "") & (F.col("value") != PLACEHOLDER), F.lit(False))).select(F.col("doc_id").alias("h_doc"), F.col("name").alias("h_name")).distinct()
-    joined = docs.join(have, (F.col("doc_id") == F.col("h_doc")) & (F.col("s_name") == F.col("h_name")), "left")
-    return joined.groupBy("doc_id").agg(F.round(F.avg(F.col("h_doc").isNotNull().cast("int")), 2).alias("schema_confidence"))
+    asked = F.collect_list(F.struct("name", "required"))
+    wanted = spec.groupBy(F.col("schema_id").alias("s_schema")).agg(asked.alias("asked"), F.bool_or("required").alias("some"))
+    wanted = wanted.select("s_schema", F.transform(F.filter("asked", lambda e: e["required"] | ~F.col("some")), lambda e: e["name"]).alias("wanted"))
+    has = F.col("doc_id").isNotNull() & (X.strip_space(F.col("value")) != "") & (F.col("value") != PLACEHOLDER)
+    docs = fields.groupBy("doc_id").agg(F.collect_set("schema_id").alias("schemas"), F.collect_set(F.when(has, F.col("name"))).alias("have"))
+    joined = docs.select("doc_id", "have", F.explode("schemas").alias("schema_id")).join(F.broadcast(wanted), F.col("schema_id") == F.col("s_schema"))
+    hits = F.size(F.filter("wanted", lambda n: F.array_contains("have", n)))
+    return joined.where(F.size("wanted") > 0).groupBy("doc_id").agg(F.round(F.sum(hits) / F.sum(F.size("wanted")), 2).alias("schema_confidence"))
