@@ -334,10 +334,10 @@ def s02_dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _arrivals(spark: SparkSession, d: str, at: str, batches: int) -> DataFrame:
-    """fx_events as a stream of as many files, in order of their offsets, one file a batch."""
-    rows = view(spark, d, "fx_events")
-    rows.repartitionByRange(batches, "stream_offset").write.parquet(f"{at}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    """fx_events as a stream of so many batches of ranges of their offsets; a batch is as many files as there are cores, so that all of them write and read it."""
+    rows, files = view(spark, d, "fx_events"), spark.sparkContext.defaultParallelism
+    rows.repartitionByRange(batches * files, "stream_offset").write.parquet(f"{at}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
 
 
 @query("SELECT DISTINCT event_id, event_type, occurred_at, document_id FROM fx_events")

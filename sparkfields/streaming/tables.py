@@ -132,7 +132,7 @@ class IdLog:
         for k in range(4):
             bits = F.lit(0).cast("long")
             for s in spots:
-                bits = bits.bitwiseOR(F.when(F.floor(s / 64) == k, F.call_function("shiftleft", one, s % 64)).otherwise(F.lit(0).cast("long")))
+                bits = bits.bitwiseOR(F.when(F.shiftright(s, 6) == k, F.call_function("shiftleft", one, s.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long")))
             words.append(bits.alias(f"w{k}"))
         bucket = F.pmod(F.xxhash64(F.lit("bucket"), "id"), F.lit(self.buckets)).cast("int")
         return rows.select("id", F.pmod(h, F.lit(self.blocks)).cast("int").alias("block"), bucket.alias("bucket"), *words)

@@ -226,3 +226,14 @@ def test_a_consumer_polls_on_from_its_place(spark, tmp_path):
     assert log.poll("none", "all", take) == 0
     with pytest.raises(ValueError):
         log.poll("s", "x", take, start="middle")
+
+
+def test_a_batch_of_events_is_files_for_all_cores(spark, tmp_path):
+    from sparkfields.plans import flows
+
+    events = flows._arrivals(spark, "/root/testdata/sf0.001", str(tmp_path), 3)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores < len(list(tmp_path.glob("in/*.parquet"))) <= 3 * cores
+    sizes = []
+    events.writeStream.foreachBatch(lambda rows, n: sizes.append(rows.count())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) == 3 and sum(sizes) == flows.view(spark, "/root/testdata/sf0.001", "fx_events").count()
