@@ -87,22 +87,30 @@ def pdf_block_summary(blocks: DataFrame) -> DataFrame:
 def non_overlapping_words(typed: DataFrame, hand: DataFrame, least: float = 0.55, most: float = 0.25) -> DataFrame:
     """Typed words of enough confidence, and the handwritten ones that overlap none of them by `most` of their union.
 
-    Words meet in the cells of a grid that their boxes touch, so a page's words
-    aren't all paired.
+    Boxes meet in the cells of a grid that they touch, each different box of a
+    page once, so a page's words aren't all paired. Both tables go through
+    groupings and windows together, whose keys have the document: where they are
+    dealt by document alike, neither words nor boxes are shuffled.
     """
-    good = typed.where(F.col("conf") >= least)
-    cell = 64.0
+    cell, own = 64.0, ["doc_id", "page", "x0", "y0", "x1", "y1"]
+    good, hand = typed.where(F.col("conf") >= least), hand.where("x0 is not null and y0 is not null")
+    both = good.select(*own, F.lit(True).alias("typed")).unionByName(hand.select(*own, F.lit(False).alias("typed")))
+    boxes = both.groupBy(*own).agg(F.max("typed").alias("typed"), F.min("typed").alias("alone"))
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.greatest(F.col(a), F.col(b)) / cell))
-    spread = lambda df: df.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
-    t = spread(good.select("doc_id", "page", "x0", "y0", "x1", "y1")).select(*[F.col(c).alias(f"t_{c}") for c in ("doc_id", "page", "x0", "y0", "x1", "y1", "cx", "cy")])
-    h = spread(hand)
-    w = F.greatest(F.lit(0.0), F.least("x1", "t_x1") - F.greatest("x0", "t_x0"))
-    v = F.greatest(F.lit(0.0), F.least("y1", "t_y1") - F.greatest("y0", "t_y0"))
-    area = lambda p: F.greatest(F.lit(0.0), (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0")))
-    union = area("") + area("t_") - w * v
-    same = (F.col("doc_id") == F.col("t_doc_id")) & (F.col("page") == F.col("t_page")) & (F.col("cx") == F.col("t_cx")) & (F.col("cy") == F.col("t_cy"))
-    worst = h.join(t, same, "left").groupBy("doc_id", "page", "seq").agg(F.max(F.when(union > 0, w * v / union).otherwise(0.0)).alias("iou"))
-    free = worst.where(F.coalesce("iou", F.lit(0.0)) < most).select("doc_id", "page", "seq", F.lit("handwritten").alias("engine"))
+    boxes = boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    box = F.struct("x0", "y0", "x1", "y1")
+    known = F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    met = boxes.groupBy("doc_id", "page", "cx", "cy").agg(F.collect_list(F.when(known & F.col("typed"), box)).alias("t"), F.collect_list(F.when(~F.col("alone"), box)).alias("h"))
+
+    pairs = met.select("doc_id", "page", "t", F.explode("h").alias("h")).select("doc_id", "page", "h", F.explode("t").alias("t"))
+    w = F.greatest(F.lit(0.0), F.least("h.x1", "t.x1") - F.greatest("h.x0", "t.x0"))
+    v = F.greatest(F.lit(0.0), F.least("h.y1", "t.y1") - F.greatest("h.y0", "t.y0"))
+    area = lambda p: F.greatest(F.lit(0.0), (F.col(f"{p}.x1") - F.col(f"{p}.x0")) * (F.col(f"{p}.y1") - F.col(f"{p}.y0")))
+    union = area("h") + area("t") - w * v
+    taken = pairs.where(F.coalesce(F.when(union > 0, w * v / union), F.lit(0.0)) >= most).select("doc_id", "page", "h.*").distinct()
+    words = hand.select(*own, "seq", F.lit(False).alias("taken")).unionByName(taken.select(*own, F.lit(None).cast(hand.schema["seq"].dataType).alias("seq"), F.lit(True).alias("taken")))
+    words = words.withColumn("over", F.max("taken").over(Window.partitionBy(*own))).where("not taken")
+    free = words.groupBy("doc_id", "page", "seq").agg(F.max("over").alias("over")).where("not over").select("doc_id", "page", "seq", F.lit("handwritten").alias("engine"))
     return good.select("doc_id", "page", "seq", F.lit("typed").alias("engine")).unionByName(free)
 
 

@@ -68,3 +68,32 @@ def test_page_texts_shuffle_texts_not_words(spark):
 def test_grid_shuffles_texts_not_words(spark):
     keys = shuffles(flows.d15_layout_text(spark, SF))
     assert len(keys) == 1 and re.fullmatch(r"doc_id, \d+", keys[0])
+
+
+def test_overlaps_shuffle_texts_not_words(spark):
+    keys = shuffles(flows.c10_non_overlapping_words(spark, SF))
+    assert keys and all(re.fullmatch(r"doc_id, \d+", k) for k in keys)
+
+
+def test_overlaps_equal_all_pairs(spark):
+    rng = random.Random(8)
+    schema = "doc_id long, page int, seq long, x0 double, y0 double, x1 double, y1 double, conf double"
+
+    def word(seq):
+        x, y = rng.choice([-70.0, 0.0, 10.0, 63.0, 64.0, 128.0]), rng.choice([-5.0, 0.0, 8.0, 60.0])
+        return (rng.choice([1, 2, None]), rng.choice([0, 0, 1, None]), seq, x, y, x + rng.choice([-10.0, 0.0, 5.0, 40.0, 200.0]), y + rng.choice([0.0, 12.0, 90.0]), rng.choice([0.2, 0.55, 0.9, None]))
+
+    typed, hand = [word(k) for k in range(60)], [word(k % 150) for k in range(200)] + [(1, 0, 900, None, 0.0, 1.0, 1.0, 0.9)]
+
+    def alike(a, b):
+        w, v = max(0.0, min(a[5], b[5]) - max(a[3], b[3])), max(0.0, min(a[6], b[6]) - max(a[4], b[4]))
+        union = sum(max(0.0, (r[5] - r[3]) * (r[6] - r[4])) for r in (a, b)) - w * v
+        return w * v / union if union > 0 else 0.0
+
+    good, over = [t for t in typed if t[7] is not None and t[7] >= 0.55], {}
+    for h in hand[:-1]:
+        hit = any(None not in h[:2] and h[:2] == t[:2] and alike(h, t) >= 0.25 for t in good)
+        over[h[:3]] = over.get(h[:3], False) or hit
+    want = [(*t[:3], "typed") for t in good] + [(*k, "handwritten") for k, hit in over.items() if not hit]
+    got = [tuple(r) for r in pages.non_overlapping_words(spark.createDataFrame(typed, schema), spark.createDataFrame(hand, schema)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(over.values())
