@@ -124,3 +124,21 @@ def test_enrichment_takes_what_is_better(spark):
 
 def test_texts_of_one_small_file_are_read_by_all_cores(spark):
     assert view(spark, "/root/testdata/sf0.001", "fx_noisy").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_lines_after_the_first_name_are_not_looked_at(spark):
+    """Searches end at the first line that fits, and what has no word of a rule isn't searched: the walk names its values once."""
+    row = spark.range(1).select(noisy._first_of(F.array(F.lit(1), F.lit(2)), lambda v: v != "", lambda k: F.when(k == 1, "Casa das Tintas").otherwise(F.raise_error(F.lit("looked at")).cast("string"))).alias("v")).first()
+    assert row.v == "Casa das Tintas"
+    plan = noisy.noisy_fields(spark.createDataFrame([("a",)], "raw_text string")).select("noisy.valor_nf")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(noisy.AMOUNT) == 1
+
+
+def test_rough_texts_equal_plain_python_where_numbers_cross_lines(spark):
+    spaces = ["11.222.333\n\n0001-81", "11\t222 \n 333/0001\r\n81", "11 222 333 0001 81", "IIzzz", "11222333\x010001-81", "11.\n222.333/0001-81"]
+    texts = [f"{a}{b}\nTotal R$ 10,00 \x01 20,50\x02 7.25" for a in ("Emitente: ", "PAGADOR\n", "CLIENTE ", "BENEFICI\u00c1RIO\n", "") for b in spaces]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, raw_text string")
+    for r in noisy.noisy_fields(df).collect():
+        want = by_hand(texts[r.k].replace("\r", "\n"), set(), set())
+        assert r.noisy.cnpj_fornecedor.value == want["cnpj_fornecedor"] and r.noisy.cnpj_tomador.value == want["cnpj_tomador"], texts[r.k]
+        assert r.noisy.valor_nf.value == amount(texts[r.k].replace("\x01", " ").replace("\x02", " "))
