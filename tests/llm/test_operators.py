@@ -222,6 +222,15 @@ def test_close_pairs_equal_brute_force_and_spare_components(spark):
     assert line_dedup.close_pairs(other).agg({"u": "count", "v": "min"}).first()[:] == (40_000, 40_000)
 
 
+def test_close_pairs_meet_from_compressed_files(spark):
+    """The table of all keys is several times the lines: as a checkpoint, which isn't compressed, it took the most disk."""
+    rows = spark.createDataFrame([(0, 5, 0, 100, 0), (1, 5, 0, 100, 1)], "c bigint, sim bigint, par bigint, size int, r bigint")
+    pairs = line_dedup.close_pairs(rows)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+    assert [(x.u, x.v) for x in pairs.collect()] == [(0, 1)]
+
+
 def test_long_lines_with_many_changed_words_link(spark):
     """Changed words that are many, but few of a line: their parities differ in far more bits than a fixed bound would let through."""
     rng = random.Random(11)
